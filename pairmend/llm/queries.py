@@ -6,17 +6,82 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from pairmend.llm import maglev, mixing, secrets
 from pairmend.llm.common import table
 from pairmend.llm.minhash import near_duplicates
 
+SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
+
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document goes, and where it would if the last shard were lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    now = maglev.place(docs, SHARDS)
+    later = maglev.place(now.withColumnRenamed("shard", "now").drop("slot"), SHARDS[:-1])
+    return later.select("doc_id", "source", "slot", F.col("now").alias("shard"), F.col("shard").alias("shard_after_loss"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{kind}')) AS BIGINT) AS n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: The mix in SQL: targets by the same level, and what the permuted blocks take, without the tree.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+own AS (
+  SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM own),
+levels AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE)
+             - CAST(coalesce(sum(2 * source_size) OVER (ORDER BY (2 * source_size)::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+            / CAST(sum(w) OVER (ORDER BY (2 * source_size)::DOUBLE / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM weighed),
+goals AS (
+  SELECT source, rank, source_size, 1 + n_docs // 10000 AS n_strips,
+         least(CAST(2 * source_size AS DOUBLE), max(lev) OVER () * w) AS target,
+         greatest(16, least(512, source_size // 1000), source_size // 1073741824) AS block FROM levels),
+placed AS (
+  SELECT d.doc_id, d.size, g.*, CAST('0x' || substr(d.key, 1, 8) AS BIGINT) % g.n_strips AS strip, d.key
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+streamed AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rank, strip ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS beg FROM placed),
+strips AS (SELECT rank, strip, CAST(ceil(sum(size) / max(block)) AS BIGINT) AS n FROM streamed GROUP BY rank, strip),
+firsts AS (SELECT rank, strip, CAST(sum(n) OVER (PARTITION BY rank ORDER BY strip) AS BIGINT) - n AS first_block, CAST(sum(n) OVER (PARTITION BY rank) AS BIGINT) AS n_blocks FROM strips),
+quotas AS (
+  SELECT s.*, f.first_block, f.n_blocks,
+         CASE WHEN source_size = 0 THEN 0 ELSE least(2 * n_blocks, CAST(floor(target * n_blocks / source_size + 0.5) AS BIGINT)) END AS quota
+  FROM streamed s JOIN firsts f USING (rank, strip)),
+blocks AS (
+  SELECT doc_id, size, source_size, target, rank, quota, n_blocks, first_block, block, beg,
+         unnest(range(first_block + beg // block, first_block + (beg + size - 1) // block + 1)) AS b
+  FROM quotas WHERE size > 0),
+draws AS (
+  SELECT doc_id, least(size, (b - first_block + 1) * block - beg) - greatest(0, (b - first_block) * block - beg) AS part,
+         e * n_blocks + ((b % n_blocks) * (2147483647 % n_blocks) + (rank * 7919 + e * 104729) % n_blocks) % n_blocks AS place, quota
+  FROM blocks, (VALUES (0), (1)) AS epochs(e)),
+got AS (SELECT doc_id, CAST(sum(part) AS BIGINT) AS taken FROM draws WHERE place < quota GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0) AS taken
+FROM quotas q LEFT JOIN got g ON q.doc_id IS NOT DISTINCT FROM g.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": MIX_SQL}
