@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pairmend.llm import maglev, mixing, secrets
+from pairmend.llm import lthash, maglev, mixing, secrets
 from pairmend.llm.anchors import repeated_passages
 from pairmend.llm.common import table
 from pairmend.llm.minhash import near_duplicates
@@ -28,6 +28,10 @@ def op3_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later.select("doc_id", "source", "slot", F.col("now").alias("shard"), F.col("shard").alias("shard_after_loss"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lthash.edited(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), digest=True)
 
