@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pairmend.llm import lthash, maglev, mixing, secrets
+from pairmend.llm import lthash, maglev, mixing, nbsvm, secrets
 from pairmend.llm.anchors import repeated_passages
 from pairmend.llm.common import table
 from pairmend.llm.minhash import near_duplicates
@@ -28,6 +28,12 @@ def op3_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later.select("doc_id", "source", "slot", F.col("now").alias("shard"), F.col("shard").alias("shard_after_loss"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = nbsvm.train(docs, labels.filter(~nbsvm.held_out()))
+    return nbsvm.score(docs, model).select("doc_id", nbsvm.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lthash.edited(table(spark, sf_dir, "documents"))
 
