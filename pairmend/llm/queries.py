@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pairmend.llm import lthash, maglev, mixing, nbsvm, secrets
+from pairmend.llm import lthash, maglev, mixing, nbsvm, pivots, secrets
 from pairmend.llm.anchors import repeated_passages
 from pairmend.llm.common import table
 from pairmend.llm.minhash import near_duplicates
@@ -16,6 +16,10 @@ from pairmend.llm.minhash import near_duplicates
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
+def op1_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
