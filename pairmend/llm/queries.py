@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pairmend.llm import lthash, maglev, mixing, nbsvm, pivots, secrets
+from pairmend.llm import hostpaths, lthash, maglev, mixing, nbsvm, pivots, secrets
 from pairmend.llm.anchors import repeated_passages
 from pairmend.llm.common import table
 from pairmend.llm.minhash import near_duplicates
@@ -42,6 +42,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lthash.edited(table(spark, sf_dir, "documents"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostpaths.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), digest=True)
 
