@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pairmend.llm import hostpaths, lthash, maglev, mixing, nbsvm, pivots, secrets
+from pairmend.llm import hostpaths, lthash, maglev, mixing, nbsvm, pivots, secrets, spm
 from pairmend.llm.anchors import repeated_passages
 from pairmend.llm.common import table
 from pairmend.llm.minhash import near_duplicates
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
@@ -46,6 +47,10 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostpaths.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.round_trips(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), digest=True)
 
