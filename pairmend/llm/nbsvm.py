@@ -208,6 +208,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], line: float = LINE)
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], line: float = LINE) -> DataFrame:
+    """The rows of docs, all columns, whose score is line or more."""
+    weights, shift = model
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        m = margins(_all_features(pa.array(text, pa.string())), weights[0], 0.0, weights[1]) + shift
+        return pd.Series(1 / (1 + np.exp(-np.clip(m, -30, 30))) >= line)
+
+    return docs.filter(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether a document's label is kept for testing: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -22,7 +22,7 @@ def op1_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
 def op3_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
