@@ -1,9 +1,226 @@
 """The registered queries over the given tables."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairmend.config import SieveConfig
+from pairmend.functions.colors import nearest_color
+from pairmend.functions.text import canonical_text, first_color, json_map
+from pairmend.operators import arbitrate, build, diagnose, repair, simulate
+from pairmend.operators import sieve as S
+from pairmend.operators.quantiles import exact_quantiles
+from pairmend.plans.fixtures import catalog, pairs, plain_catalog, table
+from pairmend.plans.oracles import ORACLES
+from pairmend.sources.images import pixel_colors
+from pairmend.sources.shared import settle
+
+
+def _r6(c: str):
+    return F.round(c, 6).alias(c)
+
+
+def pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.score(pairs(spark, sf_dir)).select("row_id", "category", _r6("sim_score"))
+
+
+def sieve_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.category_thresholds(settle(S.score(pairs(spark, sf_dir))))
+    return found.select("category", "n_scored", _r6("sieve_threshold"), "threshold_source")
+
+
+def sieve_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.category_thresholds(settle(S.score(pairs(spark, sf_dir))), SieveConfig(threshold_method="quantile"))
+    return found.select("category", "n_scored", _r6("sieve_threshold"), "threshold_source")
+
+
+def sieve_global_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.global_threshold(settle(S.score(pairs(spark, sf_dir))), SieveConfig(global_threshold_method="iqr"))
+    return found.select(_r6("global_threshold"))
+
+
+def sieve_global_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source").alias("category"), F.col("n_chars").cast("double").alias("sim_score"))
+    found = S.category_thresholds(rows, replace(SieveConfig(), iqr_k=1.0))
+    return found.select("category", "n_scored", _r6("sieve_threshold"), "threshold_source")
+
+
+def _sieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(S.sieve(settle(S.score(pairs(spark, sf_dir)))))
+
+
+def sieve_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.sieve(settle(S.score(pairs(spark, sf_dir))))
+    return S.summary(found.withColumns({c: F.round(c, 6) for c in ("sim_score", "sieve_threshold")}))
+
+
+def flag_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.sieve(settle(S.score(pairs(spark, sf_dir))))
+    return found.groupBy("flag_reason").agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"))
+
+
+def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    found = exact_quantiles(rows, "l_returnflag", "l_extendedprice", [0.05, 0.25, 0.75])
+    return found.select("l_returnflag", "n", _r6("q0"), _r6("q1"), _r6("q2"))
+
+
+def embedding_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.export_embeddings(_sieved(spark, sf_dir), 48)
+    size = lambda c: F.size(c).cast("long")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    return out.select(
+        "row_id", size("text_emb").alias("n_text"), size("image_emb").alias("n_image"), total("text_emb").alias("text_sum"), total("image_emb").alias("image_sum"),
+        F.round(F.col("sim_score").cast("double"), 4).alias("sim_score"), F.col("flagged").cast("long").alias("flagged"),
+    )
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(diagnose.evidence(_sieved(spark, sf_dir)))
+
+
+def retrieve_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir).filter("best_other_row is not null").select("row_id", "best_other_row", _r6("own_sim"), _r6("best_other_sim"))
+
+
+def diagnose_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = diagnose.diagnose(_evidence(spark, sf_dir))
+    return r.select(
+        "row_id", "error_type", F.array_join("mismatch_aspects", ",").alias("mismatch_aspects"), "suggested_direction",
+        F.col("confidence.image_trust").alias("image_trust"), F.col("confidence.text_trust").alias("text_trust"),
+        F.col("proposed_fix.image_replacement_candidate_row_id").alias("candidate"), F.col("proposed_fix.text_patch")["title"].alias("new_title"),
+        "notes", F.round("debug.margin", 6).alias("margin"),
+    )
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arbitrate.arbitrate(diagnose.queue(diagnose.diagnose(_evidence(spark, sf_dir))))
+
+
+def arbiter_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = diagnose.queue(diagnose.diagnose(_evidence(spark, sf_dir)))
+    return q.withColumn("candidate", arbitrate.candidate("proposed_fix")).drop("proposed_fix")
+
+
+def arbiter_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).withColumn("tier", F.col("tier").cast("long")).drop("proposed_fix")
+
+
+def plan_cost_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arbitrate.cost_by_action(_plan(spark, sf_dir)).withColumn("tier", F.col("tier").cast("long"))
+
+
+def _repaired(spark: SparkSession, sf_dir: str, semantics: str) -> DataFrame:
+    fixed, _ = repair.repair(pairs(spark, sf_dir).drop("text_emb", "image_emb"), _plan(spark, sf_dir), semantics=semantics)
+    return fixed.select("row_id", "title", "canonical_text", "image_path", "repaired", "repair_action", "repair_notes", "repair_source_row_id", "image_origin_row_id")
+
+
+def repair_images_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, "sequential")
+
+
+def repair_images_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir, "snapshot")
+
+
+def repair_log_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan from orders: replacements, patches, reviews, unknown actions, rows and candidates."""
+    rows = plain_catalog(spark, sf_dir)
+    k = F.col("o_orderkey")
+    action = F.element_at(F.array(*map(F.lit, ("replace_image_from_row", "apply_text_patch", "human_review", "t2v_generate_image_unimplemented", "replace_image_from_row"))), (k % 5 + 1).cast("int"))
+    fix = F.when(k % 5 == 0, F.concat(F.lit('{"image_replacement_candidate_row_id": "'), (F.col("o_custkey") * 2).cast("string"), F.lit('"}'))).when((k % 5 == 1) & (k % 2 == 0), F.lit('{"text_patch": {"title": "x"}}')).otherwise(F.lit("{}"))
+    plan = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("row_id"), action.alias("action"), fix.alias("proposed_fix"), F.lit("").alias("notes"), k.alias("step"))
+    logged = repair.log(repair.log_of(rows.withColumn("__pos", F.lit(0)), plan))
+    return logged.groupBy("action", "status", "reason").agg(F.count("*").alias("n"))
+
+
+def text_patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two patches for every third row, one of which sets a category."""
+    rows = plain_catalog(spark, sf_dir)
+    k = F.col("row_id").cast("long")
+    fixes = F.array(F.lit('{"text_patch": {"attributes.color": "blue", "category": "NEW"}}'), F.lit('{"text_patch": {"title": "patched", "attributes.a.b": "1"}}'))
+    plan = rows.filter(k % 3 == 0).select("row_id", F.posexplode(fixes).alias("n", "proposed_fix"), k.alias("k"))
+    plan = plan.select("row_id", F.lit("apply_text_patch").alias("action"), "proposed_fix", F.lit("p").alias("notes"), (F.col("k") * 2 + F.col("n")).alias("step"))
+    fixed, _ = repair.repair(rows, plan)
+    return fixed.select("row_id", "title", "category", "canonical_text", "repaired", "repair_action", "repair_notes")
+
+
+def canonical_text_of_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.build(catalog(spark, sf_dir)).select("row_id", "canonical_text")
+
+
+def json_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", canonical_text(F.col("event_type"), F.lit("event"), json_map("props")).alias("canonical_text"))
+
+
+def missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.build(catalog(spark, sf_dir)).select("row_id", "title", "image_path", "is_image_missing", "is_text_missing")
+
+
+def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.counters(build.build(catalog(spark, sf_dir)))
+
+
+def image_source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.image_source(build.normalize(catalog(spark, sf_dir))).groupBy("image_source").agg(F.count("*").alias("n"))
+
+
+def image_listing_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that a listing holds and could be read: every third row's, but for every ninth."""
+    listed = catalog(spark, sf_dir).select("row_id", F.substring("row_id", 2, 20).cast("long").alias("k")).filter("k % 3 = 0").select("row_id", (F.col("k") % 9 != 0).alias("ok"))
+    return build.build(catalog(spark, sf_dir), listed).select("row_id", "image_path", "is_image_missing")
+
+
+def text_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", first_color(F.col("p_name")).alias("color"))
+
+
+def nearest_color_of_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channel = lambda m, a: ((F.col("p_partkey") * m + a) % 256).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", nearest_color(channel(37, 11), channel(91, 5), channel(53, 77)).alias("color"))
+
+
+def dominant_pixel_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pixels of their parts' pictures, a supplier a picture."""
+    channel = lambda m, a: ((F.col("l_partkey") * m + F.col("l_linenumber") * a) % 256).alias
+    pixels = table(spark, sf_dir, "lineitem").select("l_suppkey", channel(3, 17)("red"), channel(5, 29)("green"), channel(7, 41)("blue"))
+    out = pixel_colors(pixels, "l_suppkey")
+    return out.select("l_suppkey", *[F.col(c).cast("long").alias(c) for c in ("red", "green", "blue")], "img_color")
+
+
+def replicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("title"))
+    return simulate.replicate(rows, 15)
+
+
+def noise_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each kind the simulator makes, and that all images are still there."""
+    noisy = simulate.add_noise(settle(simulate.replicate(plain_catalog(spark, sf_dir), 15)))
+    return noisy.groupBy((F.col("noise_label") != "clean").alias("noisy")).agg(F.count("*").alias("n"))
+
+
+def noise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.add_noise(settle(simulate.replicate(plain_catalog(spark, sf_dir), 15)))
+
+
+def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.last_of_each(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (
+        pair_cosine, sieve_iqr, sieve_quantile, sieve_global_iqr, sieve_global_fallback, sieve_flags, flag_reason_counts, threshold_table, embedding_export,
+        retrieve_top1, diagnose_reports, arbiter_queue, arbiter_plan, plan_cost_by_action, repair_images_sequential, repair_images_snapshot, repair_log_status,
+        text_patch_apply, canonical_text_of_part, json_attributes, missing_flags, build_counters, image_source_resolution, image_listing_join, text_color,
+        nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, dedup_last_wins,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
