@@ -83,7 +83,7 @@ def _sign(ids: pa.Array, words: np.ndarray, words_at: np.ndarray, size: int) ->
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig", "bands"])
 
 
-def signatures(docs: DataFrame, shingle_words: int = 2) -> DataFrame:
+def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """SIGNED rows: set size, a 192-bit key of the set (equal sets only), signature and band keys."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_bounds(shingle_words), SIGNED)
@@ -119,9 +119,17 @@ def _judge(pairs: DataFrame, signed: DataFrame, least: list[int]) -> DataFrame:
     return both.select("a", "b", matches("sig_a", "sig_b").alias("matches")).filter("matches >= 0")
 
 
-def _shingle_set(text: str, size: int) -> set:
+def _shingle_set(text: str, size: int) -> set[str]:
     words = [w for w in text.translate(_ASCII_LOWER).translate(_ASCII_SPACE).split(" ") if w]
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def _linked(left: set, right: set, percent: int) -> bool:
+    few, many = sorted((len(left), len(right)))
+    if 100 * few < percent * many:
+        return False
+    shared = len(left & right)
+    return 100 * shared >= percent * (few + many - shared)
 
 
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -137,9 +145,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
         for x, y in zip(left, right, strict=True):
             if known[0] != x:
                 known = (x, _shingle_set(x, shingle_words))
-            other = _shingle_set(y, shingle_words)
-            shared = len(known[1] & other)
-            out.append(100 * shared >= percent * (len(known[1]) + len(other) - shared))
+            out.append(_linked(known[1], _shingle_set(y, shingle_words), percent))
         return pd.Series(out)
 
     t = texts.select("doc_id", "text")
@@ -154,14 +160,15 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return settle(rows.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     docs needs doc_id and text; other columns are left alone, whatever their names. Documents with
     equal shingle sets form one class, which its smallest doc_id stands for, so copies cost nothing
-    more. Each class is compared with a different random member of each of its buckets; the likeliest
+    more. Each class is compared with two members of each of its buckets, the one that meets most others and a random one; the likeliest
     candidate of each class is verified first, then the pairs that still join different components.
-    Buckets that hold more than one component after that are compared in full, in bounded blocks. Only
+    In buckets that hold more components after that, the members outside the leader's component are
+    compared with all of it and with each other, in bounded blocks. Only
     pairs that are in one component already are left out, so no component misses a link.
 
     Defined results: a null or empty text, or one of white space, has n_shingles 0, links with
@@ -177,28 +184,40 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("sig is not null")
     reps = reps.dropDuplicates(["doc_id"])
     members = reps.select("doc_id", F.explode("bands").alias("band"))
-    leader = F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("leader")
-    buckets = settle(members.groupBy("band").agg(leader, F.count("*").alias("n")).filter("n > 1").select("band", "leader", "n"))
-    shared = settle(members.join(buckets, "band"))
-    pairs = shared.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+    crowds = settle(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = settle(members.join(crowds, "band"))
+    # What copies were made from meets more of them than they meet each other.
+    known = shared.groupBy("doc_id").agg(F.sum("n").alias("meets"))
+    leader = F.max_by("doc_id", F.struct("meets", "doc_id")).alias("leader")
+    second = F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("second")
+    buckets = settle(shared.join(known, "doc_id").groupBy("band").agg(leader, second))
+    pairs = shared.join(buckets, "band").select("doc_id", F.explode(F.array("leader", "second")).alias("other")).filter("doc_id <> other")
+    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
     likely = settle(_judge(pairs.distinct(), reps, least))
     texts = _texts(docs, likely)
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
     links = settle(_verify(best.select("a", "b"), texts, shingle_words, percent))
-    found = connected_components(links)
-    rest = _across(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
+    near = links.select(F.col("b").alias("id"), F.col("a").alias("component_id"))  # one step of the way is enough here
+    rest = _across(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), near)
     links = settle(links.union(_verify(rest, texts, shingle_words, percent)))
-    found = connected_components(links)
-
-    late = settle(_judge(_unresolved(shared, found, reps, least).join(likely, ["a", "b"], "left_anti"), reps, least))
-    if not late.isEmpty():
-        links = settle(links.union(_verify(late, _texts(docs, late), shingle_words, percent)))
-        found = connected_components(links)
+    found = settle(connected_components(links))
+    minor = settle(_minor(shared.join(buckets, "band"), found))
+    if not minor.isEmpty():
+        more = settle(_against_components(docs, minor, found, reps, least, shingle_words, percent))
+        late = settle(_among(minor, found, more, reps, least).join(likely, ["a", "b"], "left_anti"))
+        more = more.select("a", "b").union(_verify(late, _texts(docs, late), shingle_words, percent))
+        found = connected_components(links.union(more))
     found = found.select(F.col("id").alias("rep"), "component_id")
     out = named.join(found, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, **how) -> DataFrame:
+    """docs without the rows whose component another document stands for."""
+    gone = settle(near_duplicates(docs, **how).filter("not kept").select("doc_id").distinct())
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
     for end in ("a", "b"):
@@ -207,33 +226,75 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.filter("of_a <> of_b").select("a", "b")
 
 
-def _unresolved(shared: DataFrame, found: DataFrame, reps: DataFrame, least: list[int], block: int = 1000) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that no batch of hashes prunes.
-
-    In a bucket, the members outside the leader's component meet all members of other components.
-    They are dealt into blocks, each of which meets the bucket in a group of its own.
-    """
+def _minor(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, doc_id, lead_comp): bucket members outside the component of their bucket's leader."""
     comp = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp"))
     lead = comp.select(F.col("doc_id").alias("leader"), F.col("comp").alias("lead_comp"))
     rows = shared.filter("n > 2").join(comp, "doc_id", "left").join(lead, "leader", "left")
     rows = rows.withColumns({"comp": F.coalesce("comp", "doc_id"), "lead_comp": F.coalesce("lead_comp", "leader")})
-    minor = F.count_if(F.expr("comp <> lead_comp"))
-    mixed = settle(rows.groupBy("band").agg(minor.alias("n_minor")).filter("n_minor > 0"))
-    rows = rows.join(small(mixed), "band").withColumn("blocks", F.expr(f"1 + n_minor div {block}"))
-    rows = rows.join(reps.select("doc_id", "sig"), "doc_id")
+    return rows.filter("comp <> lead_comp").select("band", "doc_id", "lead_comp")
+
+
+def _against_components(docs: DataFrame, minor: DataFrame, found: DataFrame, reps: DataFrame, least: list[int], shingle_words: int, percent: int, block: int = 500) -> DataFrame:
+    """For each minor member one link (a, b, comp), if there is any, to each block of its bucket leader's component.
+
+    Both sides are dealt into blocks; a group holds one block of each. What no batch of hashes prunes
+    is verified there, the likeliest first, until one is linked.
+    """
+    want = minor.select("doc_id", F.col("lead_comp").alias("comp")).distinct()
+    full = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp"))
+    alone = want.select("comp").join(full.select("comp").distinct(), "comp", "left_anti").distinct()
+    full = full.union(alone.select(F.col("comp").alias("doc_id"), "comp"))
+    n_want = settle(want.groupBy("comp").agg(F.expr(f"1 + count(*) div {block}").alias("w")))
+    n_full = full.join(small(n_want), "comp").groupBy("comp").agg(F.first("w").alias("w"), F.expr(f"1 + count(*) div {block}").alias("f"))
+    n_full = small(settle(n_full))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).alias("own")
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+    left = want.join(n_full, "comp").select("doc_id", "comp", own(F.col("w")), other("f")).select("doc_id", "comp", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("outer"))
+    right = full.join(n_full, "comp").select("doc_id", "comp", own(F.col("f")), other("w")).select("doc_id", "comp", F.col("other").alias("x"), F.col("own").alias("y"), F.lit(False).alias("outer"))
+    both = settle(left.union(right))
+    texts = _texts(docs, both.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        out, rows, cols = [], group[group["outer"]], group[~group["outer"]].reset_index(drop=True)
+        if len(rows) and len(cols):
+            every, sets = _bytes_of(cols["sig"]), [None] * len(cols)
+            for doc_id, sig, text in rows[["doc_id", "sig", "text"]].itertuples(index=False):
+                score = _matches(np.broadcast_to(np.frombuffer(sig, np.uint8), every.shape), every, least)
+                own = _shingle_set(text, shingle_words)
+                for k in np.argsort(-score, kind="stable")[: int((score >= 0).sum())]:
+                    if sets[k] is None:
+                        sets[k] = _shingle_set(cols["text"].iat[k], shingle_words)
+                    if _linked(own, sets[k], percent):
+                        out.append((doc_id, cols["doc_id"].iat[k], cols["comp"].iat[k]))
+                        break
+        return pd.DataFrame(out, columns=["a", "b", "comp"]).astype("int64")
+
+    both = both.join(reps.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
+    return both.groupBy("comp", "x", "y").applyInPandas(meet, "a long, b long, comp long")
+
+
+def _among(minor: DataFrame, found: DataFrame, more: DataFrame, reps: DataFrame, least: list[int], block: int = 1000) -> DataFrame:
+    """Pairs (a, b) of minor members of one bucket and two components that no batch of hashes prunes."""
+    comp = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp"))
+    new = more.groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("new"))
+    rows = minor.select("band", "doc_id").join(comp, "doc_id", "left").join(new, "doc_id", "left")
+    rows = rows.select("band", "doc_id", F.coalesce("new", "comp", "doc_id").alias("comp"))
+    crowds = settle(rows.groupBy("band").agg(F.expr(f"1 + count(*) div {block}").alias("blocks"), F.count_distinct("comp").alias("c")).filter("c > 1"))
+    rows = rows.join(small(crowds), "band").join(reps.select("doc_id", "sig"), "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), "blocks")
-    outer = rows.filter("comp <> lead_comp").select("band", own.alias("block"), "doc_id", "comp", "sig", F.lit(True).alias("outer"))
-    inner = rows.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc_id", "comp", "sig", F.lit(False).alias("outer"))
+    outer = rows.select("band", own.alias("block"), "doc_id", "comp", "sig", F.lit(True).alias("outer"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    inner = rows.select("band", each.alias("block"), "doc_id", "comp", "sig", F.lit(False).alias("outer"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         left, right, found = group[group["outer"]], group[~group["outer"]], []
         if len(left) and len(right):
-            x, y = _bytes_of(left["sig"]), _bytes_of(right["sig"])
+            x, y, ids, comps = _bytes_of(left["sig"]), _bytes_of(right["sig"]), right["doc_id"].to_numpy(), right["comp"].to_numpy()
             for k in range(len(x)):
-                near = np.flatnonzero(right["comp"].to_numpy() != left["comp"].iat[k])
+                near = np.flatnonzero((comps != left["comp"].iat[k]) & (ids > left["doc_id"].iat[k]))
                 near = near[_matches(np.broadcast_to(x[k], (len(near), HASHES)), y[near], least) >= 0]
-                found += [(left["doc_id"].iat[k], z) for z in right["doc_id"].to_numpy()[near]]
-        pairs = [(min(p), max(p)) for p in found]
-        return pd.DataFrame(sorted(set(pairs)), columns=["a", "b"]).astype("int64")
+                found += [(left["doc_id"].iat[k], z) for z in ids[near]]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return outer.union(inner).groupBy("band", "block").applyInPandas(meet, "a long, b long").distinct()
