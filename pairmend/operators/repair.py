@@ -144,7 +144,7 @@ def apply(rows: DataFrame, steps: DataFrame, images_dir: str = IMAGES, recompute
     latest = F.row_number().over(Window.partitionBy("row_id").orderBy(F.col("__pos").desc())) == 1
     out = with_metadata(rows).withColumn("__latest", latest)
     out = out.join(of, (F.col("row_id").cast("string") == F.col("__id")) & F.col("__latest"), "left")
-    names = [c for c in rows.columns if c != "__pos"]
+    names = [c for c, kind in rows.dtypes if c != "__pos" and not kind.startswith(("array", "map", "struct", "binary"))]  # what text can set
     patched = F.size(F.coalesce("__patches", F.array().cast("array<map<string,string>>"))) > 0
     out = out.withColumn("__t", F.when(patched, _text_fold(names)))
     new = {c: F.coalesce(F.col("__t.other")[c].cast(rows.schema[c].dataType), F.col(c)) for c in names if c not in ("row_id", "title", "attributes", "canonical_text")}

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from pairmend.functions.colors import DARK, LIGHT, MANY, SIDE, is_kept, nearest_color
 
@@ -105,7 +106,8 @@ def embed(rows: DataFrame, embedder: Callable[[], Callable[[list[str], list[byte
     embedder() makes the model once in each worker; the model takes a batch of texts and images. Rows
     without an image don't reach it.
     """
-    schema = rows.select("*").schema.add("text_emb", "array<float>").add("image_emb", "array<float>")
+    vector = ArrayType(FloatType())
+    schema = StructType([*rows.schema.fields, StructField("text_emb", vector), StructField("image_emb", vector)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = embedder()
