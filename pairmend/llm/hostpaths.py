@@ -78,7 +78,7 @@ class _Page:
             self._implied(stack, same, frozenset(("ul", "ol", "dl", "table", "select")))
         up = stack[-1]
         given = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
-        name = given.get("class", "").split()
+        name = given.get("class", "").split() if tag not in ("html", "body") else []
         label = tag + "".join("." + re.sub(r"\d+", "#", c) for c in name[:1])
         self.tag.append(tag)
         self.parent.append(up)

@@ -93,7 +93,7 @@ STEPS = {
     ("upper", "lower"): 10, ("lower", "upper"): 4, ("lower", "sign"): 4, ("upper", "sign"): 4,
     ("sign", "lower"): 10, ("sign", "upper"): 5,
 }
-#: The part of each chance that comes from the prior.
+#: The part of each chance that comes from the prior however many samples there are; few samples leave it more.
 PRIOR = 0.2
 
 
@@ -118,7 +118,7 @@ def _logs(counts: list[float], prior: list[float]) -> list[float]:
     out = []
     for k in range(0, len(counts), CLASSES):
         row, base = counts[k : k + CLASSES], prior[k : k + CLASSES]
-        known = 1 - PRIOR if sum(row) else 0.0
+        known = (1 - PRIOR) * sum(row) / (sum(row) + CLASSES)
         out += [math.log(known * x / (sum(row) or 1) + (1 - known) * y / sum(base)) for x, y in zip(row, base, strict=True)]
     return out
 
