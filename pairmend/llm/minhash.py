@@ -165,15 +165,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     docs needs doc_id and text; other columns are left alone, whatever their names. Documents with
     equal shingle sets form one class, which its smallest doc_id stands for, so copies cost nothing
-    more. Each class is compared with two members of each of its buckets, the one that meets most others and a random one; the likeliest
-    candidate of each class is verified first, then the pairs that still join different components.
-    In buckets that hold more components after that, the members outside the leader's component are
-    compared with all of it and with each other, in bounded blocks. Only
-    pairs that are in one component already are left out, so no component misses a link.
+    more. Each class is compared with one member of each of its buckets, the one that meets most others;
+    the likeliest candidate of each class is verified first, then the pairs that still join different
+    components. In buckets that hold more components after that, the members outside the leader's
+    component are compared with all of it and with each other, in bounded blocks. Only pairs that are
+    in one component already are left out, so no component misses a link.
 
     Defined results: a null or empty text, or one of white space, has n_shingles 0, links with
-    nothing and is kept; a null doc_id links with nothing, has a null component_id and is kept. Rows that repeat a doc_id come back as often and stand
-    or fall together. No rows in, no rows out.
+    nothing and is kept; a null doc_id links with nothing, has a null component_id and is kept. Rows that
+    repeat a doc_id come back as often, each judged by its own text. No rows in, no rows out.
     """
     least = least_matches(percent / 100, miss)
     signed = settle(signatures(docs, shingle_words))
@@ -189,10 +189,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # What copies were made from meets more of them than they meet each other.
     known = shared.groupBy("doc_id").agg(F.sum("n").alias("meets"))
     leader = F.max_by("doc_id", F.struct("meets", "doc_id")).alias("leader")
-    second = F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("second")
-    buckets = settle(shared.join(known, "doc_id").groupBy("band").agg(leader, second))
-    pairs = shared.join(buckets, "band").select("doc_id", F.explode(F.array("leader", "second")).alias("other")).filter("doc_id <> other")
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+    buckets = settle(shared.join(known, "doc_id").groupBy("band").agg(leader))
+    pairs = shared.join(buckets, "band").filter("doc_id <> leader")
+    pairs = pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
     likely = settle(_judge(pairs.distinct(), reps, least))
     texts = _texts(docs, likely)
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
