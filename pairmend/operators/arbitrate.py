@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from pairmend.functions.text import clean, json_map
 
-PLANNED = "struct<action:string,tier:int,cost_units:double,notes:string>"
+# Each action's tier, cost and notes ({} stands for the candidate row).
+ACTIONS = {
+    "replace_image_from_row": (1, 1.0, "Replace image using candidate row {}"),
+    "t2v_generate_image_unimplemented": (3, 10.0, "Would require generative T2V editing; not implemented in MVP."),
+    "apply_text_patch": (1, 0.5, "Apply text_patch to row fields/attributes."),
+    "v2t_generate_text_unimplemented": (2, 4.0, "Would require VLM-based text generation; not implemented in MVP."),
+    "human_review": (0, 0.0, "Low confidence or missing modalities."),
+}
 
 
 def candidate(fix: Column | str) -> Column:
@@ -20,9 +27,10 @@ def text_patch(fix: Column | str) -> Column:
     return json_map(F.get_json_object(fix, "$.text_patch"))
 
 
-def _plan(action: str, tier: int, cost: float, notes: Column | str) -> Column:
-    notes = notes if isinstance(notes, Column) else F.lit(notes)
-    return F.struct(F.lit(action).alias("action"), F.lit(tier).alias("tier"), F.lit(cost).alias("cost_units"), notes.alias("notes"))
+def _plan(action: str, row: Column | None = None) -> Column:
+    tier, cost, notes = ACTIONS[action]
+    text = F.lit(notes) if row is None else F.concat(F.lit(notes.removesuffix("{}")), row)
+    return F.struct(F.lit(action).alias("action"), F.lit(tier).alias("tier"), F.lit(cost).alias("cost_units"), text.alias("notes"))
 
 
 def arbitrate(queue: DataFrame, order_by: str = "row_id") -> DataFrame:
@@ -33,11 +41,11 @@ def arbitrate(queue: DataFrame, order_by: str = "row_id") -> DataFrame:
     direction = F.upper(clean("suggested_direction"))
     cand = candidate("proposed_fix")
     chosen = (
-        F.when((direction == "T2V") & (cand != ""), _plan("replace_image_from_row", 1, 1.0, F.concat(F.lit("Replace image using candidate row "), cand)))
-        .when(direction == "T2V", _plan("t2v_generate_image_unimplemented", 3, 10.0, "Would require generative T2V editing; not implemented in MVP."))
-        .when((direction == "V2T") & (F.size(text_patch("proposed_fix")) > 0), _plan("apply_text_patch", 1, 0.5, "Apply text_patch to row fields/attributes."))
-        .when(direction == "V2T", _plan("v2t_generate_text_unimplemented", 2, 4.0, "Would require VLM-based text generation; not implemented in MVP."))
-        .otherwise(_plan("human_review", 0, 0.0, "Low confidence or missing modalities."))
+        F.when((direction == "T2V") & (cand != ""), _plan("replace_image_from_row", cand))
+        .when(direction == "T2V", _plan("t2v_generate_image_unimplemented"))
+        .when((direction == "V2T") & (F.size(text_patch("proposed_fix")) > 0), _plan("apply_text_patch"))
+        .when(direction == "V2T", _plan("v2t_generate_text_unimplemented"))
+        .otherwise(_plan("human_review"))
     )
     plan = queue.withColumn("p", chosen).select(
         clean("row_id").alias("row_id"), clean("error_type").alias("error_type"), clean("mismatch_aspects").alias("mismatch_aspects"),

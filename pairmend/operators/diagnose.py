@@ -13,10 +13,12 @@ from pairmend.schema import ensure_columns
 #: Another row's text must match the image better than the row's own by more than this.
 MARGIN = 0.01
 
-FIX = (
-    "struct<text_patch:map<string,string>,image_replacement_candidate_row_id:string,notes:string,"
-    "observed_image_color:string,observed_image_rgb:array<int>,text_color:string>"
-)
+# What reports say, and the caption that a missing text gets.
+NO_IMAGE = "Image is missing."
+NO_TEXT = "Text is missing; likely generate/fill text from image."
+NO_FILE = "Image file not found at: "
+SWAPPED = "Image seems to match another row's text better; likely swapped."
+CAPTION = "NEEDS_CAPTION"
 
 
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -76,10 +78,10 @@ def diagnose(rows: DataFrame) -> DataFrame:
     patch = lambda key, value: F.create_map(F.lit(key), value)
     path = F.coalesce("image_path", F.lit(""))
     report = (
-        F.when(true("is_image_missing"), _report("Type III", "missing_image", "HUMAN", 0.0, 0.5, _fix(), "Image is missing."))
-        .when(true("is_text_missing"), _report("Type III", "missing_text", "V2T", 0.7, 0.0, _fix(text_patch=patch("title", F.lit("NEEDS_CAPTION"))), "Text is missing; likely generate/fill text from image."))
-        .when(~true("image_exists"), _report("Type III", "missing_image_file", "HUMAN", 0.0, 0.5, _fix(), F.concat(F.lit("Image file not found at: "), path)))
-        .when(swapped, _report("Type I", "image_relevance", "T2V", 0.3, 0.8, _fix(image_replacement_candidate_row_id=F.col("best_other_row"), notes=F.lit("Image seems to match another row's text better; likely swapped.")), None))
+        F.when(true("is_image_missing"), _report("Type III", "missing_image", "HUMAN", 0.0, 0.5, _fix(), NO_IMAGE))
+        .when(true("is_text_missing"), _report("Type III", "missing_text", "V2T", 0.7, 0.0, _fix(text_patch=patch("title", F.lit(CAPTION))), NO_TEXT))
+        .when(~true("image_exists"), _report("Type III", "missing_image_file", "HUMAN", 0.0, 0.5, _fix(), F.concat(F.lit(NO_FILE), path)))
+        .when(swapped, _report("Type I", "image_relevance", "T2V", 0.3, 0.8, _fix(image_replacement_candidate_row_id=F.col("best_other_row"), notes=F.lit(SWAPPED)), None))
         .when((text != "") & (image != "") & (text != image), _report("Type II", "color", "V2T", 0.75, 0.4, _fix(text_patch=patch("attributes.color", image), observed_image_color=image, observed_image_rgb=F.col("img_rgb"), text_color=text), None))
         .otherwise(_report("Unknown", "unknown", "HUMAN", 0.5, 0.5, _fix(), None))
     )
