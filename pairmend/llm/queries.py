@@ -111,5 +111,51 @@ FROM quotas q LEFT JOIN got g ON q.doc_id IS NOT DISTINCT FROM g.doc_id
 """
 
 
+_REACH = """
+arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN arcs l ON r.b = l.a),
+parts AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+#: All pairs of vectors, and what is reachable.
+LINKS_SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+nodes AS (SELECT id FROM e), {_REACH},
+degree AS (SELECT a AS id, count(*) AS n FROM arcs GROUP BY a)
+SELECT p.id AS vec_id, coalesce(n, 0) AS n_links, component_id, p.id = component_id AS kept FROM parts p LEFT JOIN degree d ON p.id = d.id
+"""
+
+#: All documents that share a shingle, by exact set sizes.
+NEAR_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[k] || ' ' || w[k + 1] END AS x
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w), 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+met AS (SELECT p.id AS a, q.id AS b, count(*) AS i FROM s p JOIN s q ON p.x = q.x AND p.id < q.id GROUP BY p.id, q.id),
+links AS (SELECT a, b FROM met JOIN n f ON f.id = a JOIN n g ON g.id = b WHERE 100 * i >= 80 * (f.n + g.n - i)),
+nodes AS (SELECT id FROM d), {_REACH}
+SELECT p.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, p.id = component_id AS kept FROM parts p LEFT JOIN n ON n.id = p.id
+"""
+
+#: Every window as a string.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS k FROM win WHERE s IN (SELECT s FROM again)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.k) AS t, count(*) AS n
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.k = gone.k WHERE gone.k IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIX_SQL}
+    return {"op1_pivot_near_dedup": LINKS_SQL, "op2_minhash_near_dedup": NEAR_SQL, "op8_substring_dedup": REPEATS_SQL, "op9_mixing": MIX_SQL}
