@@ -155,7 +155,8 @@ def words_taken(pieces: str = "pieces") -> F.Column:
 
 
 def mix(docs: DataFrame, levels: int = 4, seed: int = 0, shuffle: bool = True, **how) -> DataFrame:
-    """The mixed corpus: one row a piece, with all columns of docs, then shard and place_key.
+    """The mixed corpus: one row a piece, with all columns of docs, then shard and place_key
+    (replacing columns of these names).
 
     text is the piece's words: the text as it stands where the piece is all of it, else joined by one
     space. Rows that repeat a doc_id and text are one document here, drawn as often as all of
@@ -171,7 +172,7 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 0, shuffle: bool = True, *
     span = F.col("__p.last") - F.col("__p.first")
     part = F.array_join(F.slice("__words", F.col("__p.first").cast("int") + 1, span.cast("int")), " ")
     cut = F.when(span == F.col("size"), text).otherwise(part)
-    kept = [cut.alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
+    kept = [cut.alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "place_key")]
     key = F.xxhash64("__p.shard", "__doc.source", "__p.place", F.lit(seed))
     out = met.select(*kept, F.col("__p.shard").alias("shard"), key.alias("place_key"))
     return out.repartition(2**levels, "shard").sortWithinPartitions("shard", "place_key") if shuffle else out

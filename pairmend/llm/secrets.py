@@ -130,8 +130,8 @@ def ratio(token: F.Column, model: Iterable[float]) -> F.Column:
     return total / F.length(token)
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, margin: float = MARGIN) -> DataFrame:
-    """docs with two more columns, base and spans: arrays of (kind, start, end), in order.
+def scan(docs: DataFrame, model: list[float] | None = None, margin: float = MARGIN, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """docs with two more columns, base and spans (replacing any of these names): arrays of (kind, start, end), in order.
 
     Places count code points, the end excluded. base holds the spans of the base patterns, spans these
     and, as kind random, the tokens that the models call random and no base span touches. Without a
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, model: list[float] | None = None, margin: float = MARG
     free = F.filter("__tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
     token = lambda t: F.substring(F.coalesce("text", F.lit("")), t["start"] + 1, t["end"] - t["start"])
     random = F.filter(free, lambda t: (F.size(F.array_distinct(F.split(token(t), ""))) >= DIFFERENT) & (ratio(token(t), model) > margin))
-    out = given.withColumns({"base": _ordered(base), "spans": _ordered(F.concat(base, random))})
+    out = given.withColumns({names[0]: _ordered(base), names[1]: _ordered(F.concat(base, random))})
     return out.drop("__tokens", *[f"__{kind}" for kind, *_ in BASE])
 
 
@@ -162,11 +162,11 @@ def joined(spans: str) -> F.Column:
 
 def redact(docs: DataFrame, mark: str = "<SECRET>", **how) -> DataFrame:
     """docs with every run of text that spans cover replaced by the mark; other columns as they are."""
-    found = scan(docs, **how)
+    found = scan(docs, names=("__base", "__spans"), **how)
     text = "coalesce(text, '')"
     step = f"IF(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, substring({text}, CAST(a.at AS INT) + 1, CAST(s.start - a.at AS INT)), '{mark}')), named_struct('at', greatest(a.at, s.end), 'out', a.out))"
-    clean = f"aggregate(spans, named_struct('at', 0L, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring({text}, CAST(a.at AS INT) + 1)))"
-    cleaned = found.withColumn("text", F.expr(f"IF(size(spans) = 0, text, {clean})"))
+    clean = f"aggregate(__spans, named_struct('at', 0L, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring({text}, CAST(a.at AS INT) + 1)))"
+    cleaned = found.withColumn("text", F.expr(f"IF(size(__spans) = 0, text, {clean})"))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
