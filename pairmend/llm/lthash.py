@@ -117,7 +117,9 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             batch = pd.concat([held, batch], ignore_index=True)
         held = batch.iloc[-1:]
         for i, j in K.slices(np.cumsum([0, *batch["text"].str.len()])):
-            yield _edit(batch.iloc[i : j + 1])
+            made = _edit(batch.iloc[i : j + 1])
+            if len(made):  # an empty frame has no string columns
+                yield made
 
 
 def _edit(rows: pd.DataFrame) -> pd.DataFrame:
