@@ -9,6 +9,7 @@ from pairmend.config import SieveConfig
 from pairmend.functions.vectors import cosine, fit
 from pairmend.operators.quantiles import exact_quantiles
 from pairmend.schema import SIEVE_DEFAULTS, ensure_columns
+from pairmend.sources.shared import settle
 
 
 def score(rows: DataFrame, text: str = "text_emb", image: str = "image_emb") -> DataFrame:
@@ -30,7 +31,7 @@ def global_threshold(scored: DataFrame, config: SieveConfig = SieveConfig(), val
     return found.agg(F.coalesce(F.max("t"), F.lit(-1.0)).alias("global_threshold"))
 
 
-def category_thresholds(scored: DataFrame, config: SieveConfig = SieveConfig(), category: str = "category", value: str = "sim_score") -> DataFrame:
+def category_thresholds(scored: DataFrame, config: SieveConfig = SieveConfig(), category: str = "category", value: str = "sim_score", overall: DataFrame | None = None) -> DataFrame:
     """category, n_scored, sieve_threshold, threshold_source, one row for each category with a score.
 
     Categories with fewer than min_category_samples scores take the global threshold. A method other
@@ -40,7 +41,7 @@ def category_thresholds(scored: DataFrame, config: SieveConfig = SieveConfig(),
     qs, fence = _fence(method, config.iqr_k, config.quantile_q)
     own = exact_quantiles(scored.filter(F.col(category).isNotNull()), category, value, qs)
     few = F.col("n") < config.min_category_samples
-    both = own.join(F.broadcast(global_threshold(scored, config, value)))  # one row, not a product
+    both = own.join(F.broadcast(global_threshold(scored, config, value) if overall is None else overall))  # one row, not a product
     return both.select(
         category,
         F.col("n").alias("n_scored"),
@@ -73,7 +74,8 @@ def sieve(rows: DataFrame, config: SieveConfig = SieveConfig()) -> DataFrame:
     rows = ensure_columns(rows, SIEVE_DEFAULTS)
     scored = rows if "sim_score" in rows.columns else score(rows)
     scored = scored.withColumn("sim_score", F.when(~F.isnan("sim_score"), F.col("sim_score")))
-    return flag(attach(scored, category_thresholds(scored, config), global_threshold(scored, config)))
+    overall = settle(global_threshold(scored, config))
+    return flag(attach(scored, category_thresholds(scored, config, overall=overall), overall))
 
 
 def export_embeddings(sieved: DataFrame, size: int) -> DataFrame:

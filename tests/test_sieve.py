@@ -13,8 +13,9 @@ def scored(spark, rows):
     return spark.createDataFrame(rows, SCORED)
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_quantiles_are_numpys(spark, monkeypatch, small):
+@pytest.mark.parametrize(("in_task", "small"), [(0, 0), (0, 100_000), (1_000_000, 0)])
+def test_quantiles_are_numpys(spark, monkeypatch, in_task, small):
+    monkeypatch.setattr(quantiles, "IN_TASK", in_task)
     monkeypatch.setattr(quantiles, "SMALL", small)
     rng = np.random.default_rng(3)
     groups = {"a": rng.normal(size=30_000), "b": np.round(rng.normal(size=20_000), 1), "c": np.full(9_000, 2.5)}
