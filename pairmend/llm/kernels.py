@@ -32,7 +32,7 @@ def _power(base: int, n: int) -> np.ndarray:
         out = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         out[0] = 1
         kept = np.multiply.accumulate(out)
-        if len(kept) > 8 * SLICE_BYTES:
+        if len(kept) > 2 * SLICE_BYTES:
             return kept[:n]
         _powers[base] = kept
     return _powers[base][:n]

@@ -212,12 +212,15 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], line: float = LIN
     """The rows of docs, all columns, whose score is line or more."""
     weights, shift = model
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        m = margins(_all_features(pa.array(text, pa.string())), weights[0], 0.0, weights[1]) + shift
-        return pd.Series(1 / (1 + np.exp(-np.clip(m, -30, 30))) >= line)
+    place = docs.columns.index("text")
 
-    return docs.filter(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(place).cast(pa.string())
+            m = margins(_all_features(text), weights[0], 0.0, weights[1]) + shift
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))) >= line))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
