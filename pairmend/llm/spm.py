@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from pairmend.llm.kernels import slices
 
 MARK = "▁"
-#: Characters of distinct units indexed at a time, and units whose pieces a worker remembers.
-INDEX_CHARS, REMEMBERED = 1_000_000, 800_000
+_PAIR = 1 << 21  # above the number of any piece or character
+#: Characters of distinct units indexed at a time, and units (in each of two generations) and pairs of
+#: pieces that are remembered.
+INDEX_CHARS, REMEMBERED = 300_000, 250_000
 
 
 class Vocabulary:
@@ -36,11 +38,12 @@ class Vocabulary:
         self.score = {p: s for p, (_, s) in pieces.items()}
         self.byte_ids = byte_ids
         self.depth = max(map(len, pieces), default=1)
-        listed = sorted((p for p in pieces if len(p) > 1), key=lambda p: [*map(ord, p)])
-        self.names = listed
-        self.lengths = np.array([len(p) for p in listed], np.int64)
         self.split: dict[str, tuple[str, str] | None] = {}
-        self.fits: dict[tuple[str, str, float], bool] = {}
+        self.fits: dict[int, bool] = {}
+        # Pieces that merging can make, by number.
+        self.names = sorted((p for p in pieces if len(p) > 1 and self.parts(p)), key=lambda p: [*map(ord, p)])
+        self.numbers = [self.id_of[p] for p in self.names]
+        self.lengths = np.array([len(p) for p in self.names], np.int64)
         self.raw = [b""] * (1 + max([*byte_ids, *specials, *(i for i, _ in pieces.values())], default=0))
         for p, i in self.id_of.items():
             self.raw[i] = p.encode()
@@ -76,21 +79,26 @@ class Vocabulary:
                     break
         return self.split[piece]
 
-    def stay(self, left: str, right: str, below: float = -np.inf) -> bool:
+    def beside(self, left: int, right: int) -> bool:
+        """Whether merging leaves the pieces of these numbers beside each other; the answers are remembered."""
+        if len(self.fits) > REMEMBERED:
+            self.fits.clear()
+        key = left * _PAIR + right
+        self.fits[key] = self.stay(self.names[left] if left >= 0 else chr(-left - 1), self.names[right])
+        return self.fits[key]
+
+    def single(self, char: str) -> list[int]:
+        """A character's id, or its bytes', last first."""
+        i = self.id_of.get(char)
+        return [i] if i is not None else [self.byte_ids[b] for b in reversed(char.encode())]
+
+    def stay(self, a: str, b: str, below: float = -np.inf) -> bool:
         """Whether merging leaves these two beside each other: no merge over the seam comes before theirs.
 
         It takes back the merges at the seam, the latest first. A merge over the seam that is better
         than the one taken back would have come first; of equals the leftmost comes first. With
         `below`, merges over the seam no better than that don't count.
         """
-        key = (left, right, below)
-        if key not in self.fits:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            self.fits[key] = self._stay(left, right, below)
-        return self.fits[key]
-
-    def _stay(self, a: str, b: str, below: float) -> bool:
         over, equal = below, False  # what a merge over the seam must beat, or also match
         while True:
             joined = self.score.get(a + b)
@@ -169,35 +177,42 @@ def encode_units(units: list[str], vocabulary: Vocabulary) -> list[list[int]]:
 
 
 def _encode(units: list[str], v: Vocabulary) -> list[list[int]]:
-    joined = "\0".join(units)
-    text = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    starts, which = occurrences(text, suffixes(text, v.depth), v.names, v.lengths, v.depth) if len(text) else (np.zeros(0, np.int64),) * 2
+    text = np.frombuffer("\0".join(units).encode("utf-32-le"), np.uint32)
+    starts, which = occurrences(text, suffixes(text, v.depth), v.names, v.lengths, v.depth)
     ends = starts + v.lengths[which]
-    order = np.lexsort((starts, ends))
-    starts, ends, which = starts[order].tolist(), ends[order].tolist(), which[order].tolist()
-    edge, total, out, base = 0, len(starts), [], 0
+    order = np.lexsort((starts, ends))  # by end, the longest first
+    starts, ends, which = starts[order].tolist(), [*ends[order].tolist(), -1], which[order].tolist()
+    edge, out, base, fits = 0, [], 0, v.fits
     for unit in units:
-        stop = base + len(unit)
-        last: list[str] = [""] * (len(unit) + 1)  # the last piece of each prefix
+        # The last piece of each prefix: its number, or less than 0 for a character by itself.
+        last = [0] * (len(unit) + 1)
         for k in range(1, len(unit) + 1):
-            here, chosen = base + k, ""
-            while edge < total and ends[edge] == here:
-                piece = v.names[which[edge]]
-                before = starts[edge] - base
+            here, chosen = base + k, -ord(unit[k - 1]) - 1
+            while ends[edge] == here:
+                if chosen < 0:
+                    before = starts[edge] - base
+                    if not before:
+                        chosen = which[edge]
+                    else:
+                        key = last[before] * _PAIR + which[edge]
+                        stays = fits.get(key)
+                        if stays is None:
+                            stays = v.beside(last[before], which[edge])
+                        if stays:
+                            chosen = which[edge]
                 edge += 1
-                if not chosen and before >= 0 and (v.parts(piece) is not None) and (not before or v.stay(last[before], piece)):
-                    chosen = piece
-            last[k] = chosen or unit[k - 1]
+            last[k] = chosen
         ids, k = [], len(unit)
         while k:
             p = last[k]
-            i = v.id_of.get(p)
-            ids += [i] if i is not None else [v.byte_ids[b] for b in reversed(p.encode())]
-            k -= len(p)
+            if p >= 0:
+                ids.append(v.numbers[p])
+                k -= len(v.names[p])
+            else:
+                ids += v.single(unit[k - 1])
+                k -= 1
         out.append(ids[::-1])
-        base = stop + 1
-        while edge < total and ends[edge] <= stop:
-            edge += 1
+        base += len(unit) + 1
     return out
 
 
@@ -215,22 +230,32 @@ def decode(ids: list[int], v: Vocabulary) -> str:
     return (text[1:] if text.startswith(MARK) else text).replace(MARK, " ")
 
 
-@lru_cache(maxsize=2)
-def _loaded(model: bytes) -> tuple[Vocabulary, dict[str, bytes]]:
-    """A worker's vocabulary, and the units whose pieces it remembers, as little-endian 32-bit ids."""
-    return Vocabulary.parse(model), {}
+@lru_cache(maxsize=1)
+def vocabulary_of(model: bytes) -> Vocabulary:
+    """A worker's vocabulary."""
+    return Vocabulary.parse(model)
+
+
+class Encoder:
+    """Encodes texts; remembers the units it met lately, in two generations of which a full newer one
+    replaces the older. A task makes its own, so its memory goes with it."""
 
+    def __init__(self, model: bytes):
+        self.vocabulary = vocabulary_of(model)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-def encode_texts(texts: list[str], model: bytes) -> list[np.ndarray]:
-    """The piece ids of each text; units not met before are encoded together."""
-    vocabulary, known = _loaded(model)
-    units = [units_of(t) for t in texts]
-    new = {u for own in units for u in own}
-    if len(known) + len(new - known.keys()) > REMEMBERED:
-        known.clear()
-    new = sorted(new - known.keys())
-    known.update((u, np.array(ids, "<i4").tobytes()) for u, ids in zip(new, encode_units(new, vocabulary), strict=True))
-    return [np.frombuffer(b"".join([known[u] for u in own]), "<i4") for own in units]
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The piece ids of each text; units not met lately are encoded together."""
+        units = [units_of(t) for t in texts]
+        every = {u for own in units for u in own}
+        known = {u: x for u in every if (x := self.new.get(u) or self.old.get(u))}
+        fresh = sorted(every - known.keys())
+        known.update((u, np.array(ids, "<i4").tobytes()) for u, ids in zip(fresh, encode_units(fresh, self.vocabulary), strict=True))
+        if len(self.new) + len(known) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        self.new.update(known)
+        return [np.frombuffer(b"".join([known[u] for u in own]), "<i4") for own in units]
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -243,8 +268,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         model = file.read()
 
     @F.pandas_udf("array<int>")
-    def tokens(text: pd.Series) -> pd.Series:
-        return pd.Series(encode_texts(text.tolist(), model), dtype=object)
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(model)
+        for text in batches:
+            out: list[np.ndarray] = []
+            for i, j in slices(np.cumsum([0, *text.str.len()])):
+                out += encoder(text.iloc[i:j].tolist())
+            yield pd.Series(out, dtype=object)
 
     out = docs.withColumn("tokens", tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return out.withColumn("n_tokens", F.size("tokens").cast("long"))
@@ -257,7 +287,7 @@ def decoded(docs: DataFrame, model_path: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(tokens: pd.Series) -> pd.Series:
-        return pd.Series([decode(x, _loaded(model)[0]) if x is not None else "" for x in tokens], dtype=object)
+        return pd.Series([decode(x, vocabulary_of(model)) if x is not None else "" for x in tokens], dtype=object)
 
     return docs.withColumn("decoded", text("tokens"))
 
@@ -276,11 +306,12 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(model)
         for batch in batches:
             for i, j in slices(np.cumsum([0, *batch["text"].str.len()])):
                 part = batch.iloc[i:j]
-                ids = encode_texts(part["text"].tolist(), model)
-                back = [decode(x.tolist(), _loaded(model)[0]) for x in ids]
+                ids = encoder(part["text"].tolist())
+                back = [decode(x.tolist(), encoder.vocabulary) for x in ids]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"], "n_chars": part["text"].str.len(), "n_tokens": [len(x) for x in ids],
                     "tokens_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
