@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,21 @@ from pairmend.llm.common import table, written
 from pairmend.llm.queries import TOKENIZER
 
 
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1_000
+
+
+def _in_small_batches(stage):
+    """The stage, with Arrow batches of texts that leave a worker's memory to its work."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't reject."""
     return nbsvm.accepted(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
@@ -40,11 +57,11 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", quality),
-    ("MinHash near-dedup", near_dedup),
+    ("quality classifier", _in_small_batches(quality)),
+    ("MinHash near-dedup", _in_small_batches(near_dedup)),
     ("secret scans", secret_scan),
     ("mixing sources to target weights", mix),
-    ("SentencePiece encoding", encode),
+    ("SentencePiece encoding", _in_small_batches(encode)),
 ]
 
 #: Training, signatures and tokens are not SQL: the stages are tested against brute force instead.
