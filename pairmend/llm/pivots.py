@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from pairmend.llm.common import settle, small
 from pairmend.llm.components import connected_components
 
-#: Pivots a vector names.
-NAMED = 6
-#: Pivots in all: four times the root of the number of vectors, within these bounds. Beyond
-#: MANY vectors, three shared pivots make a candidate instead of two, so lists stay short.
-LEAST_PIVOTS, MOST_PIVOTS, MANY = 32, 2048, 2_000_000
+#: Pivots that candidates have in common, and the fewest that a vector names.
+SHARED, LEAST_NAMED = 2, 6
+#: Pivots in all: four times the root of the number of vectors, within these bounds.
+LEAST_PIVOTS, MOST_PIVOTS = 32, 2048
+#: Pairs whose list keys are compared at a time.
+PAIRS = 100_000
 #: Vectors in a block of a list; a longer list is compared block by block, in groups of two.
 BLOCK = 1024
 
@@ -36,12 +37,22 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return rows.filter(f"coalesce({fine}, false)")
 
 
-def _units(column: pd.Series, width: int) -> np.ndarray:
-    """Rows of length 1; shorter vectors are padded with zeros."""
+def _padded(column: pd.Series, width: int) -> np.ndarray:
+    """The vectors as rows; shorter ones are padded with zeros."""
     out = np.zeros((len(column), width))
     for k, v in enumerate(column):
         out[k, : len(v)] = v
-    out /= np.abs(out).max(1, keepdims=True)  # squares of tiny or huge parts stay in range
+    return out
+
+
+def _units(column: pd.Series, width: int) -> np.ndarray:
+    """Rows of length 1; shorter vectors are padded with zeros."""
+    return _scaled(_padded(column, width))
+
+
+def _scaled(out: np.ndarray) -> np.ndarray:
+    """The rows at length 1."""
+    out = out / np.abs(out).max(1, keepdims=True)  # squares of tiny or huge parts stay in range
     return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
@@ -52,9 +63,16 @@ def choose_pivots(distinct: DataFrame, n: int, width: int) -> np.ndarray:
     return _units(rows["v"], width)
 
 
-def permutations(distinct: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
-    """(vec_id, copies, unit, near): the vector at length 1 and its NAMED nearest pivots, nearest first."""
-    named = min(NAMED, len(pivots))
+def named_of(pivots: int) -> int:
+    """How many pivots a vector names: one more at each doubling beyond 256, as neighbours agree on
+    fewer of their nearest when pivots stand closer. So recall stays level as pivots grow."""
+    return min(pivots, max(LEAST_NAMED, (pivots - 1).bit_length() - 2))
+
+
+def permutations(distinct: DataFrame, pivots: np.ndarray, width: int, kind: str = "<f8") -> DataFrame:
+    """(vec_id, copies, raw, near): the vector, padded, in numbers of a kind that holds it exactly, and
+    its nearest pivots, nearest first."""
+    named = named_of(len(pivots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,9 +81,10 @@ def permutations(distinct: DataFrame, pivots: np.ndarray, width: int) -> DataFra
             top = np.argpartition(-close, named - 1, axis=1)[:, :named]
             order = np.lexsort((top, -np.take_along_axis(close, top, 1)), axis=1)
             near = np.take_along_axis(top, order, 1).astype("<i2")
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "copies": batch["copies"], "unit": [u.tobytes() for u in unit], "near": [x.tobytes() for x in near]})
+            raw = _padded(batch["v"], width).astype(kind)
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "copies": batch["copies"], "raw": [x.tobytes() for x in raw], "near": [x.tobytes() for x in near]})
 
-    return distinct.mapInPandas(run, "vec_id long, copies long, unit binary, near binary")
+    return distinct.mapInPandas(run, "vec_id long, copies long, raw binary, near binary")
 
 
 def _keys(near: pd.Series, shared: int) -> list[list[int]]:
@@ -84,23 +103,20 @@ def _pack(pivots: tuple[int, ...]) -> int:
     return key
 
 
-def _verify(threshold: float, shared: int):
-    """A function from rows in key order to (vec_id, n, root): links counted once, and where they lead."""
+def _verify(threshold: float, shared: int, kind: str = "<f8"):
+    """A function from rows in key order to (vec_id, n, root): links counted once, and where they lead.
 
-    def group(key: int, rows: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
-        rows = rows.sort_values("vec_id")
-        unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
-        near = np.sort(np.frombuffer(b"".join(rows["near"]), "<i2").reshape(len(rows), -1), axis=1)
-        ids, copies, blocks = rows["vec_id"].to_numpy(), rows["copies"].to_numpy(), rows["own"].to_numpy()
-        mask = unit @ unit.T >= threshold
-        np.fill_diagonal(mask, False)
-        if blocks.min() != blocks.max():  # two blocks of one list: what is in one block is met elsewhere
-            mask &= blocks[:, None] != blocks[None, :]
-        left, right = np.nonzero(np.triu(mask))
-        if not len(left):
-            return
-        first = np.array([_first_common(near[a], near[b], shared) == key for a, b in zip(left, right, strict=True)])
-        counts = np.bincount(left[first], copies[right[first]], len(ids)) + np.bincount(right[first], copies[left[first]], len(ids))
+    Lists are compared one by one, what is found in many of them is counted together.
+    """
+
+    def counted(rows: pd.DataFrame, near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+        ids, copies, keys = (rows[c].to_numpy() for c in ("vec_id", "copies", "key"))
+        first = np.zeros(len(left), bool)
+        for k in range(0, len(left), PAIRS):
+            x, y = left[k : k + PAIRS], right[k : k + PAIRS]
+            first[k : k + PAIRS] = _first_common(near[x], near[y], shared) == keys[x]
+        x, y = left[first], right[first]
+        counts = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
         root = np.arange(len(ids))
         while True:
             new = root.copy()
@@ -110,8 +126,28 @@ def _verify(threshold: float, shared: int):
             if (new == root).all():
                 break
             root = new
-        for k in np.union1d(left, right).tolist():
-            yield int(ids[k]), int(counts[k]), int(ids[root[k]])
+        met = np.union1d(left, right)
+        return pd.DataFrame({"vec_id": ids[met], "n": counts[met].astype("int64"), "root": ids[root[met]]})
+
+    def groups(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        unit = _scaled(np.frombuffer(b"".join(rows["raw"]), kind).reshape(len(rows), -1).astype(np.float64))
+        near = np.sort(np.frombuffer(b"".join(rows["near"]), "<i2").reshape(len(rows), -1), axis=1)
+        blocks, across = rows["own"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
+        left, right, held = [], [], 0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mask = np.triu(unit[a:b] @ unit[a:b].T >= threshold, 1)
+            if across[a]:  # two blocks of one list: what is in one block is met elsewhere
+                mask &= blocks[a:b, None] != blocks[None, a:b]
+            x, y = np.nonzero(mask)
+            if len(x):
+                left.append(x + a)
+                right.append(y + a)
+                held += len(x)
+            if held > PAIRS:
+                yield counted(rows, near, np.concatenate(left), np.concatenate(right))
+                left, right, held = [], [], 0
+        if held:
+            yield counted(rows, near, np.concatenate(left), np.concatenate(right))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -119,20 +155,26 @@ def _verify(threshold: float, shared: int):
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             marks = batch[["key", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
-            out = [x for a, b in zip([0, *cuts[:-1]], cuts, strict=False) for x in group(int(marks[a, 0]), batch.iloc[a:b])]
+            if len(cuts):
+                yield from groups(batch.iloc[: cuts[-1]], np.concatenate([[0], cuts]))
             held = batch.iloc[cuts[-1] if len(cuts) else 0 :]
-            yield pd.DataFrame(out, columns=["vec_id", "n", "root"])
         if held is not None and len(held):
-            yield pd.DataFrame(list(group(int(held["key"].iat[0]), held)), columns=["vec_id", "n", "root"])
+            yield from groups(held, np.array([0, len(held)]))
 
     return run
 
 
-def _first_common(a: np.ndarray, b: np.ndarray, shared: int) -> int:
-    return _pack(tuple(np.intersect1d(a, b)[: min(shared, len(a))].tolist()))
+def _first_common(a: np.ndarray, b: np.ndarray, shared: int) -> np.ndarray:
+    """The key of the smallest pivots that two rows of sorted pivots have in common, for each row."""
+    common = (a[:, :, None] == b[:, None, :]).any(2)
+    common &= np.cumsum(common, axis=1) <= shared
+    key = np.zeros(len(a), np.int64)
+    for k in range(a.shape[1]):
+        key = np.where(common[:, k], key * 4096 + a[:, k] + 1, key)
+    return key
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shared: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shared: int = SHARED) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     vectors needs vec_id and embedding; labels and other columns are not looked at. Links join
@@ -151,11 +193,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shared: int | No
     distinct = settle(good.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
     # A vec_id that two different vectors carry stands for both: they share its component.
     n, width = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    shared = shared or (2 if n <= MANY else 3)
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     if n:
-        index = settle(permutations(distinct, choose_pivots(distinct, n, width), width))
+        index = settle(permutations(distinct, choose_pivots(distinct, n, width), width, kind))
     else:
-        index = spark.createDataFrame([], "vec_id long, copies long, unit binary, near binary")
+        index = spark.createDataFrame([], "vec_id long, copies long, raw binary, near binary")
     keys_of = F.pandas_udf(lambda near: pd.Series(_keys(near, shared)), "array<long>")
     lists = index.select("vec_id", F.explode(keys_of("near")).alias("key"))
     long = settle(lists.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.expr(f"1 + (n - 1) div {BLOCK}")))
@@ -163,7 +205,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shared: int | No
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("vec_id", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.join(index, "vec_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    met = settle(rows.select("vec_id", "key", "own", "i", "j", "copies", "unit", "near").mapInPandas(_verify(threshold, shared), "vec_id long, n long, root long"))
+    met = settle(rows.select("vec_id", "key", "own", "i", "j", "copies", "raw", "near").mapInPandas(_verify(threshold, shared, kind), "vec_id long, n long, root long"))
     found = connected_components(met, "vec_id", "root").select(F.col("id").alias("rep"), F.col("component_id").alias("comp"))
     counts = met.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "rep")
     reps = distinct.select("v", F.col("vec_id").alias("rep"), "copies").join(counts, "rep", "left").join(found, "rep", "left")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pairmend.llm import hostpaths, pivots
@@ -61,6 +62,25 @@ def test_recall_near_the_threshold(spark):
     assert 0.9 * 1600 <= found <= 1600
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_recall_with_the_most_pivots(spark, monkeypatch, kind):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n = rng.normal(size=a.shape)
+    n -= (n * a).sum(1, keepdims=True) * a
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    both = np.concatenate([a, 0.905 * a + np.sqrt(1 - 0.905**2) * n])
+    others = rng.normal(size=(2048, 64))
+    others /= np.linalg.norm(others, axis=1, keepdims=True)
+    monkeypatch.setattr(pivots, "choose_pivots", lambda *_: others)
+    monkeypatch.setattr(pivots, "MANY", 1000, raising=False)  # a size from which more was demanded once
+    rows = spark.createDataFrame([(i, v, 0, "") for i, v in enumerate(both.tolist())], VECTORS.replace("double", kind))
+    found = pivots.near_duplicates(rows).agg(F.sum("n_links")).first()[0]
+    print("recall", found / 4000)
+    assert 0.97 * 4000 <= found <= 4000
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 100), (7, 7), (None, 3), (200, 100)] + [(300, k) for k in range(301, 350)]
     got = {r["id"]: r["component_id"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
