@@ -23,6 +23,8 @@ from pairmend.llm.components import connected_components
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 20
+#: Members of a bucket in a block, when they are compared with each other.
+AMONG = 500
 _rng = np.random.default_rng(7)
 _MULT = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -169,7 +171,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     the likeliest candidate of each class is verified first, then the pairs that still join different
     components. In buckets that hold more components after that, the members outside the leader's
     component are compared with all of it and with each other, in bounded blocks. Only pairs that are
-    in one component already are left out, so no component misses a link.
+    in one component already, or that hold too few shingles that any two of those members share, are left
+    out, so no component misses a link.
 
     Defined results: a null or empty text, or one of white space, has n_shingles 0, links with
     nothing and is kept; a null doc_id links with nothing, has a null component_id and is kept. Rows that
@@ -203,9 +206,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     minor = settle(_minor(shared.join(buckets, "band"), found))
     if not minor.isEmpty():
         more = settle(_against_components(docs, minor, found, reps, least, shingle_words, percent))
-        late = settle(_among(minor, found, more, reps, least).join(likely, ["a", "b"], "left_anti"))
-        more = more.select("a", "b").union(_verify(late, _texts(docs, late), shingle_words, percent))
-        found = connected_components(links.union(more))
+        late = settle(_among(docs, minor, found, more, reps, least, shingle_words, percent))
+        found = connected_components(links.union(more.select("a", "b")).union(late))
     found = found.select(F.col("id").alias("rep"), "component_id")
     out = named.join(found, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)).alias("kept"))
@@ -273,27 +275,84 @@ def _against_components(docs: DataFrame, minor: DataFrame, found: DataFrame, rep
     return both.groupBy("comp", "x", "y").applyInPandas(meet, "a long, b long, comp long")
 
 
-def _among(minor: DataFrame, found: DataFrame, more: DataFrame, reps: DataFrame, least: list[int], block: int = 1000) -> DataFrame:
-    """Pairs (a, b) of minor members of one bucket and two components that no batch of hashes prunes."""
+def _shingle_rows(shingles: int):
+    """A function from Arrow batches of (doc_id, text) to batches of (doc_id, shingle), each shingle once."""
+
+    def run(batches):
+        for batch in batches:
+            ids, (data, at) = batch.column(0).to_numpy(), K.text_bytes(batch.column(1))
+            for i, j in K.slices(at):
+                part = data[at[i] : at[j]]
+                starts, ends, words_at = K.word_bounds(part, at[i : j + 1] - at[i])
+                words, sets = K.word_hashes(part, starts, ends, lower=True), []
+                for a, b in zip(words_at[:-1], words_at[1:], strict=True):
+                    own = words[a:b]
+                    sets.append(np.unique(K.window_hashes(own, min(shingles, len(own)))) if len(own) else own)
+                whose = np.repeat(ids[i:j], [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(whose), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+
+    return run
+
+
+def _sharing(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(doc_id, single): how many shingles no other of the texts has (those with none have no row)."""
+    each = texts.select("doc_id", "text").mapInArrow(_shingle_rows(shingle_words), "doc_id long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("single"))
+
+
+def _among(docs: DataFrame, minor: DataFrame, found: DataFrame, more: DataFrame, reps: DataFrame, least: list[int], shingle_words: int, percent: int) -> DataFrame:
+    """Links (a, b) of minor members of one bucket: enough of them in each block to join what belongs together.
+
+    What two linked sets share is at most what either shares with any member at all. So a member with too
+    few such shingles is left out, and a bucket in which none could be the smaller end of a link as well.
+    Buckets are dealt into blocks; a group holds two blocks, or one. What no batch of hashes
+    prunes is verified there, the likeliest first, in the first bucket that a pair has in common,
+    unless its components were joined in the group.
+    """
     comp = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp"))
     new = more.groupBy(F.col("a").alias("doc_id")).agg(F.min("comp").alias("new"))
     rows = minor.select("band", "doc_id").join(comp, "doc_id", "left").join(new, "doc_id", "left")
-    rows = rows.select("band", "doc_id", F.coalesce("new", "comp", "doc_id").alias("comp"))
-    crowds = settle(rows.groupBy("band").agg(F.expr(f"1 + count(*) div {block}").alias("blocks"), F.count_distinct("comp").alias("c")).filter("c > 1"))
-    rows = rows.join(small(crowds), "band").join(reps.select("doc_id", "sig"), "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), "blocks")
-    outer = rows.select("band", own.alias("block"), "doc_id", "comp", "sig", F.lit(True).alias("outer"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    inner = rows.select("band", each.alias("block"), "doc_id", "comp", "sig", F.lit(False).alias("outer"))
+    rows = settle(rows.select("band", "doc_id", F.coalesce("new", "comp", "doc_id").alias("comp")))
+    many = settle(rows.groupBy("band").agg(F.count_distinct("comp").alias("c")).filter("c > 1").select("band"))
+    rows = rows.join(small(many), "band", "left_semi")
+    texts = _texts(docs, rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    about = reps.select("doc_id", "n_shingles").join(texts.select("doc_id"), "doc_id", "left_semi").join(_sharing(texts, shingle_words), "doc_id", "left")
+    about = about.withColumn("met", F.col("n_shingles") - F.coalesce("single", F.lit(0)))
+    about = about.filter(f"100 * met >= {percent} * n_shingles").select("doc_id", "n_shingles", "met")
+    rows = settle(rows.join(about, "doc_id"))
+    least_end = F.expr(f"bool_or({100 + percent} * met >= {2 * percent} * n_shingles)")
+    crowds = rows.groupBy("band").agg(F.expr(f"1 + (count(*) - 1) div {AMONG}").alias("blocks"), F.count_distinct("comp").alias("c"), least_end.alias("any"))
+    rows = settle(rows.join(small(settle(crowds.filter("c > 1 and any").drop("c", "any"))), "band"))
+    own = rows.groupBy("doc_id").agg(F.collect_set("band").alias("own"))
+    places = F.transform("bands", lambda b: F.when(F.array_contains("own", b), b).otherwise(F.lit(0)))
+    held = reps.join(own, "doc_id").select("doc_id", "sig", places.alias("bands")).join(texts, "doc_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("band", "doc_id", "comp", "n_shingles", "met", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, found = group[group["outer"]], group[~group["outer"]], []
-        if len(left) and len(right):
-            x, y, ids, comps = _bytes_of(left["sig"]), _bytes_of(right["sig"]), right["doc_id"].to_numpy(), right["comp"].to_numpy()
-            for k in range(len(x)):
-                near = np.flatnonzero((comps != left["comp"].iat[k]) & (ids > left["doc_id"].iat[k]))
-                near = near[_matches(np.broadcast_to(x[k], (len(near), HASHES)), y[near], least) >= 0]
-                found += [(left["doc_id"].iat[k], z) for z in ids[near]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return outer.union(inner).groupBy("band", "block").applyInPandas(meet, "a long, b long").distinct()
+        out, band, across = [], group["band"].iat[0], group["i"].iat[0] != group["j"].iat[0]
+        sigs, bands = _bytes_of(group["sig"]), np.array(group["bands"].tolist())
+        ids, n, met, block = (group[c].to_numpy() for c in ("doc_id", "n_shingles", "met", "own"))
+        part = np.unique(group["comp"], return_inverse=True)[1]
+        texts, sets = group["text"].tolist(), [None] * len(ids)
+        for k in range(len(ids)):
+            fits = (100 + percent) * np.minimum(met, met[k]) >= percent * (n + n[k])
+            near = np.flatnonzero(fits & (part != part[k]) & (ids > ids[k]) & ((block != block[k]) if across else True))
+            alike = (bands[near] == bands[k]) & (bands[k] != 0)
+            near = near[bands[k][alike.argmax(1)] == band] if len(near) else near
+            if not len(near):
+                continue
+            score = _matches(np.broadcast_to(sigs[k], (len(near), HASHES)), sigs[near], least)
+            for z in near[np.argsort(-score, kind="stable")[: int((score >= 0).sum())]]:
+                if part[z] == part[k]:
+                    continue
+                for x in (k, z):
+                    sets[x] = _shingle_set(texts[x], shingle_words) if sets[x] is None else sets[x]
+                if _linked(sets[k], sets[z], percent):
+                    out.append((ids[k], ids[z]))
+                    part[part == part[z]] = part[k]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.join(held, "doc_id").groupBy("band", "i", "j").applyInPandas(meet, "a long, b long").distinct()

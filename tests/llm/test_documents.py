@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairmend.llm import anchors, lthash, maglev, minhash, mixing, nbsvm, secrets, spm
+from pairmend.llm.components import connected_components
 from pairmend.llm.queries import TOKENIZER
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, words array<string>"
@@ -93,6 +94,43 @@ def test_a_crowd_around_a_base(spark):
     assert got == components({i: shingles(t, 2) for i, t in rows})
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_a_family_of_distinct_texts(spark, monkeypatch, block):
+    """Texts at similarity 0.7 or so, all in one bucket or another, and few of them linked: no crowd of pairs."""
+    rng = np.random.default_rng(6)
+    base, texts = [f"b{k}" for k in range(300)], []
+    for k in range(100):
+        own = list(base)
+        for at in rng.choice(300, 28, replace=False):
+            own[at] = f"e{k}-{at}"
+        texts.append(own)
+    for k in range(0, 30, 2):
+        texts.append([f"c{k}" if at == 150 else w for at, w in enumerate(texts[k])])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    among, found = minhash._among, []
+    monkeypatch.setattr(minhash, "AMONG", block, raising=False)
+    monkeypatch.setattr(minhash, "_among", lambda *a: found.append(among(*a)) or found[-1])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), shingle_words=2).collect()}
+    assert got == components({i: shingles(t, 2) for i, t in rows})
+    print("from buckets", [x.count() for x in found])
+    assert sum(x.count() for x in found) <= len(rows)
+
+
+@pytest.mark.parametrize("block", [500, 7])
+def test_members_of_buckets_meet_each_other(spark, monkeypatch, block):
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{k // 4}-{i}" for i in range(120))) for k in range(40)]
+    rows = [(k, t.replace(f"-{rng.integers(120)}", f"-x{k}", 1)) for k, t in rows]
+    signed = minhash.signatures(frame(spark, rows), 2)
+    buckets = signed.select("doc_id", F.explode("bands").alias("band")).withColumn("lead_comp", F.lit(-1).cast("long"))
+    none = spark.createDataFrame([], "id long, component_id long")
+    more = spark.createDataFrame([], "a long, b long, comp long")
+    monkeypatch.setattr(minhash, "AMONG", block)
+    links = minhash._among(frame(spark, rows), buckets, none, more, signed, minhash.least_matches(0.8, 1e-6), 2, 80)
+    got = {r["id"]: r["component_id"] for r in connected_components(links).collect()}
+    assert got == components({i: shingles(t, 2) for i, t in rows})
+
+
 def test_pruning_keeps_all_but_few():
     least = minhash.least_matches(0.8, 1e-6)
     assert len(least) == minhash.HASHES // minhash.BATCH and all(a <= b for a, b in zip(least, least[1:], strict=False))
