@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmend.llm.common import n_words, settle, small, words_of
+from pairmend.llm.common import n_words, settle, small
 
 #: Documents of one source in a strip, which one task orders.
 STRIP_DOCS = 10_000
 #: Words in a block: a thousandth of the source, within these bounds; at most 2 ** 30 blocks a source.
 LEAST_BLOCK, MOST_BLOCK = 16, 512
+#: A word with what stands before it, and for the last one what stands after it.
+SPACED_WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -158,8 +160,8 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 0, shuffle: bool = True, *
     """The mixed corpus: one row a piece, with all columns of docs, then shard and place_key
     (replacing columns of these names).
 
-    text is the piece's words: the text as it stands where the piece is all of it, else joined by one
-    space. Rows that repeat a doc_id and text are one document here, drawn as often as all of
+    text is the piece's words with what stands before each, and what stands after the text's last: the
+    pieces of one document and epoch, joined in order, are its text. Rows that repeat a doc_id and text are one document here, drawn as often as all of
     them. With shuffle, each shard is one run of rows in the order of place_key, a random one.
     """
     pieces = plan_mix(docs, levels, seed, **how).groupBy("doc_id", "mark", "size").agg(F.flatten(F.collect_list("pieces")).alias("pieces"))
@@ -168,9 +170,9 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 0, shuffle: bool = True, *
     whole = whole.groupBy("__doc_id", "__mark").agg(F.first("__doc").alias("__doc"))
     met = whole.join(pieces, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")))
     text = F.col("__doc.text")
-    met = met.select("__doc", words_of(text).alias("__words"), "size", F.explode("pieces").alias("__p"))
+    met = met.select("__doc", F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)).alias("__words"), "size", F.explode("pieces").alias("__p"))
     span = F.col("__p.last") - F.col("__p.first")
-    part = F.array_join(F.slice("__words", F.col("__p.first").cast("int") + 1, span.cast("int")), " ")
+    part = F.array_join(F.slice("__words", F.col("__p.first").cast("int") + 1, span.cast("int")), "")
     cut = F.when(span == F.col("size"), text).otherwise(part)
     kept = [cut.alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "place_key")]
     key = F.xxhash64("__p.shard", "__doc.source", "__p.place", F.lit(seed))

@@ -285,6 +285,18 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, [])).collect() == [] and mixing.plan_mix(frame(spark, [(1, None)])).first()["pieces"] == []
 
 
+def test_pieces_give_the_text_back(spark):
+    rng = np.random.default_rng(3)
+    gaps = [" ", "\n\n", "\t", " \r\n ", "  "]
+    made_of = lambda k: "".join(f"{gaps[rng.integers(5)] if i or k % 2 else ''}d{k}w{i}é" for i in range(int(rng.integers(1, 300))))
+    texts = {k: made_of(k) + ("\n \n" if k % 3 else "") for k in range(60)}
+    rows = mixing.mix(frame(spark, texts.items()), levels=2, share=1.0, cap=1).collect()  # every block once
+    pieces = {k: [r["text"] for r in rows if r["doc_id"] == k] for k in texts}
+    assert sum(len(x) > 1 for x in pieces.values()) > 30
+    at = lambda piece: int(words(piece)[0].split("w")[1][:-1])
+    assert {k: "".join(sorted(x, key=at)) for k, x in pieces.items()} == texts
+
+
 def test_tree_splits_exactly(spark):
     quotas = spark.createDataFrame([(0, 500), (1, 37), (2, 0), (3, 1201)], "rank long, quota long")
     got = mixing.splitting_tree(quotas, 3).collect()
