@@ -48,8 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces' tokens."""
-    return spm.encode(docs, TOKENIZER).select("doc_id", "lang", "source", "n_tokens", "tokens")
+    """The pieces' tokens, and whether decoding them gives the pieces back."""
+    return spm.coded(docs, TOKENIZER).select("doc_id", "lang", "source", "n_tokens", "tokens", "decoded_sha256", "round_trip")
 
 
 def _measured(docs: DataFrame) -> DataFrame:

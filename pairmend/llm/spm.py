@@ -292,6 +292,33 @@ def decoded(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.withColumn("decoded", text("tokens"))
 
 
+def coded(docs: DataFrame, model_path: str) -> DataFrame:
+    """docs with tokens and n_tokens as from encode(), and what decoding these gives: decoded_sha256, and
+    round_trip, whether it is the text (an empty one for a null). One pass, no shuffle."""
+    with open(model_path, "rb") as file:
+        model = file.read()
+
+    @F.pandas_udf("tokens array<int>, decoded_sha256 string, round_trip boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(model)
+        for text in batches:
+            ids: list[np.ndarray] = []
+            sums, same = [], []
+            for i, j in slices(np.cumsum([0, *text.str.len()])):
+                own = text.iloc[i:j].tolist()
+                found = encoder(own)
+                for t, x in zip(own, found, strict=True):
+                    back = decode(x.tolist(), encoder.vocabulary)
+                    sums.append(hashlib.sha256(back.encode()).hexdigest())
+                    same.append(back == t)
+                ids += found
+            yield pd.DataFrame({"tokens": pd.Series(ids, dtype=object), "decoded_sha256": sums, "round_trip": same})
+
+    out = docs.withColumn("__coded", both(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    fields = [F.col(f"__coded.{c}").alias(c) for c in ("tokens", "decoded_sha256", "round_trip")]
+    return out.select(*docs.columns, *fields).withColumn("n_tokens", F.size("tokens").cast("long"))
+
+
 CHECKED = "doc_id long, n_chars long, n_tokens long, tokens_sha256 string, decoded_sha256 string, round_trip boolean"
 
 

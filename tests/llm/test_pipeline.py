@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pairmend.llm import secrets
+from pairmend.llm import secrets, spm
+from pairmend.llm.queries import TOKENIZER
 
 
 def test_stages(spark, tmp_path):
@@ -30,3 +31,12 @@ def test_stages(spark, tmp_path):
         assert seen[name].columns == docs.columns
     assert all(r["n_tokens"] == len(r["tokens"]) > 0 for r in seen["SentencePiece encoding"].collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mixed)
+
+
+def test_the_last_stage_decodes(spark):
+    texts = ["Two words.\n\nAnd  more", " \tx", "a \u2581 mark", "", None, "日本 naïve"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    want = {r["doc_id"]: r for r in spm.round_trips(docs, TOKENIZER).collect()}
+    assert all(got[k][c] == want[k][c] for k in want for c in ("n_tokens", "decoded_sha256", "round_trip")) and len(got) == len(texts)
+    assert got[0]["round_trip"] and not got[2]["round_trip"]
