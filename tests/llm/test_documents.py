@@ -101,7 +101,7 @@ def test_a_family_of_distinct_texts(spark, monkeypatch, block):
     base, texts = [f"b{k}" for k in range(300)], []
     for k in range(100):
         own = list(base)
-        for at in rng.choice(300, 28, replace=False):
+        for at in rng.choice(300, 14, replace=False):
             own[at] = f"e{k}-{at}"
         texts.append(own)
     for k in range(0, 30, 2):
