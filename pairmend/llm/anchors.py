@@ -42,17 +42,18 @@ class _Bundle:
         table = table.take(order)
         self.ids, self.window, self.block = table.column("doc_id").combine_chunks(), window, (window + 1) // 2
         self.data, self.at = K.text_bytes(table.column("text"))
-        words, self.starts, self.ends, first, total = [], [], [], [np.zeros(1, np.int64)], 0
+        words, second, self.starts, self.ends, first, total = [], [], [], [], [np.zeros(1, np.int64)], 0
         for i, j in K.slices(self.at):
             part = self.data[self.at[i] : self.at[j]]
             starts, ends, words_at = K.word_bounds(part, self.at[i : j + 1] - self.at[i])
             words.append(K.word_hashes(part, starts, ends))
+            second.append(K.word_hashes(part, starts, ends, lane=1))
             self.starts.append(starts + self.at[i])
             self.ends.append(ends + self.at[i])
             first.append(words_at[1:] + total)
             total += len(starts)
         none = [np.zeros(0, np.int64)]
-        self.words = np.concatenate(words or [np.zeros(0, np.uint64)])
+        self.words, self.second = (np.concatenate(x or [np.zeros(0, np.uint64)]) for x in (words, second))
         self.starts, self.ends = np.concatenate(self.starts or none), np.concatenate(self.ends or none)
         self.first = np.concatenate(first)
         sizes = np.diff(self.first)
@@ -74,11 +75,11 @@ class _Bundle:
         return at[hits[at + self.window - self.block + 1] > hits[at]]
 
     def windows(self, at: np.ndarray) -> np.ndarray:
-        """128-bit keys of the windows that start there."""
+        """128-bit keys of the windows that start there, of two independent hashes of each word."""
         out = np.zeros((len(at), 2), np.uint64)
         if len(at):
             out[:, 0] = K.window_hashes(self.words, self.window)[at]
-            out[:, 1] = K.window_hashes(K.mix(self.words ^ np.uint64(0xA5A5A5A55A5A5A5A)), self.window)[at]
+            out[:, 1] = K.window_hashes(self.second, self.window)[at]
         return out
 
 

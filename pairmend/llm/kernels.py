@@ -6,36 +6,26 @@ Hashes are fixed functions of the bytes, alike on every executor and in every ru
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at a time; the working arrays take about 60 times as much.
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at a time. The working arrays take about 60 times as much, so a text that is
+#: longer (it is a slice by itself) takes about 60 times its own size.
+SLICE_BYTES = 1 << 19
 
-_rng = np.random.default_rng(20_011)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    if base not in _powers or len(_powers[base]) < n:
-        out = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        out[0] = 1
-        kept = np.multiply.accumulate(out)
-        if len(kept) > 2 * SLICE_BYTES:
-            return kept[:n]
-        _powers[base] = kept
-    return _powers[base][:n]
+#: Words of more bytes than this are hashed by themselves.
+LONG_WORD = 64
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD], np.uint64)
+#: Masks that keep the first 0 .. 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,19 +74,44 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; lower maps A-Z to a-z first."""
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * _power(_BASE, len(data)), out=run[1:])
-    own = (run[ends] - run[starts]) * _power(_UNBASE, len(data) + 1)[starts]
-    return mix(own + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; lower maps A-Z to a-z first, and lanes 0 and 1 are independent.
+
+    Eight bytes after another go through a bijective mix, so words of up to eight bytes and one length
+    never collide, and no algebra makes longer ones collide. Very long words get a digest's first bytes.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    data = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    size = ends - starts
+    eights = np.lib.stride_tricks.as_strided(data.view(np.uint8), (len(data) - 7, 8), (1, 1))
+    out = mix(size.astype(np.uint64) * _ODD[lane] + _ODD[2 + lane])
+    live, at = np.arange(len(starts)), 0
+    while len(live):
+        left = size[live] - at
+        part = eights[starts[live] + at].view("<u8").ravel() & _FIRST[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ part) * _ODD[lane] + _ODD[2 + lane])
+        live, at = live[(left > 8) & (size[live] <= LONG_WORD)], at + 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
+        out[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of size words: len(words) - size + 1 of them, or none."""
-    n = len(words)
-    if n < size:
+    """A 64-bit hash of each run of size words: len(words) - size + 1 of them, or none.
+
+    Runs of two, four, eight words and so on are mixed from two halves, and a run of any size from those.
+    """
+    n = len(words) - size + 1
+    if n < 1 or size < 1:
         return np.zeros(0, np.uint64)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * _power(_BASE, n), out=run[1:])
-    return mix((run[size:] - run[:-size]) * _power(_UNBASE, n + 1)[: n - size + 1] + np.uint64(size))
+    run, length, out, done, left = words, 1, None, 0, size
+    while left:
+        if left & 1:
+            out = run[:n] if out is None else mix(out * _ODD[0] + run[done : done + n] * _ODD[2] + np.uint64(length))
+            done += length
+        left >>= 1
+        if left:
+            run, length = mix(run[:-length] * _ODD[1] + run[length:] + np.uint64(length)), 2 * length
+    return mix(out ^ np.uint64(size))

@@ -4,8 +4,8 @@ A paragraph is a maximal run without newlines; it is hashed to a wide vector. A
 the sum of its paragraphs' vectors, modulo a power of two in each lane, so the order of the paragraphs
 does not matter, and a paragraph is added or removed by adding or subtracting its vector.
 
-A vector has two parts. The whole paragraph's hash fills the first lanes (modulo 2 ** 64), by which
-multisets of paragraphs are told apart. The other lanes (modulo 2 ** 16) get +1 or -1 for each pair of
+A vector has two parts. A digest of the whole paragraph, as wide as the lanes, fills the first lanes (modulo
+2 ** 64), by which multisets of paragraphs are told apart. The other lanes (modulo 2 ** 16) get +1 or -1 for each pair of
 neighbouring words, at a lane that the pair's hash picks; sums of these keep inner products, so two
 fingerprints tell how much two texts share.
 """
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pairmend.llm import kernels as K
 
 WIDE, NEAR = 16, 256
-_LANE = np.random.default_rng(99).integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +46,10 @@ def _add(data: np.ndarray, offsets: np.ndarray, wide: np.ndarray, near: np.ndarr
     if not len(starts):
         return
     text_of = np.searchsorted(offsets, starts, side="right") - 1
-    paragraph = K.word_hashes(data, starts, ends)
-    for k in range(WIDE):
-        np.add.at(wide[:, k], text_of, K.mix(paragraph * _LANE[k] + np.uint64(k)))
+    raw = data.tobytes()
+    digests = b"".join([hashlib.shake_128(raw[a:b]).digest(8 * WIDE) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    own, first = np.unique(text_of, return_index=True)
+    wide[own] += np.add.reduceat(np.frombuffer(digests, "<u8").reshape(-1, WIDE), first, axis=0)
     first, last, _ = K.word_bounds(data, offsets)
     words = K.word_hashes(data, first, last)
     home = np.searchsorted(starts, first, side="right") - 1
@@ -86,7 +86,8 @@ def add(left: str, right: str, sign: int = 1) -> str:
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
-    """From near lanes: shared over all word pairs, estimated, in 0..1; 1 for equal lanes."""
+    """From near lanes as a fingerprint holds them: shared over all word pairs, estimated, in 0..1; 1 for equal lanes."""
+    x, y = (((v + (1 << 15)) & 0xFFFF) - (1 << 15) for v in (x, y))
     size = float(x @ x + y @ y)
     return 1.0 if not size or np.array_equal(x, y) else min(1.0, max(0.0, 2.0 * float(x @ y) / size))
 
@@ -150,6 +151,7 @@ def edited(docs: DataFrame) -> DataFrame:
     of doc_id into runs, each with a copy of the next run's first document, so texts are shuffled once
     and no task orders them all.
 
+    Rows of one doc_id are in one run, which is read in order and never held whole.
     Defined results: a null text is empty; a null doc_id comes first; rows that repeat a doc_id go by
     text; a document alone follows itself; equal texts have equal fingerprints, and two texts without
     words are alike by 1. No rows in, no rows out.
@@ -173,5 +175,5 @@ def edited(docs: DataFrame) -> DataFrame:
         return pd.Series([[r, before[k]] if k in before else [r] for r, k in zip(own.tolist(), key.tolist(), strict=True)])
 
     dealt = rows.select("doc_id", "key", "text", F.posexplode(runs_of("key")).alias("copied", "run"))
-    dealt = dealt.withColumn("copied", F.col("copied") > 0).repartition(runs, "run")
+    dealt = dealt.withColumn("copied", F.col("copied") > 0).repartitionById(runs, F.col("run").cast("int"))  # one run a partition
     return dealt.sortWithinPartitions("run", "copied", "key", "text").select("run", "copied", "doc_id", "text").mapInPandas(_pairs, EDITED)
