@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmend.llm.common import settle
+from pairmend.llm.common import settle, small
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,17 +13,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round hangs every node's larger neighbours under its smallest one (large star), then
     its smaller neighbours and itself (small star), until nothing changes. Rounds grow with the
-    logarithm of the longest path. A node with many neighbours is met through a partial minimum
-    and a join that Spark can split, never as one group in a task. Self-loops and repeated edges
+    logarithm of the longest path. A node with many neighbours is met through a partial minimum, which
+    is computed first, so it is broadcast if counted small, and else joined in a join that Spark splits where
+    a node has many rows: never as one group in a task. Self-loops and repeated edges
     are harmless; rows with a null end are ignored; no edges give no rows.
     """
     ends = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     now = _packed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = small(settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = small(settle(large.groupBy("u").agg(F.min("v").alias("m"))))
         met = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = _packed(met.union(lower.select("u", F.col("m").alias("v"))).distinct())
         if _flat(now):

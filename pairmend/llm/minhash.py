@@ -8,6 +8,7 @@ reaching the threshold is below `miss` is pruned. Survivors are verified on the
 
 from __future__ import annotations
 
+import hashlib
 from math import comb
 
 import numpy as np
@@ -29,7 +30,7 @@ _rng = np.random.default_rng(7)
 _MULT = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+SIGNED = "doc_id long, mark long, n_shingles long, set_key binary, sig binary, bands array<long>"
 
 
 def least_matches(threshold: float, miss: float, batch: int = BATCH, hashes: int = HASHES) -> list[int]:
@@ -42,33 +43,34 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, hashes: int
 
 
 def _bounds(shingles: int):
-    """A function from Arrow batches of (doc_id, text) to batches of SIGNED."""
+    """A function from Arrow batches of (doc_id, mark, text) to batches of SIGNED."""
 
     def run(batches):
         for batch in batches:
-            ids, (data, at) = batch.column(0), K.text_bytes(batch.column(1))
+            about, (data, at) = batch.select([0, 1]), K.text_bytes(batch.column(2))
             for i, j in K.slices(at):
                 part = data[at[i] : at[j]]
                 starts, ends, words_at = K.word_bounds(part, at[i : j + 1] - at[i])
-                words = K.word_hashes(part, starts, ends, lower=True)
-                yield _sign(ids.slice(i, j - i), words, words_at, shingles)
+                words = [K.word_hashes(part, starts, ends, lower=True, lane=k) for k in (0, 1)]
+                yield _sign(about.slice(i, j - i), words, words_at, shingles)
 
     return run
 
 
-def _sign(ids: pa.Array, words: np.ndarray, words_at: np.ndarray, size: int) -> pa.RecordBatch:
-    sets = []
+def _sign(about: pa.RecordBatch, words: list[np.ndarray], words_at: np.ndarray, size: int) -> pa.RecordBatch:
+    sets, keys = [], []
     for a, b in zip(words_at[:-1], words_at[1:], strict=True):
-        own = words[a:b]
-        sets.append(np.unique(K.window_hashes(own, min(size, len(own)))) if len(own) else own)
+        runs = [K.window_hashes(w[a:b], min(size, int(b - a))) for w in words]
+        own, first = np.unique(runs[0], return_index=True)
+        sets.append(own)
+        # Equal sets only: a digest of both 64-bit hashes of every shingle.
+        keys.append(hashlib.blake2b(own.tobytes() + runs[1][first].tobytes(), digest_size=24).digest() if len(own) else None)
     counts = np.array([len(x) for x in sets], np.int64)
     full = np.flatnonzero(counts)
-    sigs, keys = np.zeros((len(full), HASHES), np.uint32), np.zeros((len(full), 2), np.uint64)
+    sigs = np.zeros((len(full), HASHES), np.uint32)
     if len(full):
         every = np.concatenate([sets[k] for k in full])
         at = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        keys[:, 0] = np.add.reduceat(every, at)
-        keys[:, 1] = np.add.reduceat(K.mix(every ^ np.uint64(0x5851F42D4C957F2D)), at)
         short = (every >> np.uint64(32)).astype(np.uint32)
         for k in range(HASHES):
             sigs[:, k] = np.minimum.reduceat(short * _MULT[k] + _PLUS[k], at)
@@ -77,18 +79,22 @@ def _sign(ids: pa.Array, words: np.ndarray, words_at: np.ndarray, size: int) ->
         bands = K.mix(bands * np.uint64(31) + sigs[:, k::ROWS].astype(np.uint64) + np.uint64(k + 1))
     bands = K.mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     sig = ((sigs * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-    key, mark, band = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+    mark, band = [None] * len(sets), [None] * len(sets)
     for row, k in enumerate(full):
-        key[k] = keys[row].tobytes() + int(counts[k]).to_bytes(8, "little")
         mark[k], band[k] = sig[row].tobytes(), bands[row].view(np.int64)
-    columns = [ids, pa.array(counts), pa.array(key, pa.binary()), pa.array(mark, pa.binary()), pa.array(band, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+    columns = [*about.columns, pa.array(counts), pa.array(keys, pa.binary()), pa.array(mark, pa.binary()), pa.array(band, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "set_key", "sig", "bands"])
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): mark, a hash of the text, tells rows of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def signatures(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """SIGNED rows: set size, a 192-bit key of the set (equal sets only), signature and band keys."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_bounds(shingle_words), SIGNED)
+    return _marked(docs).mapInArrow(_bounds(shingle_words), SIGNED)
 
 
 def _matches(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarray:
@@ -155,37 +161,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
     return both.filter(linked("text_a", "text_b")).select("a", "b")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Whole texts of the documents in the pairs, written once."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return settle(rows.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
+def _texts(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text): whole texts of the classes in the pairs, written once."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rep = F.col("rep" if "rep" in reps.columns else "doc_id").alias("rep")
+    want = settle(reps.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("class"), rep, "mark"))
+    rows = _marked(docs).withColumnRenamed("doc_id", "rep").join(small(want), ["rep", "mark"])
+    return settle(rows.select(F.col("class").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]))
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    docs needs doc_id and text; other columns are left alone, whatever their names. Documents with
-    equal shingle sets form one class, which its smallest doc_id stands for, so copies cost nothing
-    more. Each class is compared with one member of each of its buckets, the one that meets most others;
-    the likeliest candidate of each class is verified first, then the pairs that still join different
-    components. In buckets that hold more components after that, the members outside the leader's
-    component are compared with all of it and with each other, in bounded blocks. Only pairs that are
-    in one component already, or that hold too few shingles that any two of those members share, are left
-    out, so no component misses a link.
-
-    Defined results: a null or empty text, or one of white space, has n_shingles 0, links with
-    nothing and is kept; a null doc_id links with nothing, has a null component_id and is kept. Rows that
-    repeat a doc_id come back as often, each judged by its own text. No rows in, no rows out.
-    """
+def _judged(docs: DataFrame, shingle_words: int, percent: int, miss: float) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, chosen) of each row; chosen: the mark of the component's
+    smallest doc_id. component_id and chosen are null where there is no set or no doc_id."""
     least = least_matches(percent / 100, miss)
     signed = settle(signatures(docs, shingle_words))
-    classes = signed.filter("sig is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    named = settle(
-        signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", "rep")
-    )
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("sig is not null")
-    reps = reps.dropDuplicates(["doc_id"])
+    whole = signed.filter("sig is not null and doc_id is not null")
+    # The row that stands for a class: its smallest doc_id, and of that the smallest mark.
+    of_class = whole.groupBy("set_key").agg(F.min(F.struct("doc_id", "mark", "n_shingles", "sig", "bands")).alias("x"))
+    reps = of_class.select("set_key", "x.*").withColumnRenamed("doc_id", "rep").withColumn("doc_id", F.monotonically_increasing_id())
+    reps = settle(reps)
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     crowds = settle(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
     shared = settle(members.join(crowds, "band"))
@@ -196,7 +190,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     pairs = shared.join(buckets, "band").filter("doc_id <> leader")
     pairs = pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
     likely = settle(_judge(pairs.distinct(), reps, least))
-    texts = _texts(docs, likely)
+    texts = _texts(docs, reps, likely)
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
     links = settle(_verify(best.select("a", "b"), texts, shingle_words, percent))
     near = links.select(F.col("b").alias("id"), F.col("a").alias("component_id"))  # one step of the way is enough here
@@ -207,16 +201,58 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     if not minor.isEmpty():
         more = settle(_against_components(docs, minor, found, reps, least, shingle_words, percent))
         late = settle(_among(docs, minor, found, more, reps, least, shingle_words, percent))
-        found = connected_components(links.union(more.select("a", "b")).union(late))
-    found = found.select(F.col("id").alias("rep"), "component_id")
-    out = named.join(found, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep", "doc_id"))
+        found = settle(connected_components(links.union(more.select("a", "b")).union(late)))
+    # From numbers of classes to doc_ids: a component is named by the smallest of its classes' rows.
+    joined = found.select(F.col("id").alias("doc_id"), F.col("component_id").alias("comp")).join(reps.select("doc_id", "rep", "mark"), "doc_id")
+    named = small(settle(joined.groupBy("comp").agg(F.min(F.struct(F.col("rep").alias("doc_id"), "mark")).alias("x"))))
+    joined = joined.join(named, "comp").select("doc_id", F.col("x.doc_id").alias("component_id"), F.col("x.mark").alias("chosen"))
+    of_set = reps.select("doc_id", "set_key", "rep", "mark").join(small(settle(joined)), "doc_id", "left")
+    of_set = settle(of_set.select("set_key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("chosen", "mark").alias("chosen")))
+    slim = signed.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    return slim.join(of_set, "set_key", "left").select("doc_id", "mark", "n_shingles", "component_id", "chosen")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    docs needs doc_id and text; other columns are left alone, whatever their names. Documents with
+    equal shingle sets form one class with a number of its own, so copies cost nothing
+    more. Each class is compared with one member of each of its buckets, the one that meets most others;
+    the likeliest candidate of each class is verified first, then the pairs that still join different
+    components. In buckets that hold more components after that, the members outside the leader's
+    component are compared with all of it and with each other, in bounded blocks. Only pairs that are
+    in one component already, or that hold too few shingles that any two of those members share, are left
+    out, so no component misses a link.
+
+    Defined results: a null or empty text, or one of white space, has n_shingles 0, links with
+    nothing and is kept; a null doc_id links with nothing, has a null component_id and is kept. Rows that
+    repeat a doc_id come back as often, each judged by its own text; a component is named by the smallest
+    doc_id of the rows that are reachable from a row's text. No rows in, no rows out.
+    """
+    out = _judged(docs, shingle_words, percent, miss).withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """docs without the rows whose component another document stands for."""
-    gone = settle(near_duplicates(docs, **how).filter("not kept").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+def deduplicate(docs: DataFrame, shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """docs with one row of each component: one of the text that goes with its smallest doc_id.
+
+    Rows without words or without a doc_id all stay. Of rows that repeat doc_id and text one stays, any
+    one if other columns differ. Columns and their names are those of docs.
+    """
+    judged = settle(_judged(docs, shingle_words, percent, miss).filter("component_id is not null"))
+    won = F.expr("doc_id = component_id and mark = chosen")
+    gone = small(settle(judged.filter(~won).select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m")).distinct()))
+    again = settle(judged.filter(won).groupBy(F.col("doc_id").alias("__i"), F.col("mark").alias("__m")).count().filter("count > 1").drop("count"))
+    id_, mark = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    same = (id_ == F.col("__i")) & (mark == F.col("__m"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = small(again)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    one = kept.join(again, same, "left_semi").select(whole, id_.alias("__i"), mark.alias("__m")).groupBy("__i", "__m").agg(F.first("__doc").alias("__doc"))
+    rest = kept.join(again, same, "left_anti").select(whole)
+    return rest.union(one.select("__doc")).select("__doc.*")
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -254,7 +290,7 @@ def _against_components(docs: DataFrame, minor: DataFrame, found: DataFrame, rep
     left = want.join(n_full, "comp").select("doc_id", "comp", own(F.col("w")), other("f")).select("doc_id", "comp", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("outer"))
     right = full.join(n_full, "comp").select("doc_id", "comp", own(F.col("f")), other("w")).select("doc_id", "comp", F.col("other").alias("x"), F.col("own").alias("y"), F.lit(False).alias("outer"))
     both = settle(left.union(right))
-    texts = _texts(docs, both.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    texts = _texts(docs, reps, both.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         out, rows, cols = [], group[group["outer"]], group[~group["outer"]].reset_index(drop=True)
@@ -316,7 +352,7 @@ def _among(docs: DataFrame, minor: DataFrame, found: DataFrame, more: DataFrame,
     rows = settle(rows.select("band", "doc_id", F.coalesce("new", "comp", "doc_id").alias("comp")))
     many = settle(rows.groupBy("band").agg(F.count_distinct("comp").alias("c")).filter("c > 1").select("band"))
     rows = rows.join(small(many), "band", "left_semi")
-    texts = _texts(docs, rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    texts = _texts(docs, reps, rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
     about = reps.select("doc_id", "n_shingles").join(texts.select("doc_id"), "doc_id", "left_semi").join(_sharing(texts, shingle_words), "doc_id", "left")
     about = about.withColumn("met", F.col("n_shingles") - F.coalesce("single", F.lit(0)))
     about = about.filter(f"100 * met >= {percent} * n_shingles").select("doc_id", "n_shingles", "met")

@@ -364,3 +364,70 @@ def test_tokens_are_the_models_own(spark):
             assert r["tokens"] == own.encode(text)
     checked = spm.round_trips(docs, TOKENIZER).collect()
     assert all(r["round_trip"] for r in checked if r["doc_id"] != 3004) and spm.round_trips(frame(spark, []), TOKENIZER).collect() == []
+
+
+def thue_morse(n, swap=False):
+    """Words that polynomial hashes modulo a power of two can't tell apart."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate({97: 98, 98: 97})
+    return text.translate({97: 98, 98: 97}) if swap else text
+
+
+def test_hashes_have_no_algebra(spark):
+    one, two = thue_morse(1024), thue_morse(1024, True)
+    rows = [(1, one), (2, two), (3, " ".join([one, *map(str, range(34))])), (4, " ".join([two, *map(str, range(34))]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), shingle_words=2).collect()}
+    assert got[1] == 1 and got[2] == 2
+    assert [r["n_removed"] for r in anchors.repeated_passages(frame(spark, rows)).collect()] == [0] * 4
+    assert lthash.fingerprint(one) != lthash.fingerprint(two)
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    rng = np.random.default_rng(9)
+    text = [[f"t{k}w{i}" for i in rng.integers(0, 10**6, 100)] for k in (0, 1)]
+    near = [[*t[:50], "new", *t[50:]] for t in text]
+    join = " ".join
+    rows = [(1, join(text[0])), (1, join(text[1])), (4, join(near[0])), (5, join(near[1])), (7, "one more"), (7, "one more"), (8, "one more")]
+    got = minhash.near_duplicates(frame(spark, rows), shingle_words=2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (4, 1), (5, 1), (7, 7), (7, 7), (8, 7)]
+    kept = minhash.deduplicate(frame(spark, [*rows, (None, "one more"), (9, ""), (10, None)]), shingle_words=2).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("1", join(text[0])), ("1", join(text[1])), ("7", "one more"), ("None", "one more"), ("9", ""), ("10", None)], key=lambda x: (x[0], str(x[1])))
+
+
+def plain_fingerprint(text):
+    """The fingerprint by its definition, paragraph by paragraph, with the library's word hashes only."""
+    import base64
+
+    from pairmend.llm import kernels
+
+    def hashed(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(kernels.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    wide, near, most = [0] * lthash.WIDE, [0] * lthash.NEAR, 1 << 64
+    for paragraph in text.split("\n"):
+        if not paragraph:
+            continue
+        digest = hashlib.shake_128(paragraph.encode()).digest(8 * lthash.WIDE)
+        for k in range(lthash.WIDE):
+            wide[k] = (wide[k] + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) % most
+        own = [hashed(w) for w in words(paragraph)]
+        mixed = lambda x: int(kernels.mix(np.array([x], np.uint64))[0])
+        keys = own if len(own) == 1 else [mixed((a * 0x9E3779B97F4A7C15 + b) % most) for a, b in zip(own, own[1:], strict=False)]
+        for key in keys:
+            near[(key >> 8) % lthash.NEAR] += 1 - 2 * (key & 1)
+    raw = b"".join(x.to_bytes(8, "little") for x in wide) + b"".join((x % (1 << 16)).to_bytes(2, "little") for x in near)
+    return base64.b64encode(raw).decode()
+
+
+def test_fingerprints_by_definition(spark):
+    texts = ["", "one", "a b c\n\nd e\nf", "é naïve\tx", "same same same\nsame same same\n" * 20_000]
+    assert [lthash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5, "x y " * 40_000), (5, "z"), (None, "first")]
+    got = lthash.edited(frame(spark, rows)).collect()
+    near = lambda f: lthash.unpack(f)[1]
+    by_id = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"]))
+    for r in got:  # likeness is what the returned fingerprints say
+        assert r["near_edited"] == lthash.likeness(near(r["fingerprint"]), near(r["edited_fingerprint"]))
+    assert by_id[0]["doc_id"] is None and by_id[0]["near_next"] == lthash.likeness(near(by_id[0]["fingerprint"]), near(by_id[1]["fingerprint"]))
