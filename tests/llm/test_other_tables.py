@@ -114,3 +114,30 @@ def test_the_hosts_path_wins_over_a_page_that_differs(spark):
     pages = [(k, "http://h/", page.format("s" * 20, "m" * 200)) for k in range(6)] + [(9, "http://h/", page.format("s" * 60, "m" * 50))]
     got = {r["page_id"]: r["text"] for r in hostpaths.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert set(got[9]) == {"m"}
+
+
+def test_rows_that_repeat_a_vec_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (None, [1.0, 0.0]), (7, [1.0, 0.0])]
+    got = pivots.near_duplicates(spark.createDataFrame([(i, v, 0, "") for i, v in rows], VECTORS)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] is not None) == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4), (7, 2, 1)]
+    assert [r["n_links"] for r in got if r["vec_id"] is None] == [0]
+
+
+def test_counts_of_shared_pivots_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(pivots, "TILE", 50)
+    for width in (20, 400):  # dense lists, and sparse ones
+        near = np.array([rng.choice(width, 16, replace=False) for _ in range(170)])
+        block = rng.integers(0, 2, 170)
+        for across in (False, True):
+            got = sorted((int(a), int(b)) for x, y in pivots._candidates(near, block, across, 4) for a, b in zip(x, y, strict=True))
+            alike = lambda a, b: len(set(near[a]) & set(near[b])) >= 4 and (not across or block[a] != block[b])
+            assert got == [(a, b) for a in range(170) for b in range(a + 1, 170) if alike(a, b)]
+
+
+def test_equally_near_pivots(spark):
+    """Vectors on the axes: ties everywhere."""
+    x = np.concatenate([np.eye(40), 3 * np.eye(40), -np.eye(40)])
+    got = pivots.near_duplicates(spark.createDataFrame([(i, v, 0, "") for i, v in enumerate(x.tolist())], VECTORS)).collect()
+    links, roots = brute(list(range(120)), x)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (links[i], roots[i]) for i in range(120)}
