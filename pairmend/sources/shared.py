@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def set_shared_folder(spark: SparkSession) -> None:
+    """See to it that the session has the folder that the cluster names in spark.checkpoint.dir.
+
+    A session on one machine (tests, a laptop) without one gets a temporary folder. On a cluster that would be
+    another folder on each machine, so there the setting must be there.
+    """
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute df once, in the folder that the cluster names in spark.checkpoint.dir.
+    """Compute df once and cut its lineage, in the shared folder.
 
-    A session without one (tests, a laptop) gets a temporary folder.
+    Spark removes such files when nothing refers to them any more if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as it should be in long sessions.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    set_shared_folder(df.sparkSession)
     return df.checkpoint()
