@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmend.sources.shared import set_shared_folder, settle  # noqa: F401  settle is for this package's operators
+
 #: A word is a maximal run of bytes other than space and tab..carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of (id) or (id, small value) that may be broadcast: about 64 MB on each executor.
-BROADCAST_ROWS = 1_000_000
+#: Rows of (id) or (id, small value) that may be broadcast: about 64 MB on each executor; and the bytes of
+#: their strings and binaries, where they have some.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,22 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    A session without one (tests, a laptop) gets a temporary folder.
-    """
-    context = spark.sparkContext
-    named = context._jsc.sc().getCheckpointDir()
-    if named.isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        named = context._jsc.sc().getCheckpointDir()
-    return named.get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The folder that the cluster names in spark.checkpoint.dir."""
+    set_shared_folder(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a settled df for broadcast if it has few enough rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Mark a settled df for broadcast if it has few enough rows and bytes; else leave the join to a shuffle."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    if not wide:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(sum(wide[1:], wide[0])), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
 
 
 def words_of(text) -> F.Column:
@@ -58,4 +51,6 @@ def words_of(text) -> F.Column:
 def n_words(text) -> F.Column:
     """How many words a text has, as long; null counts 0."""
     text = F.coalesce(text, F.lit(""))
-    return F.size(F.filter(F.split(text, SPACE), lambda w: w != "")).cast("long")
+    blank = lambda c: c.isin(" ", "\t", "\n", "\x0b", "\x0c", "\r").cast("int")
+    between = F.size(F.split(text, SPACE)) - blank(F.substring(text, 1, 1)) - blank(F.right(text, F.lit(1)))
+    return F.when(text == "", 0).otherwise(between).cast("long")

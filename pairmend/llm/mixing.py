@@ -18,6 +18,10 @@ from pairmend.llm.common import n_words, settle, small
 STRIP_DOCS = 10_000
 #: Words in a block: a thousandth of the source, within these bounds; at most 2 ** 30 blocks a source.
 LEAST_BLOCK, MOST_BLOCK = 16, 512
+#: Levels of the tree: so many that a shard has about as many words, within these bounds.
+LEAST_LEVELS, MOST_LEVELS, SHARD_WORDS = 4, 10, 1 << 24
+#: Words of a shard that one task sorts and writes, about.
+TASK_WORDS = 1 << 22
 #: A word with what stands before it, and for the last one what stands after it.
 SPACED_WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
 
@@ -89,7 +93,8 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     all_of = F.array_sort(F.collect_list(F.struct("rank", "quota"))).alias("q")
     nodes = quotas.agg(all_of).select(F.lit(1).alias("node"), F.transform("q", lambda x: x["quota"]).alias("q"))
     for _ in range(levels):
-        chance = f"(pmod(xxhash64(node, i, {seed}), 9007199254740992) + 0.5D) / 9007199254740992D"
+        name = f"concat_ws('-', CAST(node AS STRING), CAST(i AS STRING), '{seed}')"
+        chance = f"(CAST(conv(substring(md5({name}), 1, 12), 16, 10) AS BIGINT) + 0.5D) / 281474976710656D"
         draw = hypergeometric("a.total", "q[i]", "a.goes", chance)
         deal = _let("d", {"k": draw}, "named_struct('total', a.total - q[i], 'goes', a.goes - d.k, 'out', concat(a.out, array(d.k)))")
         whole = "aggregate(q, 0L, (t, x) -> t + x)"
@@ -101,24 +106,32 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     return leaves.select("rank", "shard", "quota")
 
 
-def plan_mix(docs: DataFrame, levels: int = 4, seed: int = 0, **mix) -> DataFrame:
+def levels_for(words: int) -> int:
+    """Levels of the tree for so many words."""
+    return min(MOST_LEVELS, max(LEAST_LEVELS, (words // SHARD_WORDS).bit_length()))
+
+
+def plan_mix(docs: DataFrame, levels: int | None = None, seed: int = 0, **mix) -> DataFrame:
     """One row per row of docs: doc_id, mark (a hash of the text), size, source_size, target, pieces.
 
+    Without levels, levels_for() says how many the tree has.
+
     size counts words. A piece is a run of the document's words that lies in one drawn block: shard
     (of 2 ** levels), epoch, block (its number in the source), place (in the source's draws), first
     and last (word places, last excluded). mix goes to targets().
 
     Defined results: a null or empty text has size 0 and no pieces; a null source is a source of its
-    own, the last; a source without words has target 0; no rows in, no rows out. Reruns agree.
+    own, the last; a source without words has target 0; no rows in, no rows out. Null doc_ids are ids like any
+    other, equal rows are told apart by nothing and drawn one after another. Reruns agree. One row
+    holds a quota for each source and shard, so this is for some ten thousand sources at most.
     """
-    goal = targets(docs.select("source", n_words(F.col("text")).alias("size")), **mix)
+    # A source is many strips, each ordered in a task of its own, so a hot source is spread as well.
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    slim = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), key.alias("key")))
+    goal = targets(slim.select("source", "size"), **mix)
     goal = goal.withColumn("n_strips", F.expr(f"1 + n_docs div {STRIP_DOCS}"))
     goal = goal.withColumn("block", F.expr(f"greatest({LEAST_BLOCK}, least({MOST_BLOCK}, source_size div 1000), source_size div {2**30})"))
     goal = settle(goal)
-
-    # A source is many strips, each ordered in a task of its own, so a hot source is spread as well.
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), key.alias("key"))
     by_rank = small(goal.select(F.col("source").alias("s"), "rank", "n_strips", "block"))
     slim = slim.join(by_rank, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     slim = slim.withColumn("strip", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), "n_strips"))
@@ -133,6 +146,7 @@ def plan_mix(docs: DataFrame, levels: int = 4, seed: int = 0, **mix) -> DataFram
     wanted = "CAST(floor(target * n_blocks / source_size + 0.5D) AS BIGINT)"
     quota = F.expr(f"IF(source_size = 0, 0L, least(2 * n_blocks, {wanted}))")
     quotas = settle(goal.join(count, "rank").withColumn("quota", quota).select("rank", "source_size", "target", "n_blocks", "quota"))
+    levels = levels_for(goal.agg(F.coalesce(F.sum("target"), F.lit(0)).cast("long")).first()[0]) if levels is None else levels
     tree = splitting_tree(quotas.select("rank", "quota"), levels, seed)
     ends = Window.partitionBy("rank").orderBy("shard")
     tree = tree.withColumn("end", F.sum("quota").over(ends)).groupBy("rank").agg(F.array_sort(F.collect_list("end")).alias("ends"))
@@ -156,25 +170,44 @@ def words_taken(pieces: str = "pieces") -> F.Column:
     return F.expr(f"aggregate({pieces}, 0L, (t, x) -> t + x.last - x.first)")
 
 
-def mix(docs: DataFrame, levels: int = 4, seed: int = 0, shuffle: bool = True, **how) -> DataFrame:
+def words_by_shard(pieces: str = "pieces") -> F.Column:
+    """shard:words of each shard that takes pieces, comma-joined, by shard."""
+    taken = f"aggregate(filter({pieces}, x -> x.shard = s), 0L, (t, x) -> t + x.last - x.first)"
+    return F.expr(f"array_join(transform(array_sort(array_distinct(transform({pieces}, x -> x.shard))), s -> concat(CAST(s AS STRING), ':', CAST({taken} AS STRING))), ',')")
+
+
+def mix(docs: DataFrame, levels: int | None = None, seed: int = 0, shuffle: bool = True, **how) -> DataFrame:
     """The mixed corpus: one row a piece, with all columns of docs, then shard and place_key
     (replacing columns of these names).
 
     text is the piece's words with what stands before each, and what stands after the text's last: the
     pieces of one document and epoch, joined in order, are its text. Rows that repeat a doc_id and text are one document here, drawn as often as all of
-    them. With shuffle, each shard is one run of rows in the order of place_key, a random one.
+    them. With shuffle, each shard is a run of partitions, in the order of place_key, a random one: equal
+    ranges of it go to as many tasks as the shard's words ask for.
     """
-    pieces = plan_mix(docs, levels, seed, **how).groupBy("doc_id", "mark", "size").agg(F.flatten(F.collect_list("pieces")).alias("pieces"))
-    pieces = pieces.filter(F.size("pieces") > 0).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), "size", "pieces")
+    plan = settle(plan_mix(docs, levels, seed, **how))
+    words, last = plan.agg(F.coalesce(F.sum(words_taken()), F.lit(0)), F.coalesce(F.max(F.expr("array_max(transform(pieces, x -> x.shard))")), F.lit(0))).first()
+    again = plan.groupBy("doc_id", "mark", "size").count().filter("count > 1")
+    pieces = plan.select("doc_id", "mark", "size", "pieces")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.xxhash64("text").alias("__mark"), F.col("doc_id").alias("__doc_id"))
-    whole = whole.groupBy("__doc_id", "__mark").agg(F.first("__doc").alias("__doc"))
+    if not again.isEmpty():  # else neither side repeats a row
+        pieces = pieces.groupBy("doc_id", "mark", "size").agg(F.flatten(F.collect_list("pieces")).alias("pieces"))
+        whole = whole.groupBy("__doc_id", "__mark").agg(F.first("__doc").alias("__doc"))
+    pieces = pieces.filter(F.size("pieces") > 0).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), "size", "pieces")
     met = whole.join(pieces, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")))
-    text = F.col("__doc.text")
-    met = met.select("__doc", F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)).alias("__words"), "size", F.explode("pieces").alias("__p"))
-    span = F.col("__p.last") - F.col("__p.first")
-    part = F.array_join(F.slice("__words", F.col("__p.first").cast("int") + 1, span.cast("int")), "")
-    cut = F.when(span == F.col("size"), text).otherwise(part)
-    kept = [cut.alias(c) if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("shard", "place_key")]
+    # Each piece is cut before the pieces are told apart, so none carries the whole text with it.
+    lit = SPACED_WORD.replace("\\", "\\\\")
+    span = "slice(w, CAST(x.first AS INT) + 1, CAST(x.last - x.first AS INT))"
+    cut = f"transform(pieces, x -> named_struct('shard', x.shard, 'place', x.place, 'text', IF(x.last - x.first = size, __doc.text, array_join({span}, ''))))"
+    split = f"IF(exists(pieces, x -> x.last - x.first < size), regexp_extract_all(__doc.text, '{lit}', 0), CAST(array() AS ARRAY<STRING>))"
+    met = met.withColumn("__p", F.expr(f"transform(array({split}), w -> {cut})[0]"))
+    others = F.struct(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns if c != "text"]).alias("__doc")
+    met = met.select(others, F.explode("__p").alias("__p"))
+    kept = [(F.col("__p.text") if c == "text" else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns if c.lower() not in ("shard", "place_key")]
     key = F.xxhash64("__p.shard", "__doc.source", "__p.place", F.lit(seed))
     out = met.select(*kept, F.col("__p.shard").alias("shard"), key.alias("place_key"))
-    return out.repartition(2**levels, "shard").sortWithinPartitions("shard", "place_key") if shuffle else out
+    if not shuffle:
+        return out
+    n, tasks = last + 1, max(1, round(words / (last + 1) / TASK_WORDS))
+    part = F.col("shard").cast("long") * tasks + F.expr(f"least({tasks - 1}L, CAST((place_key / 18446744073709551616D + 0.5D) * {tasks} AS BIGINT))")
+    return out.repartitionById(n * tasks, part.cast("int")).sortWithinPartitions("shard", "place_key")

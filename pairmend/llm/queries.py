@@ -57,7 +57,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"), mixing.words_by_shard().alias("shards"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-#: The mix in SQL: targets by the same level, and what the permuted blocks take, without the tree.
-MIX_SQL = r"""
-WITH sized AS (
+def _choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+#: The mix in SQL: targets by the same level, what the permuted blocks take, and the tree's draws, node by
+#: node and source by source, from log-gamma functions; a corpus of up to 2 ** 24 words, so 16 shards.
+MIX_SQL = rf"""
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
 own AS (
@@ -102,11 +107,46 @@ blocks AS (
          unnest(range(first_block + beg // block, first_block + (beg + size - 1) // block + 1)) AS b
   FROM quotas WHERE size > 0),
 draws AS (
-  SELECT doc_id, least(size, (b - first_block + 1) * block - beg) - greatest(0, (b - first_block) * block - beg) AS part,
+  SELECT doc_id, rank, least(size, (b - first_block + 1) * block - beg) - greatest(0, (b - first_block) * block - beg) AS part,
          e * n_blocks + ((b % n_blocks) * (2147483647 % n_blocks) + (rank * 7919 + e * 104729) % n_blocks) % n_blocks AS place, quota
   FROM blocks, (VALUES (0), (1)) AS epochs(e)),
-got AS (SELECT doc_id, CAST(sum(part) AS BIGINT) AS taken FROM draws WHERE place < quota GROUP BY doc_id)
-SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0) AS taken
+deal AS (
+  SELECT 0 AS level, 1 AS node, 1 AS i, CAST(list_sum(q) AS BIGINT) AS total, CAST(list_sum(q) // 2 AS BIGINT) AS goes, q, CAST([] AS BIGINT[]) AS l
+  FROM (SELECT list(quota ORDER BY rank) AS q FROM (SELECT DISTINCT rank, quota FROM quotas))
+  UNION ALL
+  SELECT level + c.down, CASE WHEN c.down = 0 THEN node ELSE 2 * node + c.side END, CASE WHEN c.down = 0 THEN i + 1 ELSE 1 END,
+         CASE WHEN c.down = 0 THEN total - q[i] ELSE CAST(list_sum(c.nextq) AS BIGINT) END,
+         CASE WHEN c.down = 0 THEN goes - k ELSE CAST(list_sum(c.nextq) // 2 AS BIGINT) END,
+         c.nextq, CASE WHEN c.down = 0 THEN list_append(l, k) ELSE CAST([] AS BIGINT[]) END
+  FROM (
+    SELECT *, CASE WHEN i > len(q) THEN 0 WHEN lo >= hi THEN lo WHEN u < top THEN m
+                   ELSE m + CASE WHEN u - top - coalesce(list_sum(ups[:j - 1]), 0) - coalesce(list_sum(downs[:j - 1]), 0) < ups[j] THEN j ELSE -j END END AS k
+    FROM (
+      SELECT *, 1 + len(list_filter(range(1, steps + 1), lambda t: u - top - list_sum(ups[:t]) - list_sum(downs[:t]) >= 0)) AS j
+      FROM (
+        SELECT *, list_transform(range(1, steps + 1), lambda t: CASE WHEN m + t > hi THEN 0.0::DOUBLE ELSE exp({_choose('marked', '(m + t)')} + {_choose('(total - marked)', '(goes - m - t)')} - whole) END) AS ups,
+               list_transform(range(1, steps + 1), lambda t: CASE WHEN m - t < lo THEN 0.0::DOUBLE ELSE exp({_choose('marked', '(m - t)')} + {_choose('(total - marked)', '(goes - m + t)')} - whole) END) AS downs
+        FROM (
+          SELECT *, CASE WHEN lo < hi THEN exp({_choose('marked', 'm')} + {_choose('(total - marked)', '(goes - m)')} - {_choose('total', 'goes')}) END AS top,
+                 CASE WHEN lo < hi THEN {_choose('total', 'goes')} END AS whole,
+                 CASE WHEN lo < hi THEN CAST(floor(20 + 10 * sqrt(goes * (marked / total) * (1 - marked / total) * ((total - goes) / greatest(1, total - 1)))) AS BIGINT) ELSE 0 END AS steps
+          FROM (
+            SELECT *, least(hi, greatest(lo, CAST(floor((goes + 1::DOUBLE) * (marked + 1) / (total + 2)) AS BIGINT))) AS m
+            FROM (
+              SELECT *, greatest(0, goes + marked - total) AS lo, least(goes, marked) AS hi,
+                     (CAST('0x' || substr(md5(node || '-' || (i - 1) || '-0'), 1, 12) AS BIGINT) + 0.5) / 281474976710656::DOUBLE AS u
+              FROM (SELECT *, CASE WHEN i <= len(q) THEN q[i] ELSE 0 END AS marked FROM deal WHERE level < 4))))))) d,
+       LATERAL (
+         SELECT 0 AS down, 0 AS side, d.q AS nextq WHERE d.i <= len(d.q)
+         UNION ALL SELECT 1, 0, d.l WHERE d.i > len(d.q)
+         UNION ALL SELECT 1, 1, list_transform(d.q, lambda x, z: x - d.l[z]) WHERE d.i > len(d.q)) c),
+leaf AS (SELECT node - 16 AS shard, unnest(range(0, len(q))) AS rank, unnest(q) AS n FROM deal WHERE level = 4 AND i = 1),
+ends AS (SELECT rank, list(e ORDER BY shard) AS ends FROM (SELECT rank, shard, sum(n) OVER (PARTITION BY rank ORDER BY shard) AS e FROM leaf) GROUP BY rank),
+cuts AS (SELECT doc_id, part, len(list_filter(ends, lambda x: x <= place)) AS shard FROM draws JOIN ends USING (rank) WHERE place < quota),
+got AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS taken, string_agg(shard || ':' || n, ',' ORDER BY shard) AS shards
+  FROM (SELECT doc_id, shard, CAST(sum(part) AS BIGINT) AS n FROM cuts GROUP BY doc_id, shard) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0) AS taken, coalesce(g.shards, '') AS shards
 FROM quotas q LEFT JOIN got g ON q.doc_id IS NOT DISTINCT FROM g.doc_id
 """
 
