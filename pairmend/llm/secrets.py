@@ -37,6 +37,18 @@ SPAN = "struct<kind:string,start:long,end:long>"
 ORDER = ("assign", "access", "hex", "random")
 
 
+#: Matches whose places are summed in one fold; a text with more takes a fold for each so many.
+FOLD = 256
+
+
+def _before(sizes: str) -> str:
+    """SQL: for an array of longs, the sum of those before each; folds of FOLD, so long arrays take linear time."""
+    grow = "(a, v) -> concat(a, array(element_at(a, -1) + v))"
+    parts = f"transform(sequence(0L, (size({sizes}) - 1) div {FOLD}), b -> aggregate(slice({sizes}, CAST(b * {FOLD} AS INT) + 1, {FOLD}), array(0L), {grow}))"
+    heads = "aggregate(c, array(0L), (a, v) -> concat(a, array(element_at(a, -1) + element_at(v, -1))))"
+    return f"transform(array({parts}), c -> flatten(zip_with(c, slice({heads}, 1, size(c)), (x, h) -> transform(slice(x, 1, size(x) - 1), v -> v + h))))[0]"
+
+
 def _spans(kind: str, pattern: str, group: int, least: int, text: str = "text") -> F.Column:
     """Spans of the leftmost non-overlapping matches of pattern whose group has `least` characters.
 
@@ -45,14 +57,15 @@ def _spans(kind: str, pattern: str, group: int, least: int, text: str = "text")
     lit = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     # Where a run's own length is what counts, short runs can't match: the same spans, found faster.
     longer = lit if group else lit.replace("]+'", f"]{{{least - 4 * pattern.startswith('AKIA')},}}'")
-    between, found = f"split({text}, {longer}, -1)", f"regexp_extract_all({text}, {longer}, 0)"
-    values = f"regexp_extract_all({text}, {longer}, {group})"
-    item = f"named_struct('kind', '{kind}', 'start', a.at + length(p.gaps[i]), 'end', a.at + length(p.gaps[i]) + length(p.whole[i]))"
-    keep = f"IF(length(p.own[i]) >= {least}, array({item}), CAST(array() AS array<{SPAN}>))"
-    step = f"named_struct('at', a.at + length(p.gaps[i]) + length(p.whole[i]), 'out', concat(a.out, {keep}))"
-    fold = f"aggregate(sequence(0, size(p.whole) - 1), named_struct('at', 0L, 'out', CAST(array() AS array<{SPAN}>)), (a, i) -> {step}, a -> a.out)"
-    bound = f"transform(array(named_struct('gaps', {between}, 'whole', {found}, 'own', {values})), p -> {fold})[0]"
-    return F.expr(f"IF({text} RLIKE {longer}, {bound}, CAST(array() AS array<{SPAN}>))")
+    gaps = f"transform(split({text}, {longer}, -1), x -> CAST(length(x) AS BIGINT))"
+    whole = f"transform(regexp_extract_all({text}, {longer}, 0), x -> CAST(length(x) AS BIGINT))"
+    own = f"transform(regexp_extract_all({text}, {longer}, {group}), x -> length(x))"
+    fields = f"'gaps', {gaps}, 'whole', {whole}, 'own', {own}" if group else f"'gaps', {gaps}, 'whole', {whole}"
+    steps = "zip_with(slice(p.gaps, 1, size(p.whole)), p.whole, (g, w) -> g + w)"
+    item = f"named_struct('kind', '{kind}', 'start', before[i] + p.gaps[i], 'end', before[i] + p.gaps[i] + p.whole[i])"
+    kept = f"filter(sequence(0, size(p.whole) - 1), i -> p.{'own' if group else 'whole'}[i] >= {least})"
+    made = f"transform(array(named_struct({fields})), p -> transform(array(transform(array({steps}), s -> {_before('s')})[0]), before -> transform({kept}, i -> {item}))[0])[0]"
+    return F.expr(f"IF({text} RLIKE {longer}, {made}, CAST(array() AS array<{SPAN}>))")
 
 
 def base_spans() -> dict[str, F.Column]:
@@ -67,19 +80,21 @@ def _pairs(token: F.Column) -> F.Column:
 
 
 def samples(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(token, random): labelled samples from about `most` documents, chosen by the hash of doc_id.
+    """(token, random, n): labelled samples and how often each is met, from about `most` documents, chosen
+    by the hash of doc_id and text.
 
     The base patterns label: values they find are random strings; runs of eight characters or more
     that touch no base span are ordinary identifiers.
     """
     n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n))) < most).select(F.coalesce("text", F.lit("")).alias("text"))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n))) < most).select(F.coalesce("text", F.lit("")).alias("text"))
     found = some.select("text", F.concat(*base_spans().values()).alias("s"))
-    value = F.regexp_extract(F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start")), r"([A-Za-z0-9+/_=-]+)$", 1)
-    random = found.select("text", F.explode("s").alias("x")).select(value.alias("token"), F.lit(True).alias("random"))
-    other = F.regexp_replace("text", ASSIGN, " ")
-    runs = F.filter(F.regexp_extract_all(other, F.lit("[A-Za-z0-9+/_=-]{8,}"), 0), lambda x: ~x.rlike("[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}"))
-    return random.union(found.select(F.explode(runs).alias("token"), F.lit(False).alias("random")))
+    value = lambda x: F.regexp_extract(F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"]), r"([A-Za-z0-9+/_=-]+)$", 1)
+    random = F.transform("s", lambda x: F.struct(value(x).alias("token"), F.lit(True).alias("random")))
+    other = F.when(F.size("s") > 0, F.regexp_replace("text", ASSIGN, " ")).otherwise(F.col("text"))
+    plain = F.transform(F.regexp_extract_all(other, F.lit("[A-Za-z0-9+/_=-]{8,}"), 0), lambda x: F.struct(x.alias("token"), F.lit(False).alias("random")))
+    tokens = found.select(F.explode(F.concat(random, plain)).alias("x")).select("x.*").groupBy("token", "random").agg(F.count("*").alias("n"))
+    return tokens.filter(F.col("random") | ~F.col("token").rlike("[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}"))
 
 
 def _kind(k: int) -> str:
@@ -100,14 +115,15 @@ PRIOR = 0.2
 def train(labelled: DataFrame) -> list[float]:
     """For each pair of classes the log of its chance after the first, random over ordinary.
 
-    From (token, random) rows; the result has CLASSES squared numbers whatever the rows. Chances are
+    From (token, random) rows, each counted n times if there is an n; the result has CLASSES squared numbers whatever the rows. Chances are
     those seen, mixed with a prior: for random strings any class alike, for identifiers by STEPS. So
     no sample is needed for a defined result. Null or empty tokens count for nothing.
     """
-    pairs = labelled.filter("token <> '' and random is not null").select("random", F.explode(_pairs(F.col("token"))).alias("pair"))
+    n = F.col("n") if "n" in labelled.columns else F.lit(1)
+    pairs = labelled.filter("token <> '' and random is not null").select("random", n.alias("n"), F.explode(_pairs(F.col("token"))).alias("pair"))
     seen = {True: [0.0] * CLASSES**2, False: [0.0] * CLASSES**2}
-    for row in pairs.groupBy("random", "pair").count().collect():
-        seen[row["random"]][row["pair"]] += row["count"]
+    for row in pairs.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect():
+        seen[row["random"]][row["pair"]] += row["n"]
     kinds = [_kind(k) for k in range(CLASSES)]
     alike = [1.0] * CLASSES**2
     steps = [float(STEPS.get((a, b), 1)) for a in kinds for b in kinds]
@@ -164,8 +180,11 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", **how) -> DataFrame:
     """docs with every run of text that spans cover replaced by the mark; other columns as they are."""
     found = scan(docs, names=("__base", "__spans"), **how)
     text = "coalesce(text, '')"
-    step = f"IF(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, substring({text}, CAST(a.at AS INT) + 1, CAST(s.start - a.at AS INT)), '{mark}')), named_struct('at', greatest(a.at, s.end), 'out', a.out))"
-    clean = f"aggregate(__spans, named_struct('at', 0L, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring({text}, CAST(a.at AS INT) + 1)))"
+    # Runs that spans cover, then the text between them, joined by the mark.
+    step = "IF(s.start >= element_at(a, -1).end, concat(a, array(named_struct('start', s.start, 'end', s.end))), IF(s.end <= element_at(a, -1).end, a, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', s.end)))))"
+    runs = f"aggregate(__spans, array(named_struct('start', 0L, 'end', 0L)), (a, s) -> {step})"
+    between = f"transform(r, (x, i) -> substring({text}, CAST(x.end AS INT) + 1, CAST(coalesce(get(r, i + 1).start - x.end, 2147483647L) AS INT)))"
+    clean = f"transform(array({runs}), r -> array_join({between}, '{mark}'))[0]"
     cleaned = found.withColumn("text", F.expr(f"IF(size(__spans) = 0, text, {clean})"))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -431,3 +431,45 @@ def test_fingerprints_by_definition(spark):
     for r in got:  # likeness is what the returned fingerprints say
         assert r["near_edited"] == lthash.likeness(near(r["fingerprint"]), near(r["edited_fingerprint"]))
     assert by_id[0]["doc_id"] is None and by_id[0]["near_next"] == lthash.likeness(near(by_id[0]["fingerprint"]), near(by_id[1]["fingerprint"]))
+
+
+def test_many_secrets_in_one_text(spark):
+    """More matches than one fold takes, and spans that touch or overlap."""
+    many = " ".join(f"é token={'ab12'[: k % 3 + 1] * 6} {'0a' * 12}" for k in range(700))
+    rows = [(1, many), (2, "token=AKIA" + "Q" * 20 + "0" * 30 + " é " + "f" * 30)]
+    docs = frame(spark, rows)
+    model = [0.0] * secrets.CLASSES**2
+    got = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    assert all([tuple(s) for s in got[i]["base"]] == secrets.brute_force(t) for i, t in rows)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model=model).collect()}
+    for i, t in rows:
+        gone, want, at = [False] * len(t), "", 0
+        spans = sorted((a, b) for _, a, b in secrets.brute_force(t))
+        end = 0
+        for a, b in spans:
+            if a >= end:
+                want += t[end:a] + "<SECRET>"
+            end = max(end, b)
+        assert clean[i] == want + t[end:]
+
+
+def test_the_random_kind_on_labelled_tokens(spark):
+    """Precision and recall over tokens that no training saw."""
+    rng = np.random.default_rng(2)
+    letters = list(secrets.ALPHABET[:62])
+    parts = "account balance user session handler get set find remove index count total national standard request response builder factory config parser value string buffer stream reader writer".split()
+    random = lambda: "".join(rng.choice(letters, int(rng.integers(20, 44))))
+    name = lambda: rng.choice(["", "_", "-"]).join(w.capitalize() if rng.random() < 0.5 else w for w in rng.choice(parts, int(rng.integers(4, 7))))
+    sample = [(random(), True) for _ in range(300)] + [(name(), False) for _ in range(600)]
+    model = secrets.train(spark.createDataFrame(sample, "token string, random boolean"))
+    held = [(random(), True) for _ in range(500)] + [(n, False) for _ in range(700) if len(n := name()) >= secrets.LEAST]
+    docs = frame(spark, [(k, t) for k, (t, _) in enumerate(held)])
+    hit = {r["doc_id"] for r in secrets.scan(docs, model).collect() if any(s["kind"] == "random" for s in r["spans"])}
+    truth = {k for k, (_, x) in enumerate(held) if x}
+    print("precision", len(hit & truth) / len(hit), "recall", len(hit & truth) / len(truth))
+    assert len(hit & truth) >= 0.98 * len(hit) and len(hit & truth) >= 0.95 * len(truth)
+
+
+def test_rows_without_ids_are_sampled_too(spark):
+    docs = frame(spark, [(None, f"password = abcdef{k:06d} identifier_number_{k}") for k in range(400)])
+    assert 20 <= secrets.samples(docs, 40).filter("random").count() <= 80
