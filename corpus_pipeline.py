@@ -1,7 +1,14 @@
-"""From raw documents to a tokenised training mix, in stages that each apply one operator."""
+"""From raw documents to a tokenised training mix, in stages that each apply one operator.
+
+Every stage takes documents with null or empty texts, null or repeated ids, and no documents at all. Rows
+that repeat a doc_id are documents of their own to the classifier, the secret scan and the encoding; near-dedup
+keeps one of those whose text (or set of shingles) repeats as well; the mix draws rows that repeat doc_id and text
+as one document. Columns beyond those of documents go along; only the last stage returns columns of its own.
+"""
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +19,28 @@ from pairmend.llm.common import table, written
 from pairmend.llm.queries import TOKENIZER
 
 
-#: Rows of whole texts that go to a Python worker at a time.
-BATCH_ROWS = 1_000
+#: Bytes of whole texts that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 
 
 def _in_small_batches(stage):
-    """The stage, with Arrow batches of texts that leave a worker's memory to its work."""
+    """The stage, with Arrow batches of texts that leave a worker's memory to its work.
+
+    It runs in a session of its own, with the caller's settings and this one, so the caller's stay as they are.
+    """
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
+        own, name = spark.newSession(), f"docs_{uuid.uuid4().hex}"
+        for key, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(key):
+                own.conf.set(key, value)
+        own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        docs.createOrReplaceGlobalTempView(name)
+        try:
+            return stage(own, own.table(f"global_temp.{name}"), sf_dir)
+        finally:
+            spark.catalog.dropGlobalTempView(name)
 
     return run
 
