@@ -31,108 +31,211 @@ NOISE = frozenset(
     "commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets pagination pager toolbar skip login search contentinfo complementary".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words that say nothing beside those: a class or id is noise if it has words of NOISE and else only these.
+NEUTRAL = frozenset(
+    "area bar block body bottom box col column container content div element fixed float form foot global group head inner item items js left link links list main module outer page "
+    "panel post primary reader readers right rail row secondary section site small slot space sticky strip text thread top unit user users wrap wrapper zone".split()
+)
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
 _RAW_END = {t: re.compile(rf"</{t}\s*/?>", re.I) for t in RAW}
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_UNSEEN = re.compile(r"display\s*:\s*none")
+_UNTIL_P, _UNTIL_ITEM = CONTAINERS | {"li", "blockquote", "table"}, ("ul", "ol", "dl", "table", "select")
+_SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+
+
+class _Scanner:
+    """Gives a page's text and tags in one pass: its pointer only moves on, whatever the page is like.
+
+    A tag ends at the first > outside quotes. Where that is missing, quotes count for nothing from there on,
+    and where there is no > any more, the rest is text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.loose = html, False
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, text or tag name, attributes): kinds are text, open and close."""
+        html, at, held = self.html, 0, 0
+        while (k := html.find("<", at)) >= 0:
+            start, made = k, None
+            if html.startswith("<!--", k):
+                end = html.find("-->", k + 4)
+                at = len(html) if end < 0 else end + 3
+            elif html.startswith("<![CDATA[", k) and (end := html.find("]]>", k)) >= 0:
+                at, made = end + 3, ("text", html[k + 9 : end], "")
+            elif html.startswith(("<!", "<?"), k):
+                if (end := html.find(">", k)) < 0:
+                    break
+                at = end + 1
+            else:
+                close = html.startswith("/", k + 1)
+                name = _NAME.match(html, k + 1 + close)
+                if not name:
+                    at = k + 1
+                    continue
+                if (end := self._end(name.end())) < 0:
+                    break
+                at, made = end + 1, ("close" if close else "open", name[0].lower(), html[name.end() : end])
+            if start > held:
+                yield "text", html[held:start], ""
+            if made:
+                yield made
+                if made[0] == "open" and made[1] in RAW and not made[2].rstrip().endswith("/"):
+                    end = _RAW_END[made[1]].search(html, at)
+                    at = end.end() if end else len(html)
+            held = at
+        if held < len(html):
+            yield "text", html[held:], ""
+
+    def _end(self, at: int) -> int:
+        html, first = self.html, at
+        while not self.loose:
+            stop = _STOP.search(html, at)
+            if not stop:
+                self.loose = True
+            elif stop[0] == ">":
+                return stop.start()
+            else:
+                close = html.find(stop[0], stop.end())
+                if close < 0:
+                    self.loose = True
+                at = close + 1
+        return html.find(">", first)
 
 
 class _Page:
-    """A page's elements (tag, parent, path, noise) and its text, each piece with its element."""
+    """A page's elements (tag, parent, path, noise) and its text, each piece with its element.
+
+    A path is a number; `paths` has the number of each path and label that continues it.
+    """
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.path, self.noise, self.link = ["#root"], [-1], [""], [False], [False]
+        self.tag, self.parent, self.path, self.noise, self.link = ["#root"], [-1], [0], [False], [False]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.label = [""]
         self.text: list[tuple[int, str] | None] = []  # None: a block ends
-        stack, at = [0], 0
-        while m := _TOKEN.search(html, at):
-            if m.start() > at:
-                self.text.append((stack[-1], html[at : m.start()]))
-            at = m.end()
-            if m[1] is not None:
-                self.text.append((stack[-1], m[1]))
-            if m[3] is None:
+        self.stack: list[int] = [0]
+        self.open: dict[str, list[int]] = {}  # for each tag where it stands in the stack
+        self.boxes: list[int] = []  # where containers stand there
+        for kind, what, raw in _Scanner(html):
+            if kind == "text":
+                self.text.append((self.stack[-1], what))
                 continue
-            tag = m[3].lower()
-            if tag not in INLINE:
+            if what not in INLINE:
                 self.text.append(None)
-            elif tag in ("br", "wbr", "img"):
-                self.text.append((stack[-1], " " if tag == "br" else ""))
-            if m[2]:
-                self._close(stack, tag)
+            elif what == "br":
+                self.text.append((self.stack[-1], " "))
+            if kind == "close":
+                self._close(what)
                 continue
-            self._open(stack, tag, m[4])
-            if tag in RAW and not m[4].rstrip().endswith("/"):
-                end = _RAW_END[tag].search(html, at)
-                at = end.end() if end else len(html)
-                stack.pop()
-            elif tag in VOID or m[4].rstrip().endswith("/") and tag not in CONTAINERS and tag != "p":
-                stack.pop()
-        if at < len(html):
-            self.text.append((stack[-1], html[at:]))
-
-    def _open(self, stack: list[int], tag: str, raw: str) -> None:
+            self._open(what, raw)
+            bare = raw.rstrip().endswith("/")
+            if what in RAW and not bare or what in VOID or bare and what not in CONTAINERS and what != "p":
+                self._cut(len(self.stack) - 1)
+
+    def _cut(self, at: int) -> None:
+        """Close the elements of the stack from there on."""
+        while len(self.stack) > at:
+            tag = self.tag[self.stack.pop()]
+            self.open[tag].pop()
+            if tag in CONTAINERS:
+                self.boxes.pop()
+
+    def _last(self, tags) -> int:
+        """Where the innermost open element of these tags stands; 0 if there is none."""
+        last, stands = 0, self.open
+        for t in tags:
+            if (at := stands.get(t)) and at[-1] > last:
+                last = at[-1]
+        return last
+
+    def _open(self, tag: str, raw: str) -> None:
         if tag in CLOSES_P:
-            self._implied(stack, ("p",), CONTAINERS | {"li", "blockquote", "table"})
+            self._implied(("p",), _UNTIL_P)
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            self._implied(stack, same, frozenset(("ul", "ol", "dl", "table", "select")))
-        up = stack[-1]
+            self._implied(_SAME.get(tag, (tag,)), _UNTIL_ITEM)
+        up = self.stack[-1]
         given = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
         name = given.get("class", "").split() if tag not in ("html", "body") else []
-        label = tag + "".join("." + re.sub(r"\d+", "#", c) for c in name[:1])
+        label = (tag + "".join("." + re.sub(r"\d+", "#", c) for c in name[:1])).replace(">", "#")
         self.tag.append(tag)
         self.parent.append(up)
-        self.path.append(f"{self.path[up]}>{label}")
-        self.noise.append(self.noise[up] or self._is_noise(tag, given, stack))
+        self.label.append(label)
+        self.path.append(self.paths.setdefault((self.path[up], label), len(self.paths) + 1))
+        self.noise.append(self.noise[up] or self._is_noise(tag, given))
         self.link.append(self.link[up] or tag == "a")
-        stack.append(len(self.tag) - 1)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in CONTAINERS:
+            self.boxes.append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
 
-    def _is_noise(self, tag: str, given: dict[str, str], stack: list[int]) -> bool:
+    def _is_noise(self, tag: str, given: dict[str, str]) -> bool:
         if tag in ("html", "body", "main"):
             return False
-        if tag == "header" and any(self.tag[k] in ("article", "main") for k in stack):
+        if tag == "header" and self._last(("article", "main")):
+            return False
+        if tag in BOILERPLATE:
+            return True
+        if not given:
             return False
-        if tag in BOILERPLATE or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
+        if "hidden" in given or given.get("aria-hidden") == "true" or "style" in given and _UNSEEN.search(given["style"]):
             return True
-        words = {w.lower() for a in ("class", "id", "role") for w in _WORDS.findall(given.get(a, ""))}
-        return not NOISE.isdisjoint(words & {"comment", "comments", "reply"} if tag == "article" else words)
-
-    def _implied(self, stack: list[int], tags: tuple[str, ...], until: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in tags:
-                del stack[k:]
-                return
-            if self.tag[stack[k]] in until:
-                return
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                del stack[k:]
-                return
-            if tag in INLINE and self.tag[stack[k]] in CONTAINERS:
-                return
-
-    def scores(self) -> dict[int, float]:
-        """For each container the prose under it, less links; an element between halves it."""
-        out: dict[int, float] = {}
+        for name in " ".join([given[a] for a in ("class", "id", "role") if a in given]).split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            told = words & {"comment", "comments", "reply"} if tag == "article" else words & NOISE
+            if told and words <= NOISE | NEUTRAL:
+                return True
+        return False
+
+    def _implied(self, tags, until) -> None:
+        if (at := self._last(tags)) and (at > self._last(until) or tags[0] in until):
+            self._cut(at)
+
+    def _close(self, tag: str) -> None:
+        at = self.open.get(tag)
+        if at and not (tag in INLINE and self.boxes and self.boxes[-1] > at[-1]):
+            self._cut(at[-1])
+
+    def best(self) -> tuple[int, float]:
+        """The container with the highest score, the first of equals (the root if there is none), and its part of
+        all scores. A container scores the prose under it, less links, halved by each container between; an
+        article or main part around the best stands for it."""
+        mass = [0.0] * len(self.tag)
         for piece in self.text:
-            if piece is None or self.noise[piece[0]]:
-                continue
-            k, size = piece[0], len(piece[1].strip())
-            if size and not self.link[k]:
-                part = float(size)
-                while k > 0:
-                    if self.tag[k] in CONTAINERS:
-                        out[k] = out.get(k, 0.0) + part
-                        part /= 2
-                    k = self.parent[k]
-        return out
-
-    def best(self) -> int:
-        """The container with the highest score, the first of equals; the root if there is none."""
-        scores = self.scores()
-        return max(scores, key=lambda k: (scores[k], -k), default=0)
+            if piece and not self.noise[piece[0]] and not self.link[piece[0]]:
+                mass[piece[0]] += len(piece[1].strip())
+        top, total = 0, 0.0
+        for k in range(len(mass) - 1, 0, -1):  # what is inside comes after what is around
+            box = self.tag[k] in CONTAINERS
+            mass[self.parent[k]] += mass[k] / 2 if box else mass[k]
+            if box and mass[k]:
+                total += mass[k]
+                if not top or mass[k] >= mass[top]:
+                    top = k
+        part, k = mass[top] / total if top else 0.0, top
+        around = {self.tag[top]: top}
+        while k > 0:
+            around[self.tag[k]] = k  # the outermost of each tag
+            k = self.parent[k]
+        return around.get("article", around.get("main", top)), part
+
+    def path_of(self, k: int) -> str:
+        labels = []
+        while k > 0:
+            labels.append(self.label[k])
+            k = self.parent[k]
+        return "".join(f">{x}" for x in reversed(labels))
+
+    def number_of(self, path: str) -> int:
+        """The number of a written path; -1 if the page doesn't have it."""
+        at = 0
+        for label in path.split(">")[1:]:
+            at = self.paths.get((at, label), -1)
+        return at
 
     def blocks(self, roots: set[int]) -> list[str]:
         """The text under the roots, without noise, block by block."""
@@ -153,18 +256,17 @@ class _Page:
 def vote(html: str | None) -> tuple[str, float]:
     """The generalised path of a page's best container, and its part of the page's prose."""
     page = _Page(html or "")
-    k = page.best()
-    scores = page.scores()
-    return page.path[k], scores[k] / max(sum(scores.values()), 1e-9) if scores else 0.0
+    k, part = page.best()
+    return page.path_of(k), part
 
 
 def extract(html: str | None, path: str | None) -> str:
     """The main text: what the path's containers hold, or, where that is under half of the page's best
     container (or there are none), what that one holds. Blocks are joined by an empty line."""
     page = _Page(html or "")
-    own = page.blocks({page.best()})
-    if path:
-        won = page.blocks({k for k in range(len(page.path)) if page.path[k] == path and not page.noise[k]})
+    own = page.blocks({page.best()[0]})
+    if path and (number := page.number_of(path)) > 0:
+        won = page.blocks({k for k, x in enumerate(page.path) if x == number and not page.noise[k]})
         if sum(map(len, won)) * 2 >= sum(map(len, own)):
             own = won
     return "\n\n".join(own)

@@ -141,3 +141,108 @@ def test_equally_near_pivots(spark):
     got = pivots.near_duplicates(spark.createDataFrame([(i, v, 0, "") for i, v in enumerate(x.tolist())], VECTORS)).collect()
     links, roots = brute(list(range(120)), x)
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (links[i], roots[i]) for i in range(120)}
+
+
+def test_kept_sections_and_headings():
+    parts = '<section id="related-work"><h2>Related</h2><p>{0}</p></section><div class="search-results-analysis"><p>{0}</p></div>'.format("w " * 30)
+    page = f'<body><div class="site-header">no</div><article><h1>Head</h1><p class="lead">Lead</p><div class="body"><p>{"long " * 90}</p>{parts}</div><div class="ad-box">no</div><div id="comments-list">no</div></article><ul class="related posts">no</ul></body>'
+    got = hostpaths.extract(page, hostpaths.vote(page)[0]).split("\n\n")
+    assert got[:2] == ["Head", "Lead"] and "Related" in got and len(got) == 6 and "no" not in got
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    pages = ["<p" * 500_000, "<a " * 330_000, "<div>" * 100_000, "<a '>'" * 100_000, "<b><div>" + "<i>" * 60_000 + "</b>" * 60_000, "<div>" * 60_000 + "</x>" * 60_000, "<!--" * 200_000, "<ul>" + "<li>a" * 60_000]
+    for page in pages:
+        began = time.perf_counter()
+        hostpaths.vote(page)
+        assert time.perf_counter() - began < 10, page[:8]
+    assert hostpaths.extract("a < b <p>c <!-- x --> d <![CDATA[e]]> <b title='>'>f</b> <i", None) == "a < b\n\nc d e f <i"
+
+
+def plain_text(html):
+    """A second reader, on the standard library's parser, for well-formed pages: the same rules said shortly."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.nodes, self.out = [0], [("#root", -1, False, False)], []
+
+        def handle_starttag(self, tag, attrs):
+            given = {k: v or "" for k, v in attrs}
+            _, _, noise, link = self.nodes[self.stack[-1]]
+            names = " ".join(given.get(a, "") for a in ("class", "id", "role")).split()
+            bad = tag in hostpaths.BOILERPLATE or any(
+                (w := {x.lower() for x in hostpaths._WORDS.findall(n)}) & hostpaths.NOISE and w <= hostpaths.NOISE | hostpaths.NEUTRAL for n in names
+            ) and tag not in ("html", "body")
+            self.nodes.append((tag, self.stack[-1], noise or bad, link or tag == "a"))
+            if tag not in hostpaths.INLINE:
+                self.out.append(None)
+            if tag not in hostpaths.VOID:
+                self.stack.append(len(self.nodes) - 1)
+
+        def handle_endtag(self, tag):
+            if tag not in hostpaths.INLINE:
+                self.out.append(None)
+            self.stack.pop()
+
+        def handle_data(self, data):
+            self.out.append((self.stack[-1], data))
+
+    reader = Reader()
+    reader.feed(html)
+    score = {}
+    for k, data in (x for x in reader.out if x):
+        part = len(data.strip()) * (not reader.nodes[k][2] and not reader.nodes[k][3])
+        while k > 0 and part:
+            if reader.nodes[k][0] in hostpaths.CONTAINERS:
+                score[k] = score.get(k, 0) + part
+                part /= 2
+            k = reader.nodes[k][1]
+    best = max(score, key=lambda k: (score[k], -k), default=0)
+
+    def under(k):
+        while k > 0 and k != best:
+            k = reader.nodes[k][1]
+        return k == best
+
+    blocks, now = [], ""
+    for x in [*reader.out, None]:
+        if x is None:
+            blocks, now = blocks + [" ".join(now.split())] * bool(now.split()), ""
+        elif under(x[0]) and not reader.nodes[x[0]][2]:
+            now += x[1]
+    return "\n\n".join(blocks)
+
+
+def test_a_second_reader_agrees():
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 99, n))
+    classes = ["", ' class="ad"', ' class="post-3"', ' class="related links"', ' id="sidebar"', ' class="body x"', ' class="related-work"']
+
+    def tree(depth):
+        tag = str(rng.choice(["div", "section", "p", "span", "ul", "aside", "h2", "a", "nav"]))
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else f"{word(int(rng.integers(1, 30)))} &amp; é" for _ in range(int(rng.integers(1, 4))))
+        if tag == "p":
+            inner = word(9)
+        return f"<{tag}{classes[rng.integers(len(classes))]}>{inner}</{tag}>"
+
+    def sound(page):  # the second reader closes nothing by itself
+        import re as _re
+
+        return not _re.search(r"<(span|a)\b[^>]*>(?:(?!</\1>).)*<(div|section|ul|p|aside|h2|nav|a|span)\b", page)
+
+    pages = [p for p in (f"<body>{tree(4)}{tree(4)}<br>{tree(3)}</body>" for _ in range(600)) if sound(p)]
+    assert len(pages) > 100
+    for page in pages:
+        assert hostpaths.extract(page, None) == plain_text(page), page
+
+
+def test_equal_votes_and_repeated_pages(spark):
+    page = '<div class="{}"><p>' + "m" * 80 + "</p></div>"
+    rows = [(1, "http://t/", page.format("a")), (1, "http://t/", page.format("b")), (None, "http://t/", page.format("a")), (2, "http://t/", page.format("b"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["path"] for r in hostpaths.winning_paths(df).collect()} == {">div.b"}  # of equal votes the last path
+    assert [r["text"] for r in hostpaths.main_text(df).collect()] == ["m" * 80] * 4
