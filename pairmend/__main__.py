@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairmend import config
 from pairmend.operators import arbitrate, build, diagnose, repair, sieve, simulate
 from pairmend.sources import files
+from pairmend.sources.images import images_of
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -22,6 +23,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         stage.add_argument("out", help="a folder" if name in ("sieve", "diagnose", "repair") else "a path")
         if name in ("build", "sieve"):
             stage.add_argument("--config", default=None)
+        if name in ("build", "diagnose"):
+            stage.add_argument("--images", default=None, help="the folder that image paths are relative to; without it every named image counts as there")
+        if name in ("sieve", "diagnose"):
+            stage.add_argument("--embeddings", default=None, help="a table of row_id, text_emb, image_emb; without it the rows carry their vectors")
         if name == "simulate":
             stage.add_argument("--copies-per-row", type=int, default=15)
             stage.add_argument("--noise-rate", type=float, default=0.30)
@@ -32,26 +37,40 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("pairmend").getOrCreate()
     settings = config.load(a.config) if getattr(a, "config", None) else (config.BuildConfig(), config.SieveConfig())
     if a.stage == "build":
-        files.write_parquet(build.build(files.read_raw(spark, a.raw), images_dir=f"{settings[0].processed_dir}/images"), a.out)
+        raw = files.read_raw(spark, a.raw)
+        images = a.images and images_of(spark, build.normalize(raw), a.images)
+        files.write_parquet(build.build(raw, images or None, f"{settings[0].processed_dir}/images"), a.out)
+        for told in (build.counters, build.downloads):
+            told(spark.read.parquet(a.out)).show()
     elif a.stage == "simulate":
         noisy = simulate.add_noise(simulate.replicate(spark.read.parquet(a.rows), a.copies_per_row), a.noise_rate, a.seed)
         files.write_parquet(noisy, a.out)
     elif a.stage == "sieve":
-        found = sieve.sieve(spark.read.parquet(a.rows), settings[1])
+        rows = spark.read.parquet(a.rows)
+        if a.embeddings:
+            rows = rows.drop("text_emb", "image_emb").join(spark.read.parquet(a.embeddings).select("row_id", "text_emb", "image_emb"), "row_id", "left")
+        found = sieve.sieve(rows, settings[1])
         files.write_parquet(found, files.artifact("embeddings", a.out, a.rows))
         flat = spark.read.parquet(files.artifact("embeddings", a.out, a.rows)).drop("text_emb", "image_emb")
         files.write_csv(flat, files.artifact("sieve", a.out, a.rows))
         files.write_csv(flat.filter("flagged"), files.artifact("flagged", a.out, a.rows))
     elif a.stage == "diagnose":
-        reports = diagnose.diagnose(diagnose.evidence(spark.read.parquet(a.sieved)))
+        sieved = spark.read.parquet(a.sieved)
+        found = diagnose.evidence(sieved, a.embeddings and spark.read.parquet(a.embeddings) or None)
+        if a.images:
+            seen = images_of(spark, found, a.images, "source_image_path" if "source_image_path" in found.columns else "image_path")
+            found = found.join(seen, "row_id", "left").withColumn("image_exists", F.coalesce("ok", F.lit(False))).drop("ok")
+        reports = diagnose.diagnose(found)
         files.write_jsonl(reports, files.artifact("reports", a.out, a.sieved))
         files.write_csv(diagnose.queue(reports), files.artifact("queue", a.out, a.sieved))
     elif a.stage == "arbitrate":
         files.write_csv(arbitrate.arbitrate(files.read_queue(spark, a.queue)), a.out)
+        files.read_plan(spark, a.out).orderBy("step").show(20)
     else:
         fixed, log = repair.repair(spark.read.parquet(a.rows), files.read_plan(spark, a.plan), semantics=a.semantics)
         files.write_parquet(fixed, files.artifact("repaired", a.out, a.rows))
         files.write_csv(log.orderBy(F.col("step")), files.artifact("log", a.out, a.rows))
+        repair.status_counts(log).show()
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ def clean(c: Column | str) -> Column:
 def json_map(c: Column | str) -> Column:
     """A JSON object as a map; empty for null, blank or invalid text and for other JSON. Of a key given twice
     the last value counts, at the first one's place."""
-    given = F.from_json(strip(c), ATTRIBUTES)
-    return F.coalesce(merge(given, given), empty_map())
+    return F.coalesce(once(F.from_json(strip(c), ATTRIBUTES), lambda m: _merged(m, m)), empty_map())
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often use() names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def empty_map() -> Column:
@@ -34,9 +40,14 @@ def empty_map() -> Column:
 
 def merge(left: Column, right: Column) -> Column:
     """left with right's entries: known keys keep their places, new ones follow."""
-    keys = F.array_distinct(F.concat(F.map_keys(left), F.map_keys(right)))
+    return once(F.struct(left.alias("l"), right.alias("r")), lambda m: _merged(m["l"], m["r"]))
+
+
+def _merged(left: Column, right: Column) -> Column:
     last = lambda m, k: F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.when(F.array_contains(F.map_keys(right), k), last(right, k)).otherwise(last(left, k))))
+    keys = F.array_distinct(F.concat(F.map_keys(left), F.map_keys(right)))
+    values = lambda ks: F.transform(ks, lambda k: F.when(F.array_contains(F.map_keys(right), k), last(right, k)).otherwise(last(left, k)))
+    return once(keys, lambda ks: F.map_from_arrays(ks, values(ks)))
 
 
 def dump(attributes: Column) -> Column:

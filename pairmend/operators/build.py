@@ -59,3 +59,9 @@ def counters(processed: DataFrame) -> DataFrame:
         F.count_if(F.col("is_image_missing")).alias("missing_images"),
         F.count_if(F.col("is_text_missing")).alias("missing_text"),
     )
+
+
+def downloads(processed: DataFrame) -> DataFrame:
+    """One row: downloaded, how many images came from a URL."""
+    from_url = (F.col("source_image_path") == "") & (F.col("source_image_url") != "")
+    return processed.agg(F.count_if(from_url & ~F.col("is_image_missing")).alias("downloaded"))

@@ -27,20 +27,23 @@ def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n")
 
 
-def evidence(sieved: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
+def evidence(sieved: DataFrame, embeddings: DataFrame | None = None, position: str | None = None) -> DataFrame:
     """The flagged rows with own_sim, best_other_row, best_other_sim and margin.
 
     Vectors are sieved's own columns or a table by row_id. Only flagged rows whose two parts are there
-    go into the retrieval; a row without vectors has nulls.
+    go into the retrieval; a row without vectors has nulls. Of vectors that repeat a row_id the last by
+    position asks (without one, the one of the largest hash); as rivals of other rows all of them count.
     """
     vectors = sieved if embeddings is None else embeddings
     flagged = sieved.filter("flagged")
     both = ~F.coalesce(F.col("is_image_missing"), F.lit(False)) & ~F.coalesce(F.col("is_text_missing"), F.lit(False))
     asked = flagged.filter(both).select("row_id")
     queries = vectors.join(asked.withColumnRenamed("row_id", "__id").distinct(), F.col("row_id") == F.col("__id"), "left_semi")
+    order = F.col(position) if position else F.xxhash64("image_emb", "text_emb")
+    queries = last_of_each(queries.withColumn("__order", order), "row_id", "__order").drop("__order")
     best = best_other(queries, vectors)
     own = queries.select("row_id", dot(normalize(F.col("image_emb")), normalize(F.col("text_emb"))).alias("own_sim"))
-    met = own.groupBy("row_id").agg(F.max("own_sim").alias("own_sim")).join(best, "row_id", "left")
+    met = own.join(best, "row_id", "left")
     met = met.withColumn("margin", F.col("best_other_sim") - F.col("own_sim"))
     return flagged.join(met, "row_id", "left")
 

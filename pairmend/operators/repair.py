@@ -66,7 +66,7 @@ def _resolve(steps: DataFrame, sequential: bool) -> DataFrame:
     return now.join(links.select("step", F.col("cand").alias("source")), "step", "left").select("step", "done", "source")
 
 
-def log_of(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None, semantics: str = "sequential") -> DataFrame:
+def log_of(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None, semantics: str = "sequential", images_dir: str = IMAGES) -> DataFrame:
     """Every step with status (ok, fail, skip), reason, cand, patch, source (whose original image arrives)."""
     if semantics not in ("sequential", "snapshot"):
         raise ValueError("semantics is sequential or snapshot")
@@ -77,13 +77,17 @@ def log_of(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None,
     )
     steps = steps.join(known.select(F.col("id").alias("row_id"), F.lit(True).alias("found")), "row_id", "left")
     steps = settle(steps.join(known.select(F.col("id").alias("cand"), F.col("path").alias("cand_path"), "there"), "cand", "left"))
-    usable = steps.filter("action = 'replace_image_from_row' and found and there is not null")
+    # An image that is where the copy would go can't be copied there, unless an earlier step moves its row's path.
+    target = F.concat(F.lit(images_dir + "/"), F.col("row_id"), F.lit(".jpg"))
+    steps = steps.withColumn("same", F.coalesce(F.col("cand_path") == target, F.lit(False)))
+    usable = steps.filter("action = 'replace_image_from_row' and found and there is not null").withColumn("there", F.expr("there and not same"))
     done = _resolve(usable.select("step", "row_id", "cand", "there"), semantics == "sequential")
     steps = steps.join(done, "step", "left")
     reason = (
         F.when(F.col("found").isNull(), "row_id_not_found")
         .when((F.col("action") == "replace_image_from_row") & F.col("there").isNull(), "candidate_missing_or_not_found")
         .when((F.col("action") == "replace_image_from_row") & ~F.col("done") & (F.col("cand_path") == ""), "candidate_has_no_image_path")
+        .when((F.col("action") == "replace_image_from_row") & ~F.col("done") & F.col("same") & F.col("there"), F.concat(F.lit("exception:SameFileError:"), F.col("cand_path")))
         .when((F.col("action") == "replace_image_from_row") & ~F.col("done"), F.concat(F.lit("candidate_image_file_missing:"), F.col("cand_path")))
         .when((F.col("action") == "apply_text_patch") & (F.size("patch") == 0), "missing_text_patch")
         .when(F.col("action").isin("replace_image_from_row", "apply_text_patch", "human_review"), "")
@@ -176,7 +180,7 @@ def repair(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None,
     """
     rows = ensure_columns(rows, REPAIR_DEFAULTS)
     rows = rows.withColumn("__pos", F.col(position) if position else F.lit(0))
-    steps = settle(log_of(rows, plan, existing, semantics))
+    steps = settle(log_of(rows, plan, existing, semantics, images_dir))
     return apply(rows, steps, images_dir, recompute_flags), log(steps)
 
 

@@ -90,6 +90,23 @@ catalog AS (
 
 _COLOR_CASE = " ".join(f"WHEN regexp_matches(lower(p_name), '\\b{c}\\b') THEN '{c}'" for c in BASIC_COLORS)
 _PROTOTYPES = ", ".join(f"({k}, '{name}', {r}, {g}, {b})" for k, (name, (r, g, b)) in enumerate(PROTOTYPES.items()))
+_CATALOG_REPORTS = f"""WITH x AS (
+  SELECT p_partkey AS k, (p_partkey * 37 + 11) % 256 AS r, (p_partkey * 91 + 5) % 256 AS g, (p_partkey * 53 + 77) % 256 AS b,
+    CASE WHEN p_partkey % 4 = 0 THEN 'red' {_COLOR_CASE} ELSE '' END AS text_color FROM part),
+p(n, name, pr, pg, pb) AS (VALUES {_PROTOTYPES}),
+near AS (SELECT k, arg_min(name, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 100 + n) AS seen FROM x CROSS JOIN p GROUP BY k),
+v AS (
+  SELECT x.*, seen, CASE WHEN k % 13 = 0 THEN 'missing_image' WHEN k % 11 = 0 THEN 'missing_text' WHEN k % 7 = 0 THEN 'missing_image_file'
+    WHEN text_color <> '' AND text_color <> seen THEN 'color' ELSE 'unknown' END AS what FROM x JOIN near USING (k)),
+reports AS (
+  SELECT CAST(k AS VARCHAR) AS row_id, CASE WHEN what LIKE 'missing%' THEN 'Type III' WHEN what = 'color' THEN 'Type II' ELSE 'Unknown' END AS error_type, what AS mismatch_aspects,
+    CASE WHEN what IN ('missing_text', 'color') THEN 'V2T' ELSE 'HUMAN' END AS suggested_direction,
+    CASE what WHEN 'missing_image' THEN 'Image is missing.' WHEN 'missing_text' THEN 'Text is missing; likely generate/fill text from image.'
+      WHEN 'missing_image_file' THEN 'Image file not found at: images/' || k || '.jpg' END AS notes,
+    CAST(CASE what WHEN 'missing_text' THEN 0.7 WHEN 'color' THEN 0.75 WHEN 'unknown' THEN 0.5 ELSE 0 END AS DOUBLE) AS image_trust,
+    CAST(CASE what WHEN 'missing_text' THEN 0 WHEN 'color' THEN 0.4 ELSE 0.5 END AS DOUBLE) AS text_trust,
+    CASE what WHEN 'color' THEN seen END AS new_color, CASE what WHEN 'missing_text' THEN 'NEEDS_CAPTION' END AS new_title,
+    CASE what WHEN 'color' THEN text_color END AS text_color, CASE what WHEN 'color' THEN r || ',' || g || ',' || b END AS rgb FROM v)"""
 
 ORACLES = {
     "pair_cosine": f"WITH {_PAIRS} SELECT row_id, category, round(sim, 6) AS sim_score FROM scored",
@@ -138,6 +155,7 @@ hit AS repaired, CASE WHEN hit THEN 'apply_text_patch' ELSE '' END AS repair_act
 source = 'none' AS is_image_missing, title = '' AND NOT good AS is_text_missing FROM catalog""",
     "build_counters": f"""WITH {_CATALOG} SELECT count(*) AS rows, count(*) FILTER (source <> 'none') AS normalized_images, count(*) FILTER (source = 'none') AS missing_images,
 count(*) FILTER (title = '' AND NOT good) AS missing_text FROM catalog""",
+    "build_downloads": f"WITH {_CATALOG} SELECT count(*) FILTER (source = 'url') AS downloaded FROM catalog",
     "image_source_resolution": f"WITH {_CATALOG} SELECT source AS image_source, count(*) AS n FROM catalog GROUP BY source",
     "image_listing_join": f"""WITH {_CATALOG} SELECT row_id, CASE WHEN k % 3 = 0 AND k % 9 <> 0 THEN 'data/processed/images/' || row_id || '.jpg' ELSE '' END AS image_path,
 NOT (k % 3 = 0 AND k % 9 <> 0) AS is_image_missing FROM catalog""",
@@ -158,5 +176,29 @@ SELECT l_suppkey, red, green, blue, name AS img_color FROM d WHERE n = 1""",
     "replicate_rows": "SELECT p_partkey || '_' || k AS row_id, p_name AS title, 'clean' AS noise_label FROM part, (SELECT unnest(range(15)) AS k)",
     "noise_sample": """WITH n AS (SELECT 15 * count(*) AS n, CAST(floor(15 * count(*) * 0.30::DOUBLE) AS BIGINT) AS m FROM part)
 SELECT true AS noisy, m AS n FROM n UNION ALL SELECT false, n - m FROM n""",
+    "noise_invariants": """SELECT 15 * count(*) AS rows, CAST(floor(15 * count(*) * 0.30::DOUBLE) AS BIGINT) AS noisy, CAST(0 AS BIGINT) AS colors_kept,
+CAST(0 AS BIGINT) AS texts_wrong, CAST(0 AS BIGINT) AS others_touched, CAST(0 AS BIGINT) AS images_lost FROM part""",
+    "diagnose_catalog": f"{_CATALOG_REPORTS} SELECT * FROM reports",
+    "queue_fixes": f"""{_CATALOG_REPORTS} SELECT row_id, image_trust, text_trust, CASE mismatch_aspects
+WHEN 'missing_text' THEN '{{"text_patch":{{"title":"NEEDS_CAPTION"}}}}'
+WHEN 'color' THEN '{{"text_patch":{{"attributes.color":"' || new_color || '"}},"observed_image_color":"' || new_color || '","observed_image_rgb":[' || rgb || '],"text_color":"' || text_color || '"}}'
+ELSE '{{}}' END AS proposed_fix FROM reports""",
+    "arbiter_actions": """WITH q AS (
+  SELECT o_orderkey AS k, o_custkey, CASE WHEN o_orderkey % 6 IN (0, 4) THEN 'T2V' WHEN o_orderkey % 6 IN (1, 5) THEN 'V2T' ELSE '' END AS way FROM orders),
+a AS (
+  SELECT *, CASE WHEN way = 'T2V' AND k % 4 = 0 THEN 'replace_image_from_row' WHEN way = 'T2V' THEN 't2v_generate_image_unimplemented'
+    WHEN way = 'V2T' AND k % 4 = 1 THEN 'apply_text_patch' WHEN way = 'V2T' THEN 'v2t_generate_text_unimplemented' ELSE 'human_review' END AS action FROM q)
+SELECT CAST(k AS VARCHAR) AS row_id, action,
+  CAST(CASE action WHEN 'human_review' THEN 0 WHEN 't2v_generate_image_unimplemented' THEN 3 WHEN 'v2t_generate_text_unimplemented' THEN 2 ELSE 1 END AS BIGINT) AS tier,
+  CAST(CASE action WHEN 'human_review' THEN 0 WHEN 't2v_generate_image_unimplemented' THEN 10 WHEN 'v2t_generate_text_unimplemented' THEN 4 WHEN 'apply_text_patch' THEN 0.5 ELSE 1 END AS DOUBLE) AS cost_units,
+  CASE action WHEN 'human_review' THEN 'Low confidence or missing modalities.' WHEN 'replace_image_from_row' THEN 'Replace image using candidate row ' || o_custkey
+    WHEN 'apply_text_patch' THEN 'Apply text_patch to row fields/attributes.' WHEN 't2v_generate_image_unimplemented' THEN 'Would require generative T2V editing; not implemented in MVP.'
+    ELSE 'Would require VLM-based text generation; not implemented in MVP.' END AS notes,
+  row_number() OVER (ORDER BY k) - 1 AS step FROM a""",
+    "repair_status_counts": """WITH l AS (
+  SELECT CASE p_partkey % 5 WHEN 0 THEN 'candidate_has_no_image_path' WHEN 1 THEN 'exception:SameFileError' WHEN 2 THEN 'candidate_image_file_missing'
+    WHEN 3 THEN 'candidate_missing_or_not_found' ELSE '' END AS reason FROM part),
+s AS (SELECT *, CASE reason WHEN '' THEN 'ok' ELSE 'fail' END AS status FROM l)
+SELECT status, reason, count(*) AS n FROM s GROUP BY status, reason UNION ALL SELECT status, 'all', count(*) FROM s GROUP BY status""",
     "dedup_last_wins": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1",
 }

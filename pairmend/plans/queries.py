@@ -166,6 +166,10 @@ def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.counters(build.build(catalog(spark, sf_dir)))
 
 
+def build_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.downloads(build.build(catalog(spark, sf_dir)))
+
+
 def image_source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.image_source(build.normalize(catalog(spark, sf_dir))).groupBy("image_source").agg(F.count("*").alias("n"))
 
@@ -208,6 +212,80 @@ def noise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.add_noise(settle(simulate.replicate(plain_catalog(spark, sf_dir), 15)))
 
 
+def noise_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for noisy rows whatever is drawn: no image lost or doubled, no colour kept, no clean row touched."""
+    rows = settle(simulate.replicate(plain_catalog(spark, sf_dir), 15))
+    noisy = settle(simulate.add_noise(rows))
+    before = rows.select("row_id", F.col("image_path").alias("i"), F.col("attributes").alias("a"), F.col("canonical_text").alias("t"))
+    both = noisy.join(before, "row_id")
+    color = lambda c: F.get_json_object(c, "$.color")
+    swapped, mutated = F.col("noise_label") == "swap_image", F.col("noise_label") == "mutate_text"
+    text = canonical_text(F.col("title"), F.col("category"), json_map("attributes"))
+    images = noisy.groupBy("image_path").agg(F.count("*").alias("n")).join(rows.groupBy("image_path").agg(F.count("*").alias("m")), "image_path", "full")
+    lost = images.agg(F.count_if(~F.col("n").eqNullSafe(F.col("m"))).alias("images_lost"))
+    told = both.agg(
+        F.count("*").alias("rows"), F.count_if(swapped | mutated).alias("noisy"),
+        F.count_if(mutated & (color("attributes").eqNullSafe(color("a")) | ~color("attributes").isin(*simulate.NOISE_COLORS))).alias("colors_kept"),
+        F.count_if(mutated & (F.col("canonical_text") != text)).alias("texts_wrong"),
+        F.count_if((~mutated & ((F.col("attributes") != F.col("a")) | (F.col("canonical_text") != F.col("t")))) | (~swapped & (F.col("image_path") != F.col("i")))).alias("others_touched"),
+    )
+    return told.crossJoin(lost)  # one row each
+
+
+def _catalog_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on catalog rows with images of made colours: all rules but the swap."""
+    k = F.col("row_id").cast("long")
+    channel = lambda m, a: ((k * m + a) % 256).cast("int")
+    rgb = F.array(channel(37, 11), channel(91, 5), channel(53, 77))
+    rows = plain_catalog(spark, sf_dir).withColumns({
+        "is_image_missing": k % 13 == 0, "is_text_missing": k % 11 == 0, "image_exists": k % 7 != 0, "img_rgb": rgb,
+        "img_color": nearest_color(channel(37, 11), channel(91, 5), channel(53, 77)),
+    })
+    return diagnose.diagnose(rows)
+
+
+def diagnose_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, fix = _catalog_reports(spark, sf_dir), F.col("proposed_fix")
+    return r.select(
+        "row_id", "error_type", F.array_join("mismatch_aspects", ",").alias("mismatch_aspects"), "suggested_direction", "notes",
+        F.col("confidence.image_trust").alias("image_trust"), F.col("confidence.text_trust").alias("text_trust"),
+        fix["text_patch"]["attributes.color"].alias("new_color"), fix["text_patch"]["title"].alias("new_title"), fix["text_color"].alias("text_color"),
+        F.array_join(fix["observed_image_rgb"], ",").alias("rgb"),
+    )
+
+
+def queue_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixes of a queue, as the JSON that the arbiter reads."""
+    q = diagnose.queue(_catalog_reports(spark, sf_dir))
+    return q.select("row_id", "image_trust", "text_trust", "proposed_fix")
+
+
+def arbiter_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue from orders with every direction, with and without a fix, and fixes that are no objects."""
+    k = F.col("o_orderkey")
+    direction = F.element_at(F.array(*map(F.lit, ("t2v", " V2T ", "HUMAN", "", "T2V", "V2T"))), (k % 6 + 1).cast("int"))
+    fix = F.when(k % 4 == 0, F.concat(F.lit('{"image_replacement_candidate_row_id": '), F.col("o_custkey").cast("string"), F.lit("}"))).when(k % 4 == 1, '{"text_patch": {"title": "t"}}').when(k % 4 == 2, "[1]").otherwise("")
+    queue = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("row_id"), F.lit("E").alias("error_type"), F.lit("a").alias("mismatch_aspects"), direction.alias("suggested_direction"), fix.alias("proposed_fix"), k.alias("k"))
+    plan = arbitrate.arbitrate(queue, "k")
+    return plan.select("row_id", "action", F.col("tier").cast("long").alias("tier"), "cost_units", "notes", "step")
+
+
+def repair_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements from a row without an image, one whose file is gone, the row itself where the copy would go, and others."""
+    rows = plain_catalog(spark, sf_dir)
+    k = F.col("row_id").cast("long")
+    path = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit(repair.IMAGES + "/"), "row_id", F.lit(".jpg"))).otherwise(F.col("image_path"))
+    rows = rows.withColumn("image_path", path).withColumn("__pos", F.lit(0))
+    listed = rows.filter(k % 5 != 2).select(F.col("image_path").alias("path")).filter("path <> ''")
+    fix = F.concat(F.lit('{"image_replacement_candidate_row_id": "'), F.when(k % 5 < 3, k).otherwise(k + 1000000).cast("string"), F.lit('"}'))
+    action = F.when(k % 5 == 4, "human_review").otherwise("replace_image_from_row")
+    plan = rows.select("row_id", action.alias("action"), fix.alias("proposed_fix"), F.lit("").alias("notes"), k.alias("step"))
+    logged = repair.log(repair.log_of(rows, plan, listed))
+    kinds = logged.withColumn("reason", F.regexp_replace("reason", ":[^:]*$", "")).groupBy("status", "reason").agg(F.count("*").alias("n"))
+    totals = repair.status_counts(logged).select("status", F.lit("all").alias("reason"), "n")
+    return kinds.union(totals)
+
+
 def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.last_of_each(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
@@ -216,8 +294,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         pair_cosine, sieve_iqr, sieve_quantile, sieve_global_iqr, sieve_global_fallback, sieve_flags, flag_reason_counts, threshold_table, embedding_export,
         retrieve_top1, diagnose_reports, arbiter_queue, arbiter_plan, plan_cost_by_action, repair_images_sequential, repair_images_snapshot, repair_log_status,
-        text_patch_apply, canonical_text_of_part, json_attributes, missing_flags, build_counters, image_source_resolution, image_listing_join, text_color,
-        nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, dedup_last_wins,
+        text_patch_apply, canonical_text_of_part, json_attributes, missing_flags, build_counters, build_downloads, image_source_resolution, image_listing_join, text_color,
+        nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, noise_invariants, diagnose_catalog, queue_fixes, arbiter_actions,
+        repair_status_counts, dedup_last_wins,
     )
     return {f.__name__: f for f in own}
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from pairmend.functions.colors import DARK, LIGHT, MANY, SIDE, is_kept, nearest_color
+from pairmend.functions.text import resolve_path
 
 
 def listing(spark: SparkSession, folder: str, root: str = "") -> DataFrame:
@@ -29,6 +30,16 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def images_of(spark: SparkSession, rows: DataFrame, folder: str, path: str = "image_path", root: str = "") -> DataFrame:
+    """row_id, ok, img_rgb, img_color for the rows that name an image under the folder, relative to root or not.
+
+    Images are read and averaged where they are, and only their colours are shuffled to the rows.
+    """
+    seen = dominant_colors(read_images(spark, folder)).select("origin", "ok", "img_rgb", "img_color")
+    named = rows.select(F.col("row_id").alias("row_id"), resolve_path(root or folder, F.col(path)).alias("origin")).filter(F.coalesce(F.col(path), F.lit("")) != "")
+    return named.join(seen, "origin").select("row_id", "ok", "img_rgb", "img_color")
+
+
 def average_rgb(data: bytes, height: int, width: int, channels: int) -> list[int] | None:
     """The mean colour of an image averaged down to SIDE x SIDE, its darkest and lightest pixels left out
     if more than MANY remain; whole numbers, cut off. None for what could not be read."""

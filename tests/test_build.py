@@ -121,3 +121,23 @@ def test_stages_from_files(spark, tmp_path):
     fixed = spark.read.parquet(str(tmp_path / "repaired_toy.parquet")).filter("repaired").collect()
     log = files.read_log(spark, str(tmp_path / "repair_log_toy.csv")).collect()
     assert [r["row_id"] for r in fixed] == ["7"] and [(r["row_id"], r["status"]) for r in log] == [("7", "ok")]
+
+
+def test_stages_read_images(spark, tmp_path):
+    """Colours of image files go from the folder through build and diagnose to a patch; a broken file is found out."""
+    (tmp_path / "img").mkdir()
+    for name, color in (("1", (200, 40, 60)), ("2", (60, 90, 210)), ("3", (200, 40, 60))):
+        (tmp_path / "img" / f"{name}.png").write_bytes(png(color))
+    (tmp_path / "img" / "4.png").write_bytes(b"no image")
+    (tmp_path / "raw.csv").write_text("row_id,title,category,attributes_json,image_path,image_url\n" + "".join(f"{i},red shoe,c,{{}},{i}.png,\n" for i in range(1, 6)))
+    main(["build", str(tmp_path / "raw.csv"), str(tmp_path / "rows.parquet"), "--images", str(tmp_path / "img")], spark)
+    rows = spark.read.parquet(str(tmp_path / "rows.parquet"))
+    assert {r["row_id"]: r["is_image_missing"] for r in rows.collect()} == {"1": False, "2": False, "3": False, "4": True, "5": True}
+    angle = "CAST(row_id AS DOUBLE) / 9"
+    rows.selectExpr("row_id", f"array(cos({angle}), sin({angle})) AS text_emb", f"array(cos({angle}), sin({angle})) AS image_emb").write.parquet(str(tmp_path / "emb.parquet"))
+    rows.filter("row_id <= '3'").selectExpr("*", "true AS flagged", "1.0D AS sim_score").write.parquet(str(tmp_path / "clip_embeddings_toy.parquet"))
+    (tmp_path / "img" / "3.png").unlink()
+    main(["diagnose", str(tmp_path / "clip_embeddings_toy.parquet"), str(tmp_path), "--images", str(tmp_path / "img"), "--embeddings", str(tmp_path / "emb.parquet")], spark)
+    got = {r["row_id"]: r for r in files.read_queue(spark, str(tmp_path / "arbiter_queue_toy.csv")).collect()}
+    assert got["1"]["error_type"] == "Unknown" and got["3"]["mismatch_aspects"] == "missing_image_file"
+    assert got["2"]["mismatch_aspects"] == "color" and '"attributes.color":"blue"' in got["2"]["proposed_fix"]

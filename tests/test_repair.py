@@ -151,3 +151,20 @@ def test_the_last_of_repeated_rows_is_repaired(spark):
     plan = spark.createDataFrame([(0, "A", "apply_text_patch", patch(title="new"), "")], PLAN)
     got = repair.repair(rows, plan, position="pos")[0].orderBy("pos").collect()
     assert [r["title"] for r in got] == ["1", "new"]
+
+
+def test_the_last_of_repeated_vectors_asks(spark):
+    rows = [("a", [1.0, 0.0], [1.0, 0.0], 1), ("a", [0.0, 1.0], [1.0, 0.0], 2), ("b", [1.0, 0.0], [0.0, 1.0], 3)]
+    vectors = spark.createDataFrame(rows, "row_id string, text_emb array<float>, image_emb array<float>, pos int")
+    sieved = spark.createDataFrame([("a", True, False, False)], "row_id string, flagged boolean, is_image_missing boolean, is_text_missing boolean")
+    got = diagnose.evidence(sieved, vectors, "pos").collect()
+    assert [(r["own_sim"], r["best_other_row"], r["best_other_sim"]) for r in got] == [(0.0, "b", pytest.approx(1.0))]
+
+
+def test_an_image_is_not_copied_onto_itself(spark):
+    rows = rows_of(spark, "AB", A=f"{repair.IMAGES}/A.jpg", B=f"{repair.IMAGES}/A.jpg")
+    plan = spark.createDataFrame([(0, "A", "replace_image_from_row", swap("A"), ""), (1, "A", "replace_image_from_row", swap("B"), ""), (2, "B", "replace_image_from_row", swap("A"), "")], PLAN)
+    fixed, log = repair.repair(rows, plan)
+    same = ("fail", f"exception:SameFileError:{repair.IMAGES}/A.jpg")
+    assert [(r["status"], r["reason"]) for r in log.orderBy("step").collect()] == [same, same, ("ok", "")]
+    assert {r["row_id"]: r["repaired"] for r in fixed.collect()} == {"A": False, "B": True}
