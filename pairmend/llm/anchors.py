@@ -220,7 +220,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, digest: bool = Fals
     same document or another; runs are judged on the input. The last column is kept_text, or with
     digest kept_sha256 (of its UTF-8). A null or empty text has no words; a document shorter than a
     window loses none; every occurrence of a repeat goes, copies of a document wholly, and rows that repeat a
-    doc_id are documents of their own. Other columns of docs are left alone. No rows in, no rows out.
+    doc_id, or have none, are documents of their own. Other columns of docs are left alone. No rows in, no rows out.
     """
     if window < 2:
         raise ValueError("a window has two words at least")

@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], line: float = LINE)
     """doc_id, score (0 to 1, higher: label 1 likelier) and predicted, one row per row of docs.
 
     Whole texts are scored where they are read. A null or empty text has no features and gets the
-    score of the shift alone. Only doc_id and text are read.
+    score of the shift alone. Only doc_id and text are read; null and repeated ids are rows like any others.
     """
     weights, shift = model
 

@@ -151,7 +151,8 @@ def scan(docs: DataFrame, model: list[float] | None = None, margin: float = MARG
 
     Places count code points, the end excluded. base holds the spans of the base patterns, spans these
     and, as kind random, the tokens that the models call random and no base span touches. Without a
-    model, one is trained from docs. A null or empty text has none. Very long texts are scanned whole.
+    model, one is trained from docs. A null or empty text has none. Very long texts are scanned whole. Ids are not looked at
+    but for sampling, so null and repeated ones change nothing.
     """
     model = train(samples(docs)) if model is None else model
     text = "coalesce(text, '')"

@@ -405,7 +405,8 @@ def _parts(texts: pd.Series) -> Iterator[tuple[int, int]]:
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs with two more columns, tokens (array of ids) and n_tokens, like the model's own encoding.
+    """docs with two more columns, tokens (array of ids) and n_tokens (replacing columns of these names), like the
+    model's own encoding.
 
     The model file is read on the driver and goes with the tasks (its size does not depend on the
     data). A null or empty text has no tokens. Whole texts are encoded; there is no shuffle.
@@ -427,7 +428,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def decoded(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs, which has tokens, with one more column, decoded: their text; null tokens give an empty one."""
+    """docs, which has tokens, with one more column, decoded (replacing one of this name): their text; null tokens give
+    an empty one."""
     with open(model_path, "rb") as file:
         model = file.read()
 
@@ -439,7 +441,7 @@ def decoded(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def coded(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs with tokens and n_tokens as from encode(), and what decoding these gives: decoded_sha256, and
+    """docs with tokens and n_tokens as from encode() (columns of docs by the names of these four are replaced), and what decoding these gives: decoded_sha256, and
     round_trip, whether it is the text (an empty one for a null). One pass, no shuffle."""
     with open(model_path, "rb") as file:
         model = file.read()
@@ -462,7 +464,8 @@ def coded(docs: DataFrame, model_path: str) -> DataFrame:
 
     out = docs.withColumn("__coded", both(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     fields = [F.col(f"__coded.{c}").alias(c) for c in ("tokens", "decoded_sha256", "round_trip")]
-    return out.select(*docs.columns, *fields).withColumn("n_tokens", F.size("tokens").cast("long"))
+    given = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("tokens", "decoded_sha256", "round_trip", "n_tokens")]
+    return out.select(*given, *fields).withColumn("n_tokens", F.size("tokens").cast("long"))
 
 
 CHECKED = "doc_id long, n_chars long, n_tokens long, tokens_sha256 string, decoded_sha256 string, round_trip boolean"

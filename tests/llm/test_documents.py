@@ -473,3 +473,77 @@ def test_the_random_kind_on_labelled_tokens(spark):
 def test_rows_without_ids_are_sampled_too(spark):
     docs = frame(spark, [(None, f"password = abcdef{k:06d} identifier_number_{k}") for k in range(400)])
     assert 20 <= secrets.samples(docs, 40).filter("random").count() <= 80
+
+
+def test_descent_finds_the_least_objective():
+    """Against projected gradient ascent on the whole dual problem."""
+    rng = np.random.default_rng(5)
+    labels = (rng.random(90) < 0.7).astype(int)
+    rows = [np.unique(np.concatenate([rng.integers(0, 60, 12), rng.integers(60 + 20 * y, 100, 3)])).astype(np.uint16) for y in labels]
+    ratios = nbsvm.log_count_ratios(rows, labels)
+    x = np.zeros((90, nbsvm.WIDTH))
+    for k, own in enumerate(rows):
+        x[k, own] = ratios[own] / np.linalg.norm(ratios[own])
+    x = np.concatenate([x[:, :100], np.ones((90, 1))], axis=1)  # the bias is a feature
+    sign = np.where(labels == 1, 1.0, -1.0)
+    most = np.where(labels == 1, 45 / labels.sum(), 45 / (90 - labels.sum()))
+    objective = lambda w: w @ w / 2 + most @ np.maximum(0, 1 - sign * (x @ w))
+    q, alpha = (sign[:, None] * x) @ (sign[:, None] * x).T, np.zeros(90)
+    top = np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + (1 - q @ alpha) / top, 0, most)
+    best = objective((alpha * sign) @ x)
+    w, bias = nbsvm.descend(rows, labels, ratios, epochs=2000)
+    assert objective(np.append(w[:100], bias)) == pytest.approx(best, rel=2e-3)
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage, passage + " x", "password = abcdef123", None, "", "good words here"]
+    rows = [(None, t) for t in texts] + [(3, t) for t in texts] + [(3, texts[2])]
+    docs, n = frame(spark, rows), len(rows)
+    scored = nbsvm.score(docs, nbsvm.train(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))).collect()
+    assert len(scored) == n and sum(r["doc_id"] is None for r in scored) == len(texts)
+    cut = anchors.repeated_passages(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in cut) == sorted((str(i), len(words(t)), len(words(t)) * (len(words(t)) >= 35)) for i, t in rows)
+    found = secrets.scan(docs).collect()
+    assert sorted(str((r["doc_id"], [tuple(s) for s in r["base"]])) for r in found) == sorted(str((i, secrets.brute_force(t))) for i, t in rows)
+    plan = mixing.plan_mix(docs).collect()
+    assert len(plan) == n and sorted(r["size"] for r in plan) == sorted(len(words(t)) for _, t in rows)
+    taken = sum(p["last"] - p["first"] for r in plan for p in r["pieces"])
+    mixed = mixing.mix(docs).collect()
+    assert sum(len(words(r["text"])) for r in mixed) == taken
+    clash = docs.withColumns({"tokens": F.lit(1), "round_trip": F.lit(2), "n_tokens": F.lit("x"), "decoded": F.lit(3)})
+    coded = spm.decoded(spm.coded(clash, TOKENIZER), TOKENIZER)
+    assert len(set(coded.columns)) == len(coded.columns) and coded.count() == n
+    assert all(r["round_trip"] and r["decoded"] == (r["text"] or "") for r in coded.collect())
+
+
+def test_equal_levels_and_ties_in_the_mix(spark):
+    """Sources of one size and weight: levels tie, and each still gets its target."""
+    rows = [(k, " ".join(f"w{k}-{j}" for j in range(50)), f"s{k % 6}") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan_mix(docs).collect()
+    total = sum(sum(p["last"] - p["first"] for p in r["pieces"]) for r in got)
+    assert len({r["target"] for r in got}) == 3 and total == pytest.approx(1.5 * 6000, rel=0.02)
+
+
+def test_shards_take_what_the_tree_draws(spark):
+    """Blocks by source and shard, from the pieces, against the tree's quotas."""
+    docs = frame(spark, made(11, 80))
+    plan = mixing.plan_mix(docs, levels=3)
+    blocks = plan.select(F.explode("pieces").alias("p"), "source_size").select("p.*").groupBy("shard").agg(F.count_distinct("epoch", "block").alias("n")).collect()
+    words_in = {r["shard"]: r["n"] for r in plan.select(F.explode("pieces").alias("p")).groupBy("p.shard").agg(F.sum(F.expr("p.last - p.first")).alias("n")).collect()}
+    assert len(blocks) == 8 and max(words_in.values()) < 1.5 * min(words_in.values())
+    told = plan.select(mixing.words_by_shard().alias("s")).collect()
+    sums = Counter()
+    for r in told:
+        for x in filter(None, r["s"].split(",")):
+            shard, n = x.split(":")
+            sums[int(shard)] += int(n)
+    assert dict(sums) == words_in
+    out = mixing.mix(docs, levels=3).withColumn("part", F.spark_partition_id()).collect()
+    of = {}
+    for r in out:
+        of.setdefault(r["part"], set()).add(r["shard"])
+    assert all(len(x) == 1 for x in of.values())
