@@ -8,7 +8,6 @@ as one document. Columns beyond those of documents go along; only the last stage
 
 from __future__ import annotations
 
-import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,28 +18,21 @@ from pairmend.llm.common import table, written
 from pairmend.llm.queries import TOKENIZER
 
 
-#: Bytes of whole texts that go to a Python worker at a time.
-BATCH_BYTES = 4 << 20
+#: Rows of whole texts that go to a Python worker at a time, and the setting that says so.
+BATCH_ROWS, BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _in_small_batches(stage):
     """The stage, with Arrow batches of texts that leave a worker's memory to its work.
 
-    It runs in a session of its own, with the caller's settings and this one, so the caller's stay as they are.
+    What it returns is computed later, so the session keeps the setting; run() puts it back. (A session of
+    the stage's own would start Python workers of its own beside those that are there.)
     """
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        own, name = spark.newSession(), f"docs_{uuid.uuid4().hex}"
-        for key, value in spark.conf.getAll.items():
-            if spark.conf.isModifiable(key):
-                own.conf.set(key, value)
-        own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-        docs.createOrReplaceGlobalTempView(name)
-        try:
-            return stage(own, own.table(f"global_temp.{name}"), sf_dir)
-        finally:
-            spark.catalog.dropGlobalTempView(name)
+        spark.conf.set(BATCH, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
 
     return run
 
@@ -87,7 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages; each one's result is written and read again, and the session's settings stay as they were."""
+    docs, given = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    finally:
+        spark.conf.set(BATCH, given)
+    return docs
