@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _PAIR = 1 << 22  # above the number of any piece or character
 #: Characters of distinct units indexed at a time; characters of text encoded at a time.
-INDEX_CHARS, TEXT_CHARS = 300_000, 1_500_000
+INDEX_CHARS, TEXT_CHARS = 200_000, 1_000_000
 #: Units and pairs of pieces that a worker remembers, and the longest unit remembered: a bound in bytes.
-REMEMBERED, SHORT = 120_000, 48
+REMEMBERED, SHORT = 80_000, 48
 #: Fewer units than this at one length are relaxed one by one.
 FEW = 24
 #: What parts the units of an index: no character.
