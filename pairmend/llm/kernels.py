@@ -6,6 +6,8 @@ Hashes are fixed functions of the bytes, alike on every executor and in every ru
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -28,6 +30,14 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xF
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches of a task; after the last one the worker, which waits for other tasks, gives freed memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

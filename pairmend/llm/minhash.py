@@ -46,7 +46,7 @@ def _bounds(shingles: int):
     """A function from Arrow batches of (doc_id, mark, text) to batches of SIGNED."""
 
     def run(batches):
-        for batch in batches:
+        for batch in K.released(batches):
             about, (data, at) = batch.select([0, 1]), K.text_bytes(batch.column(2))
             for i, j in K.slices(at):
                 part = data[at[i] : at[j]]

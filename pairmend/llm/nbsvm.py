@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.released(batches):
             packed = pa.array([x.tobytes() for x in _all_features(batch.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "label", "x"])
 
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], line: float = LINE)
     weights, shift = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.released(batches):
             m = margins(_all_features(batch.column(1)), weights[0], 0.0, weights[1]) + shift
             p = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= line).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -215,7 +215,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], line: float = LIN
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.released(batches):
             text = batch.column(place).cast(pa.string())
             m = margins(_all_features(text), weights[0], 0.0, weights[1]) + shift
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))) >= line))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairmend.llm.kernels import released
+
 MARK = "▁"
 _PAIR = 1 << 22  # above the number of any piece or character
 #: Characters of distinct units indexed at a time; characters of text encoded at a time.
@@ -417,7 +419,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = encoder_of(model)
-        for text in batches:
+        for text in released(batches):
             out: list[np.ndarray] = []
             for i, j in _parts(text):
                 out += encoder(text.iloc[i:j].tolist())
@@ -449,7 +451,7 @@ def coded(docs: DataFrame, model_path: str) -> DataFrame:
     @F.pandas_udf("tokens array<int>, decoded_sha256 string, round_trip boolean")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(model)
-        for text in batches:
+        for text in released(batches):
             ids: list[np.ndarray] = []
             sums, same = [], []
             for i, j in _parts(text):
@@ -483,7 +485,7 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(model)
-        for batch in batches:
+        for batch in released(batches):
             for i, j in _parts(batch["text"]):
                 part = batch.iloc[i:j]
                 ids = encoder(part["text"].tolist())
