@@ -8,7 +8,7 @@ maximal exact repeats.
 
 Both look-ups are exchanges of packed keys. Documents are dealt into bundles; a bundle sends each
 distinct key once to the key's part, so a passage that a third of all documents hold arrives once from
-each bundle, and gets back one bit a key.
+each bundle, and gets back one bit a key. Bundles and parts are dealt one to a partition.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ BUNDLE_CHARS = 6_000_000
 #: Keys of one part come from all bundles; so many bundles at most share a part's number of keys.
 KEYS_IN_PART = 4_000_000
 
-SENT = "part long, bundle long, keys binary, marks binary"
-REPLY = "bundle long, part long, hits binary"
+SENT = "part int, bundle int, keys binary, marks binary"
+REPLY = "bundle int, part int, hits binary"
 
 
 class _Bundle:
@@ -107,7 +107,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, columns, strict=True)})
@@ -230,14 +230,14 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, digest: bool = Fals
     bundles = max(1, ceil(chars / BUNDLE_CHARS))
     parts = max(1, ceil(chars / 5 / KEYS_IN_PART))
     parts = max(parts, min(bundles, 16))
-    held = rows.withColumn("bundle", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(bundles)))
-    dealt = held.repartition(bundles, "bundle")  # shuffled once: later uses in the plan read the same files
+    held = rows.withColumn("bundle", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(bundles)).cast("int"))
+    dealt = held.repartitionById(bundles, "bundle")  # shuffled once: later uses in the plan read the same files
     sent = dealt.groupBy("bundle").applyInArrow(_send_probes(parts, window), SENT)
-    probes = sent.repartition(parts, "part").groupBy("part").applyInArrow(_answer(5, True), REPLY)
-    first = probes.repartition(bundles, "bundle").groupBy("bundle")
+    probes = sent.repartitionById(parts, "part").groupBy("part").applyInArrow(_answer(5, True), REPLY)
+    first = probes.repartitionById(bundles, "bundle").groupBy("bundle")
     sent = dealt.groupBy("bundle").cogroup(first).applyInArrow(_send_windows(parts, window), SENT)
-    found = sent.repartition(parts, "part").groupBy("part").applyInArrow(_answer(16, False), REPLY)
+    found = sent.repartitionById(parts, "part").groupBy("part").applyInArrow(_answer(16, False), REPLY)
     replies = probes.withColumn("stage", F.lit(1)).union(found.withColumn("stage", F.lit(2)))
     out = "kept_sha256" if digest else "kept_text"
-    last = replies.repartition(bundles, "bundle").groupBy("bundle")
+    last = replies.repartitionById(bundles, "bundle").groupBy("bundle")
     return dealt.groupBy("bundle").cogroup(last).applyInArrow(_cover(parts, window, out), f"doc_id long, n_words long, n_removed long, {out} string")
