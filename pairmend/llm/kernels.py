@@ -70,9 +70,9 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in the bytes, and for n texts the n + 1 places among the words."""
-    solid = ~_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in the bytes, and for n texts the n + 1 places among the words; gap: bytes between words."""
+    solid = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.ones(len(data), bool)

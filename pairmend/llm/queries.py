@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from pairmend.llm import hostpaths, lthash, maglev, mixing, nbsvm, pivots, secrets, spm
+from pairmend.llm import hostpaths, importance, lthash, maglev, merkle, mixing, nbsvm, pivots, secrets, spm, urlcascade
 from pairmend.llm.anchors import repeated_passages
 from pairmend.llm.common import table
 from pairmend.llm.minhash import near_duplicates
@@ -66,6 +66,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_evidence(table(spark, sf_dir, "documents"))
+
+
+#: Host, path and verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlcascade.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -197,5 +215,88 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 of a text, byte by byte, by a table of the 256 steps in crc_steps(t).
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda k: CAST('0x' || substr(hex(encode({0})), CAST(2 * k - 1 AS BIGINT), 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"""
+_CRC_STEPS = """
+crc_steps AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i))"""
+
+#: Every run of words as a text, hashed byte by byte.
+RESAMPLE_SQL = rf"""
+WITH {_CRC_STEPS},
+d AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+runs AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM d),
+aims AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM b),
+named AS (SELECT f, {_CRC.format("f")} % 10000 AS bucket FROM (SELECT f FROM runs UNION SELECT f FROM aims), crc_steps),
+own AS (SELECT bucket, count(*) AS s FROM runs JOIN named USING (f) GROUP BY bucket),
+aim AS (SELECT bucket, count(*) AS t FROM aims JOIN named USING (f) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM runs)::DOUBLE AS ss, (SELECT count(*) FROM aims)::DOUBLE AS tt),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000)))) AS BIGINT) AS g
+  FROM own LEFT JOIN aim USING (bucket), sums),
+weights AS (SELECT doc_id, count(*) AS n, CAST(floor(CAST(sum(g) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM runs JOIN named USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights ON d.doc_id = weights.doc_id),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scored WHERE words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 25 * able // 100 THEN place END AS rank FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
+_ENCODED = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in merkle.COLUMNS)
+
+#: The trees level by level, each document's way up, and the fold along it.
+MANIFEST_SQL = f"""
+WITH RECURSIVE {_CRC_STEPS},
+cut AS (
+  SELECT doc_id, source, sha256({_ENCODED}) AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n,
+         source AS g, lang, n_chars, CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS text
+  FROM documents, crc_steps),
+d AS (SELECT doc_id, g, leaf, k, n, sha256({_ENCODED}) AS seen FROM cut),
+up AS (
+  SELECT 0 AS lvl, g, k, n, leaf AS h FROM d
+  UNION ALL SELECT lvl + 1, g, k // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY k)) FROM up WHERE n > 1 GROUP BY lvl, g, k // 3, n),
+tops AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM up WHERE n = 1),
+over AS (
+  SELECT 0 AS lvl, k, n, subroot AS h FROM tops
+  UNION ALL SELECT lvl + 1, k // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY k)) FROM over WHERE n > 1 GROUP BY lvl, k // 3, n),
+runs AS (SELECT lvl, g, k // 3 AS run, list(h ORDER BY k) AS hs FROM up WHERE n > 1 GROUP BY lvl, g, k // 3),
+over_runs AS (SELECT lvl, k // 3 AS run, list(h ORDER BY k) AS hs FROM over WHERE n > 1 GROUP BY lvl, k // 3),
+ways AS (
+  SELECT d.doc_id, r.lvl, (d.k // CAST(pow(3, r.lvl) AS BIGINT)) % 3 AS own, hs
+  FROM d JOIN runs r ON d.g IS NOT DISTINCT FROM r.g AND d.k // CAST(pow(3, r.lvl + 1) AS BIGINT) = r.run
+  UNION ALL
+  SELECT d.doc_id, 100 + r.lvl, (t.k // CAST(pow(3, r.lvl) AS BIGINT)) % 3, hs
+  FROM d JOIN tops t ON d.g IS NOT DISTINCT FROM t.g JOIN over_runs r ON t.k // CAST(pow(3, r.lvl + 1) AS BIGINT) = r.run),
+paths AS (
+  SELECT doc_id, list(array_to_string(hs[1:own], '') || '|' || array_to_string(hs[own + 2:], '') ORDER BY lvl) AS path FROM ways GROUP BY doc_id),
+folded AS (
+  SELECT d.doc_id, leaf, subroot, (SELECT h FROM over WHERE n = 1) AS root, coalesce(path, CAST([] AS VARCHAR[])) AS path, seen
+  FROM d JOIN tops t ON d.g IS NOT DISTINCT FROM t.g LEFT JOIN paths p ON d.doc_id = p.doc_id)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, up_to AS folded_root, up_to = root AS verified
+FROM (SELECT *, list_reduce(list_prepend(seen, path), lambda h, p: sha256(split_part(p, '|', 1) || h || split_part(p, '|', 2))) AS up_to FROM folded)
+"""
+
+#: Every rule against every host and path.
+URLS_SQL = f"""
+WITH rules(rule_host, rule_path, says) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, {_LOWERED.format("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(says, length(rule_host || rule_path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_near_dedup": LINKS_SQL, "op2_minhash_near_dedup": NEAR_SQL, "op8_substring_dedup": REPEATS_SQL, "op9_mixing": MIX_SQL}
+    return {
+        "op1_pivot_near_dedup": LINKS_SQL, "op2_minhash_near_dedup": NEAR_SQL, "op8_substring_dedup": REPEATS_SQL, "op9_mixing": MIX_SQL,
+        "op11_importance_resampling": RESAMPLE_SQL, "op12_merkle_manifest": MANIFEST_SQL, "op13_url_filter": URLS_SQL,
+    }
