@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmend.functions.text import canonical_text, dump, json_map, merge
 from pairmend.operators.arbitrate import candidate, text_patch
+from pairmend.operators.asof import last_before
 from pairmend.operators.diagnose import last_of_each
 from pairmend.schema import REPAIR_DEFAULTS, ensure_columns
-from pairmend.sources.shared import settle
+from pairmend.sources.shared import kept, settle
 
 IMAGES = "data/processed/repaired_images"
 
@@ -33,41 +36,125 @@ def _known(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
     return known.join(listed, F.col("path") == F.col("__p"), "left").withColumn("there", (F.col("path") != "") & F.col("__p").isNotNull()).drop("__p")
 
 
-def _resolve(steps: DataFrame, sequential: bool) -> DataFrame:
-    """For replacements (step, row_id, cand, there): done, and source, the row whose original image arrives.
+def _target(row: Column, images_dir: str) -> Column:
+    """Where a replacement puts a row's image."""
+    return F.concat(F.lit(images_dir + "/"), row, F.lit(".jpg"))
+
+
+def _owner(path: Column, images_dir: str) -> Column:
+    """The row whose replacements write the file of a path; null for other files."""
+    inside = F.startswith(path, F.lit(images_dir + "/")) & F.endswith(path, F.lit(".jpg"))
+    return F.when(inside, F.substring(path, F.lit(len(images_dir) + 2), F.length(path) - len(images_dir) - 5))
+
+
+def _paths_by_then(moves: DataFrame, patched: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """moves with the candidate's path, and whether it was there at the start, as patches before the step left them.
+
+    since and row_since are the steps of the last patches of the candidate's and the row's path (-1: none): replacements
+    count from there on, as a patch sets them aside.
+    """
+    moves = moves.withColumns({"since": F.lit(-1).cast("long"), "row_since": F.lit(-1).cast("long")})
+    if patched.isEmpty():
+        return moves
+    for key, since in (("row_id", "row_since"), ("cand", "since")):
+        found = last_before(moves.select(F.col(key).alias("key"), F.col("step").alias("at")), patched)
+        found = found.filter("found is not null").select(F.col("at").alias("step"), F.col("found.at").alias("__at"), F.col("found.to").alias("__to"))
+        moves = moves.join(found, "step", "left").withColumn(since, F.coalesce("__at", since))
+        if key == "cand":
+            moves = moves.withColumns({"cand_path": F.coalesce("__to", "cand_path"), "there": F.when(F.col("__at").isNull(), F.col("there")).otherwise(F.col("__to") != "")})
+            if existing is not None:
+                listed = existing.select(F.col("path").alias("__to"), F.lit(True).alias("__listed")).distinct()
+                moves = moves.join(listed, "__to", "left").withColumn("there", F.when(F.col("__at").isNull(), F.col("there")).otherwise(F.col("there") & F.coalesce("__listed", F.lit(False)))).drop("__listed")
+        moves = moves.drop("__at", "__to")
+    return moves
+
+
+def _replaced(moves: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """moves (step, into, source_key, file_key, known) with known settled: whether the row's image lies where replacements put it once the step is done.
 
-    In sequence, a step copies what its candidate shows by then: what the last earlier replacement that
-    succeeded put there, or else the candidate's own image. Parents come before their children, so
-    the chains end; they are followed by doubling, in as many joins as the logarithm of the longest.
+    A step that can't copy its candidate's own file succeeds if the candidate (or the file) was replaced before. A round looks only at
+    the first steps that are known to succeed and the first two undecided ones of each row, which are minima, and
+    lets every undecided step point at the first undecided one that it waits for. Pointers are then doubled together with what they say: all
+    steps on the way to one that succeeds succeed, and those that wait for nothing else fail with it. So rounds grow
+    with the logarithm of a chain; only where a step waits for several others may another pass be needed.
     """
-    now = settle(steps.select("step", "row_id", "cand", F.col("there").alias("done"), F.lit(None).cast("long").alias("parent")))
-    if sequential:
-        while True:
-            shown = now.select(F.col("row_id").alias("k"), "step", F.when(F.col("done"), F.col("step")).alias("gives"), F.lit(False).alias("asks"))
-            asked = now.select(F.col("cand").alias("k"), "step", F.lit(None).cast("long").alias("gives"), F.lit(True).alias("asks"))
-            before = Window.partitionBy("k").orderBy("step", "asks").rowsBetween(Window.unboundedPreceding, -1)
-            # A step that replaces a row from itself must not see its own result.
-            found = shown.union(asked).withColumn("p", F.max(F.when(~F.col("asks"), F.col("gives"))).over(before))
-            own = F.col("k").isNotNull() & (F.col("p") == F.col("step"))
-            earlier = found.filter("asks").select("step", F.when(~own, F.col("p")).alias("p"))
-            selfs = now.filter("row_id = cand").select(F.col("row_id").alias("k"), "step").alias("s")
-            past = now.filter("done").select(F.col("row_id").alias("k"), F.col("step").alias("q"))
-            fixed = selfs.join(past, "k").filter("q < step").groupBy("step").agg(F.max("q").alias("q"))
-            earlier = earlier.join(fixed, "step", "left").select("step", F.coalesce("q", "p").alias("p"))
-            after = settle(now.drop("parent").join(earlier, "step", "left").select("step", "row_id", "cand", (F.col("done") | F.col("p").isNotNull()).alias("done"), F.col("p").alias("parent")))
-            if after.filter("done").count() == now.filter("done").count():
-                now = after
-                break
-            now = after
-    links = now.filter("done").select("step", "cand", "parent")
+    keys = F.explode(F.array_compact(F.array("into", "file")))
+    while not moves.filter("known is null").isEmpty():
+        given = moves.withColumn("key", keys).select("key", "step", "known")
+        first = given.groupBy("key").agg(F.min(F.when(F.col("known"), F.col("step"))).alias("yes"), F.min(F.when(F.col("known").isNull(), F.col("step"))).alias("maybe"))
+        second = given.filter("known is null").join(first.select("key", "maybe"), "key").filter("step > maybe").groupBy("key").agg(F.min("step").alias("other"))
+        first = first.join(second, "key", "left")
+        waits = moves.filter("known is null").select("step", F.explode(F.array_compact(F.array("source_key", "file_key"))).alias("key"))
+        waits = waits.join(first, "key", "left").groupBy("step").agg(
+            F.max(F.coalesce(F.col("yes") < F.col("step"), F.lit(False))).alias("yes"),
+            F.min(F.when(F.col("maybe") < F.col("step"), F.col("maybe"))).alias("to"),
+            F.sum(F.coalesce((F.col("maybe") < F.col("step")).cast("int"), F.lit(0)) + F.coalesce((F.col("other") < F.col("step")).cast("int"), F.lit(0))).alias("n"),
+        )
+        open_ = moves.filter("known is null").select("step").join(waits, "step", "left")
+        said = F.when(F.col("yes"), F.lit(True)).when(F.col("to").isNull(), F.lit(False))
+        # only: that the step waits for nothing but what it points at. stuck: that a failure there decides nothing here.
+        open_ = keep(open_.select("step", said.alias("known"), F.when(said.isNull(), F.col("to")).alias("to"), (F.coalesce("n", F.lit(0)) <= 1).alias("only"), F.lit(False).alias("stuck")))
+        while not open_.filter("known is null and not stuck").isEmpty():
+            up = open_.select(F.col("step").alias("to"), F.col("known").alias("up_known"), F.col("to").alias("next"), F.col("only").alias("up_only"), F.col("stuck").alias("up_stuck"))
+            met = open_.join(up, "to", "left")
+            now = F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("up_known"), F.lit(True)).when(~F.col("up_known") & F.col("only"), F.lit(False))
+            stuck = F.col("stuck") | (F.col("known").isNull() & F.coalesce(F.col("up_stuck") | (~F.col("up_known") & ~F.col("only")), F.lit(False)))
+            open_ = keep(met.select("step", now.alias("known"), F.when(now.isNull(), F.coalesce("next", "to")).alias("to"), (F.col("only") & F.coalesce("up_only", F.lit(True))).alias("only"), stuck.alias("stuck")))
+        moves = keep(moves.join(open_.select("step", F.col("known").alias("__k")), "step", "left").withColumn("known", F.coalesce("known", "__k")).drop("__k"))
+    return moves
+
+
+def _resolve(moves: DataFrame, images_dir: str, sequential: bool) -> DataFrame:
+    """For replacements (step, row_id, cand, cand_path, there, since, row_since): step, done, moved, made, source and source_path.
+
+    moved: that the candidate's image lay where replacements put it by then; made: that the row's own had been put there. source and source_path: the row
+    and the file, as they were before the plan, whose image arrives. A replacement fails if the file it copies is the one
+    it would write. Steps come after what they copy, so chains end; they are followed by doubling.
+    """
+    own = F.col("cand_path") == _target(F.col("row_id"), images_dir)
+    base = F.col("there") & ~own
+    if not sequential:
+        return moves.select("step", base.alias("done"), F.lit(False).alias("moved"), F.lit(False).alias("made"), F.when(base, F.col("cand")).alias("source"), F.when(base, F.col("cand_path")).alias("source_path"))
+    alone, key = F.col("row_id") == F.col("cand"), lambda kind, *of: F.concat_ws("\x1f", F.lit(kind), *of)
+    writer = _owner(F.col("cand_path"), images_dir)
+    made_later = ~F.col("there") & (writer != F.col("row_id"))  # by an earlier replacement of another row
+    moves = settle(moves.select(
+        "step", "row_id", "cand", "cand_path", alone.alias("alone"), writer.alias("writer"),
+        key("row", "row_id", "row_since").alias("into"), key("file", "row_id").alias("file"),
+        F.when(~alone, key("row", "cand", "since")).alias("source_key"), F.when(made_later, key("file", writer)).alias("file_key"),
+        F.when(base, F.lit(True)).when(alone & ~F.coalesce(made_later, F.lit(False)), F.lit(False)).alias("known"),
+    ))
+    with kept(moves.sparkSession) as keep:
+        return settle(_sources(_replaced(moves, keep), keep))
+
+
+def _sources(moves: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step, done, moved, made, source and source_path of settled moves."""
+    first = moves.filter("known").groupBy(F.col("into").alias("__k")).agg(F.min("step").alias("__first"))
+    now = moves.join(first.withColumnRenamed("__first", "of_source"), F.col("source_key") == F.col("__k"), "left").drop("__k")
+    now = now.join(first.withColumnRenamed("__first", "of_row"), F.col("into") == F.col("__k"), "left").drop("__k")
+    now = now.join(moves.filter("known").groupBy(F.col("row_id").alias("__k")).agg(F.min("step").alias("of_file")), F.col("row_id") == F.col("__k"), "left").drop("__k")
+    # A row copied onto itself succeeds once: after that its image is the file that it would write.
+    done = F.col("known") & (~F.col("alone") | (F.col("of_row") == F.col("step")))
+    moved = F.coalesce(F.when(F.col("alone"), F.col("of_row") < F.col("step")).otherwise(F.col("of_source") < F.col("step")), F.lit(False))
+    made = F.coalesce(F.col("of_file") < F.col("step"), F.lit(False))
+    now = keep(now.withColumns({"done": done, "moved": moved, "made": made}).select("step", "row_id", "cand", "cand_path", "done", "moved", "made", F.when(moved, F.col("cand")).otherwise(F.col("writer")).alias("copied")))
+    asked = now.filter("done and copied is not null").select(F.col("copied").alias("key"), F.col("step").alias("at"))
+    wrote = last_before(asked, now.filter("done").select(F.col("row_id").alias("key"), F.col("step").alias("at")))
+    links = now.filter("done").join(wrote.select(F.col("at").alias("step"), F.col("found.at").alias("parent")), "step", "left")
+    links = keep(links.select("step", F.col("cand").alias("source"), F.col("cand_path").alias("source_path"), "parent"))
     while not links.filter("parent is not null").isEmpty():
-        up = links.select(F.col("step").alias("parent"), F.col("cand").alias("upper"), F.col("parent").alias("next"))
-        links = settle(links.join(up, "parent", "left").select("step", F.coalesce("upper", "cand").alias("cand"), F.col("next").alias("parent")))
-    return now.join(links.select("step", F.col("cand").alias("source")), "step", "left").select("step", "done", "source")
+        up = links.select(F.col("step").alias("parent"), F.col("source").alias("upper"), F.col("source_path").alias("upper_path"), F.col("parent").alias("next"))
+        links = keep(links.join(up, "parent", "left").select("step", F.coalesce("upper", "source").alias("source"), F.coalesce("upper_path", "source_path").alias("source_path"), F.col("next").alias("parent")))
+    return now.join(links.drop("parent"), "step", "left").select("step", "done", "moved", "made", "source", "source_path")
 
 
-def log_of(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None, semantics: str = "sequential", images_dir: str = IMAGES) -> DataFrame:
-    """Every step with status (ok, fail, skip), reason, cand, patch, source (whose original image arrives)."""
+def log_of(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None, semantics: str = "sequential", images_dir: str = IMAGES, root: str | None = None) -> DataFrame:
+    """Every step with status (ok, fail, skip), reason, cand, patch, source and source_path (whose original image arrives, and its file).
+
+    Paths are those by the time of a step: what earlier replacements and patches of image_path made of them. root, where paths
+    start from, goes into the reason of a copy onto itself, which names the whole path twice; without it the reason has the path alone.
+    """
     if semantics not in ("sequential", "snapshot"):
         raise ValueError("semantics is sequential or snapshot")
     known = settle(_known(rows, existing))
@@ -77,18 +164,24 @@ def log_of(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None,
     )
     steps = steps.join(known.select(F.col("id").alias("row_id"), F.lit(True).alias("found")), "row_id", "left")
     steps = settle(steps.join(known.select(F.col("id").alias("cand"), F.col("path").alias("cand_path"), "there"), "cand", "left"))
-    # An image that is where the copy would go can't be copied there, unless an earlier step moves its row's path.
-    target = F.concat(F.lit(images_dir + "/"), F.col("row_id"), F.lit(".jpg"))
-    steps = steps.withColumn("same", F.coalesce(F.col("cand_path") == target, F.lit(False)))
-    usable = steps.filter("action = 'replace_image_from_row' and found and there is not null").withColumn("there", F.expr("there and not same"))
-    done = _resolve(usable.select("step", "row_id", "cand", "there"), semantics == "sequential")
+    moves = steps.filter("action = 'replace_image_from_row' and found and there is not null").select("step", "row_id", "cand", "cand_path", "there")
+    if semantics == "sequential":
+        sets = F.col("found") & (F.col("action") == "apply_text_patch") & F.map_contains_key("patch", "image_path")
+        patched = steps.filter(sets).select(F.col("row_id").alias("key"), F.col("step").alias("at"), F.trim(F.coalesce(F.col("patch")["image_path"], F.lit("None"))).alias("to"))
+        moves = settle(_paths_by_then(moves, patched, existing))
+    done = _resolve(moves, images_dir, semantics == "sequential").join(moves.select("step", F.col("cand_path").alias("by_then"), F.col("there").alias("there_then")), "step")
     steps = steps.join(done, "step", "left")
+    path = F.when(F.col("moved"), _target(F.col("cand"), images_dir)).otherwise(F.col("by_then"))
+    same = F.coalesce(path == _target(F.col("row_id"), images_dir), F.lit(False)) & (F.col("moved") | F.col("made") | F.col("there_then"))
+    whole = F.concat(F.lit(f"PosixPath('{(root or '').rstrip('/')}/"), path, F.lit("')"))
+    told = path if root is None else F.concat(whole, F.lit(" and "), whole, F.lit(" are the same file"))
+    replaces = F.col("action") == "replace_image_from_row"
     reason = (
         F.when(F.col("found").isNull(), "row_id_not_found")
-        .when((F.col("action") == "replace_image_from_row") & F.col("there").isNull(), "candidate_missing_or_not_found")
-        .when((F.col("action") == "replace_image_from_row") & ~F.col("done") & (F.col("cand_path") == ""), "candidate_has_no_image_path")
-        .when((F.col("action") == "replace_image_from_row") & ~F.col("done") & F.col("same") & F.col("there"), F.concat(F.lit("exception:SameFileError:"), F.col("cand_path")))
-        .when((F.col("action") == "replace_image_from_row") & ~F.col("done"), F.concat(F.lit("candidate_image_file_missing:"), F.col("cand_path")))
+        .when(replaces & F.col("there").isNull(), "candidate_missing_or_not_found")
+        .when(replaces & ~F.col("done") & (path == ""), "candidate_has_no_image_path")
+        .when(replaces & ~F.col("done") & same, F.concat(F.lit("exception:SameFileError:"), told))
+        .when(replaces & ~F.col("done"), F.concat(F.lit("candidate_image_file_missing:"), path))
         .when((F.col("action") == "apply_text_patch") & (F.size("patch") == 0), "missing_text_patch")
         .when(F.col("action").isin("replace_image_from_row", "apply_text_patch", "human_review"), "")
         .otherwise(F.concat(F.lit("action_not_supported:"), F.col("action")))
@@ -142,7 +235,8 @@ def apply(rows: DataFrame, steps: DataFrame, images_dir: str = IMAGES, recompute
     of = fine.groupBy(F.col("row_id").alias("__id")).agg(
         F.max_by(last, "step").alias("__last"),
         F.max_by(sourced, F.when(sourced.isNotNull(), F.col("step"))).alias("__source"),
-        F.max_by("source", F.when(is_image, F.col("step"))).alias("__image"),
+        F.max_by(F.struct("source", "source_path", "step"), F.when(is_image, F.col("step"))).alias("__image"),
+        F.max(F.when(is_text & F.map_contains_key("patch", "image_path"), F.col("step"))).alias("__pathed"),
         F.transform(F.array_sort(F.collect_list(F.when(is_text, F.struct("step", F.map_entries("patch").alias("p"))))), lambda s: F.map_from_entries(s["p"])).alias("__patches"),
     )
     latest = F.row_number().over(Window.partitionBy("row_id").orderBy(F.col("__pos").desc())) == 1
@@ -156,12 +250,13 @@ def apply(rows: DataFrame, steps: DataFrame, images_dir: str = IMAGES, recompute
         "title": F.when(patched, F.col("__t.title")).otherwise(F.col("title")),
         "attributes": F.when(patched, dump(F.col("__t.attributes"))).otherwise(F.col("attributes")),
         "canonical_text": F.when(patched, F.col("__t.canonical")).otherwise(F.col("canonical_text")),
-        "image_path": F.when(F.col("__image").isNotNull(), F.concat(F.lit(images_dir + "/"), F.col("row_id"), F.lit(".jpg"))).otherwise(new["image_path"]),
+        "image_path": F.when(F.col("__image.step") > F.coalesce("__pathed", F.lit(-1)), _target(F.col("row_id").cast("string"), images_dir)).otherwise(new["image_path"]),
         "repaired": F.coalesce("__last.repaired", "repaired"),
         "repair_action": F.coalesce("__last.action", "repair_action"),
         "repair_notes": F.coalesce("__last.notes", "repair_notes"),
         "repair_source_row_id": F.coalesce("__source", "repair_source_row_id"),
-        "image_origin_row_id": F.col("__image"),
+        "image_origin_row_id": F.col("__image.source"),
+        "image_origin_path": F.col("__image.source_path"),
     }
     out = out.withColumns(new)
     if recompute_flags:
@@ -169,18 +264,18 @@ def apply(rows: DataFrame, steps: DataFrame, images_dir: str = IMAGES, recompute
     return out.select([c for c in out.columns if not c.startswith("__")])
 
 
-def repair(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None, semantics: str = "sequential", images_dir: str = IMAGES, position: str | None = None, recompute_flags: bool = False) -> tuple[DataFrame, DataFrame]:
+def repair(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None, semantics: str = "sequential", images_dir: str = IMAGES, position: str | None = None, recompute_flags: bool = False, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(repaired rows, log).
 
     sequential steps see what earlier ones did; snapshot steps all read the rows as given, which also
     mends pairs that were swapped. existing lists the paths of images that can be read; without it every
     path counts as there. position orders rows with one row_id (else any of them is the last). The
-    repaired rows also say whose original image arrived, image_origin_row_id, which is what a
-    copying job needs.
+    repaired rows also say whose original image arrived, image_origin_row_id, and from which file,
+    image_origin_path, which is what a copying job needs. root: see log_of.
     """
     rows = ensure_columns(rows, REPAIR_DEFAULTS)
     rows = rows.withColumn("__pos", F.col(position) if position else F.lit(0))
-    steps = settle(log_of(rows, plan, existing, semantics, images_dir))
+    steps = settle(log_of(rows, plan, existing, semantics, images_dir, root))
     return apply(rows, steps, images_dir, recompute_flags), log(steps)
 
 

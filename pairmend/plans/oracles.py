@@ -108,7 +108,41 @@ reports AS (
     CASE what WHEN 'color' THEN seen END AS new_color, CASE what WHEN 'missing_text' THEN 'NEEDS_CAPTION' END AS new_title,
     CASE what WHEN 'color' THEN text_color END AS text_color, CASE what WHEN 'color' THEN r || ',' || g || ',' || b END AS rgb FROM v)"""
 
+#: The plan step after step: groups are independent, so each round makes one step of every group on lists of its rows' paths and files.
+_CHANGING_PATHS = """WITH RECURSIVE groups AS (SELECT p_partkey // 4 AS g, count(*) AS n FROM part GROUP BY 1),
+total AS (SELECT count(*) AS many FROM groups),
+begun AS (
+  SELECT g, n, list_transform(range(n), lambda s: 'data/processed/repaired_images/' || g || '-' || s || '.jpg') AS puts,
+    list_transform(range(n), lambda s: CASE WHEN s = 3 THEN '' WHEN s = 2 AND g % 2 = 0 THEN 'data/processed/repaired_images/' || g || '-0.jpg' ELSE 'images/' || g || '-' || s || '.jpg' END) AS paths
+  FROM groups),
+state AS (
+  SELECT 0 AS n, g, puts, paths, list_filter(list_transform(range(n), lambda s: CASE WHEN s < 2 OR (s = 2 AND g % 3 <> 0) THEN paths[s + 1] END), lambda x: x IS NOT NULL) AS listed,
+    list_transform(range(n), lambda s: CAST(NULL AS BIGINT)) AS shows, list_transform(range(n), lambda s: CAST(NULL AS VARCHAR)) AS shown,
+    list_transform(range(n), lambda s: CAST('' AS VARCHAR)) AS acted, list_transform(range(n), lambda s: CAST('' AS VARCHAR)) AS froms,
+    CAST(NULL AS BIGINT) AS r, CAST('' AS VARCHAR) AS reason
+  FROM begun
+  UNION ALL
+  SELECT n + 1, g, puts,
+    list_transform(range(len(paths)), lambda s: CASE WHEN s = nr AND fails = '' AND patches THEN value WHEN s = nr AND fails = '' THEN puts[s + 1] ELSE paths[s + 1] END), listed,
+    list_transform(range(len(paths)), lambda s: CASE WHEN s = nr AND fails = '' AND NOT patches THEN coalesce(shows[file], nc) ELSE shows[s + 1] END),
+    list_transform(range(len(paths)), lambda s: CASE WHEN s = nr AND fails = '' AND NOT patches THEN coalesce(shown[file], src) ELSE shown[s + 1] END),
+    list_transform(range(len(paths)), lambda s: CASE WHEN s = nr AND fails = '' THEN CASE WHEN patches THEN 'apply_text_patch' ELSE 'replace_image_from_row' END ELSE acted[s + 1] END),
+    list_transform(range(len(paths)), lambda s: CASE WHEN s = nr AND fails = '' THEN CASE WHEN patches THEN '' ELSE g || '-' || nc END ELSE froms[s + 1] END),
+    nr, fails
+  FROM (
+    SELECT *, CASE WHEN nr >= len(paths) THEN 'row_id_not_found' WHEN patches THEN '' WHEN nc >= len(paths) THEN 'candidate_missing_or_not_found' WHEN src = '' THEN 'candidate_has_no_image_path'
+      WHEN NOT (list_contains(listed, src) OR coalesce(shown[file], '') <> '') THEN 'candidate_image_file_missing:' || src
+      WHEN src = puts[nr + 1] THEN 'exception:SameFileError:' || whole || ' and ' || whole || ' are the same file' ELSE '' END AS fails
+    FROM (
+      SELECT *, paths[nc + 1] AS src, list_position(puts, paths[nc + 1]) AS file, 'PosixPath(' || chr(39) || '/data/' || paths[nc + 1] || chr(39) || ')' AS whole
+      FROM (
+        SELECT *, (g * 7 + n * 3 + n // 4) % 4 AS nr, (g * 5 + n * n + n // 3) % 4 AS nc, (g + n) % 6 = 5 AS patches,
+          CASE WHEN (g + n) % 12 = 5 THEN 'data/processed/repaired_images/' || g || '-1.jpg' ELSE 'images/gone.jpg' END AS value FROM state WHERE n < 10))))"""
+
 ORACLES = {
+    "repair_changing_paths_log": f"""{_CHANGING_PATHS} SELECT (n - 1) * many + g AS step, g || '-' || r AS row_id, CASE WHEN reason = '' THEN 'ok' ELSE 'fail' END AS status, reason FROM state, total WHERE n > 0""",
+    "repair_changing_paths_rows": f"""{_CHANGING_PATHS} SELECT g || '-' || s AS row_id, paths[s + 1] AS image_path, acted[s + 1] <> '' AS repaired, acted[s + 1] AS repair_action, froms[s + 1] AS repair_source_row_id,
+CASE WHEN shows[s + 1] IS NOT NULL THEN g || '-' || shows[s + 1] END AS image_origin_row_id, shown[s + 1] AS image_origin_path FROM (SELECT *, unnest(range(len(paths))) AS s FROM state WHERE n = 10)""",
     "pair_cosine": f"WITH {_PAIRS} SELECT row_id, category, round(sim, 6) AS sim_score FROM scored",
     "sieve_iqr": f"""WITH {_FLAGS} SELECT category, n_scored, round(CASE WHEN n_scored < 8 THEN g ELSE a - 1.5 * (b - a) END, 6) AS sieve_threshold,
 CASE WHEN n_scored < 8 THEN 'global' ELSE 'category' END AS threshold_source FROM fences CROSS JOIN overall""",
@@ -141,8 +175,10 @@ CASE WHEN reason = 'low_similarity' THEN round(margin, 6) END AS margin FROM ver
     "repair_images_snapshot": _repaired("SELECT row_id, candidate AS source FROM moves"),
     "repair_log_status": """WITH s AS (
   SELECT o_orderkey % 5 AS m, o_orderkey % 2 AS h, CASE o_orderkey % 5 WHEN 1 THEN 'apply_text_patch' WHEN 2 THEN 'human_review' WHEN 3 THEN 't2v_generate_image_unimplemented' ELSE 'replace_image_from_row' END AS action,
-    o_custkey IN (SELECT p_partkey FROM part) AS found, o_custkey * 2 IN (SELECT p_partkey FROM part) AS cand FROM orders),
+    o_custkey IN (SELECT p_partkey FROM part) AS found, o_custkey * 2 IN (SELECT p_partkey FROM part) AS cand,
+    o_custkey = 0 AND row_number() OVER (PARTITION BY o_custkey, o_orderkey % 5 ORDER BY o_orderkey) > 1 AS again FROM orders),
 r AS (SELECT action, CASE WHEN NOT found THEN 'row_id_not_found' WHEN action = 'replace_image_from_row' AND (m = 4 OR NOT cand) THEN 'candidate_missing_or_not_found'
+  WHEN action = 'replace_image_from_row' AND again THEN 'exception:SameFileError:data/processed/repaired_images/0.jpg'
   WHEN action = 'apply_text_patch' AND h = 1 THEN 'missing_text_patch' WHEN m = 3 THEN 'action_not_supported:t2v_generate_image_unimplemented' ELSE '' END AS reason FROM s)
 SELECT action, CASE WHEN reason = '' THEN 'ok' WHEN reason LIKE 'action_not%' THEN 'skip' ELSE 'fail' END AS status, reason, count(*) AS n FROM r GROUP BY action, reason""",
     "text_patch_apply": """WITH p AS (SELECT *, p_partkey % 3 = 0 AS hit, '. Attributes: brand=' || p_brand || ', size=' || p_size AS a FROM part)

@@ -286,6 +286,37 @@ def repair_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.union(totals)
 
 
+def _changing_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, plan and listing: ten rounds over groups of four parts, with copies onto themselves, patched paths and files that steps make."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 4).alias("g"), (F.col("p_partkey") % 4).alias("slot"), "p_name", "p_type")
+    name = lambda slot: F.concat(F.col("g").cast("string"), F.lit("-"), slot.cast("string"))
+    put = lambda slot: F.concat(F.lit(repair.IMAGES + "/"), name(slot), F.lit(".jpg"))
+    slot = F.col("slot")
+    path = F.when(slot == 3, "").when((slot == 2) & (F.col("g") % 2 == 0), put(F.lit(0))).otherwise(F.concat(F.lit("images/"), name(slot), F.lit(".jpg")))
+    rows = p.select(name(slot).alias("row_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.lit("{}").alias("attributes"), F.lit("").alias("canonical_text"), path.alias("image_path"), slot.alias("slot"), "g")
+    listed = rows.filter((slot < 2) | ((slot == 2) & (F.col("g") % 3 != 0))).select(F.col("image_path").alias("path"))
+    groups = rows.filter("slot = 0").select("g")
+    n, many = F.col("n"), groups.count()
+    steps = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n"))
+    row, cand = (F.col("g") * 7 + n * 3 + F.floor(n / 4)) % 4, (F.col("g") * 5 + n * n + F.floor(n / 3)) % 4
+    to = F.when((F.col("g") + n) % 12 == 5, put(F.lit(1))).otherwise("images/gone.jpg")
+    patches = (F.col("g") + n) % 6 == 5
+    fix = F.when(patches, F.to_json(F.struct(F.struct(to.alias("image_path")).alias("text_patch")))).otherwise(F.to_json(F.struct(name(cand).alias("image_replacement_candidate_row_id"))))
+    action = F.when(patches, "apply_text_patch").otherwise("replace_image_from_row")
+    plan = steps.select((n * many + F.col("g")).alias("step"), name(row).alias("row_id"), action.alias("action"), fix.alias("proposed_fix"), F.lit("n").alias("notes"))
+    return rows.drop("slot", "g"), plan, listed
+
+
+def repair_changing_paths_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, plan, listed = _changing_paths(spark, sf_dir)
+    return repair.repair(rows, plan, listed, root="/data")[1].select("step", "row_id", "status", "reason")
+
+
+def repair_changing_paths_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, plan, listed = _changing_paths(spark, sf_dir)
+    return repair.repair(rows, plan, listed)[0].select("row_id", "image_path", "repaired", "repair_action", "repair_source_row_id", "image_origin_row_id", "image_origin_path")
+
+
 def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.last_of_each(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
@@ -296,7 +327,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         retrieve_top1, diagnose_reports, arbiter_queue, arbiter_plan, plan_cost_by_action, repair_images_sequential, repair_images_snapshot, repair_log_status,
         text_patch_apply, canonical_text_of_part, json_attributes, missing_flags, build_counters, build_downloads, image_source_resolution, image_listing_join, text_color,
         nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, noise_invariants, diagnose_catalog, queue_fixes, arbiter_actions,
-        repair_status_counts, dedup_last_wins,
+        repair_status_counts, repair_changing_paths_log, repair_changing_paths_rows, dedup_last_wins,
     )
     return {f.__name__: f for f in own}
 

@@ -1,4 +1,5 @@
 import json
+from contextlib import contextmanager
 
 import pytest
 
@@ -98,6 +99,8 @@ def fold(names, paths, plan):
             log.append((step, "fail", "candidate_missing_or_not_found"))
         elif image[cand] is None:
             log.append((step, "fail", "candidate_has_no_image_path"))
+        elif cand == row and row in moved:
+            log.append((step, "fail", f"exception:SameFileError:{repair.IMAGES}/{row}.jpg"))
         else:
             image[row] = moved[row] = image[cand]
             log.append((step, "ok", ""))
@@ -168,3 +171,106 @@ def test_an_image_is_not_copied_onto_itself(spark):
     same = ("fail", f"exception:SameFileError:{repair.IMAGES}/A.jpg")
     assert [(r["status"], r["reason"]) for r in log.orderBy("step").collect()] == [same, same, ("ok", "")]
     assert {r["row_id"]: r["repaired"] for r in fixed.collect()} == {"A": False, "B": True}
+
+
+def whole_fold(names, paths, files, plan):
+    """The plan step after step on plain dictionaries: paths of rows, what each file shows (None: files are not looked at), and the log."""
+    target = lambda n: f"{repair.IMAGES}/{n}.jpg"
+    path, shows, origin, log, open_ = dict(paths), {}, {}, [], files is None
+    for step, row, action, arg in plan:
+        if row not in path:
+            log.append((step, "fail", "row_id_not_found"))
+        elif action == "patch":
+            path[row] = arg
+            log.append((step, "ok", ""))
+        elif arg not in path:
+            log.append((step, "fail", "candidate_missing_or_not_found"))
+        else:
+            src, dst = path[arg].strip(), target(row)
+            if not src:
+                log.append((step, "fail", "candidate_has_no_image_path"))
+            elif not (open_ or src in files or src in shows):
+                log.append((step, "fail", f"candidate_image_file_missing:{src}"))
+            elif src == dst:
+                log.append((step, "fail", f"exception:SameFileError:{src}"))
+            else:
+                shows[dst] = shows.get(src, (arg, src))
+                path[row], origin[row] = dst, shows[dst]
+                log.append((step, "ok", ""))
+    return path, origin, log
+
+
+def folded(spark, names, paths, files, plan, **how):
+    rows = spark.createDataFrame([(n, f"T{n}", "C", "{}", "old", paths[n]) for n in names], ROW)
+    action = {"copy": ("replace_image_from_row", swap), "patch": ("apply_text_patch", lambda v: patch(image_path=v))}
+    df = spark.createDataFrame([(k, row, action[a][0], action[a][1](arg), "") for k, row, a, arg in plan], PLAN)
+    listed = None if files is None else spark.createDataFrame([(f,) for f in files] or [("none",)], "path string")
+    fixed, log = repair.repair(rows, df, existing=listed, **how)
+    got = fixed.collect()
+    return (
+        {r["row_id"]: r["image_path"] for r in got}, {r["row_id"]: (r["image_origin_row_id"], r["image_origin_path"]) for r in got if r["image_origin_row_id"]},
+        [(r["step"], r["status"], r["reason"]) for r in log.orderBy("step").collect()],
+    )
+
+
+def test_copies_onto_themselves_after_a_change(spark):
+    plan = [(0, "A", "copy", "A"), (1, "A", "copy", "A"), (2, "B", "copy", "A"), (3, "B", "copy", "B")]
+    path, origin, log = folded(spark, "AB", {"A": "A.png", "B": "B.png"}, None, plan)
+    same = "exception:SameFileError:" + repair.IMAGES
+    assert log == [(0, "ok", ""), (1, "fail", f"{same}/A.jpg"), (2, "ok", ""), (3, "fail", f"{same}/B.jpg")]
+    assert origin == {"A": ("A", "A.png"), "B": ("A", "A.png")} and path["B"] == f"{repair.IMAGES}/B.jpg"
+    rows = spark.createDataFrame([("A", "T", "C", "{}", "old", "A.png")], ROW)
+    df = spark.createDataFrame([(k, "A", "replace_image_from_row", swap("A"), "") for k in range(2)], PLAN)
+    where = f"PosixPath('/data/{repair.IMAGES}/A.jpg')"
+    assert repair.repair(rows, df, root="/data")[1].filter("step = 1").first()["reason"] == f"exception:SameFileError:{where} and {where} are the same file"
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_paths_and_files_are_those_of_the_fold(spark, listed):
+    """Patched paths, files that a step makes before another reads them, rows that lie where copies go, copies onto themselves: eight groups of rows."""
+    import random
+
+    rng, paths, files, plan = random.Random(listed), {}, set(), []
+    for group in range(8):
+        names = [f"{x}{group}" for x in "ABCDEFG"]
+        where = ["", f"x{group}.png", "gone.png", *(f"{repair.IMAGES}/{n}.jpg" for n in (names[0], names[1], f"H{group}"))]
+        paths |= {n: rng.choice(where) if n[0] in "CDEFG" else f"{n}.png" for n in names}
+        files |= {where[1], f"A{group}.png", f"B{group}.png", *rng.sample(where[3:], 1)}
+        for _ in range(40):
+            row = rng.choice([*names, "?"])
+            plan.append((rng.random(), row, "patch", rng.choice(where)) if group % 2 and rng.random() < 0.2 else (rng.random(), row, "copy", rng.choice([row, *names, "!"])))
+    plan = [(k, *step[1:]) for k, step in enumerate(sorted(plan))]
+    want = whole_fold(list(paths), paths, files if listed else None, plan)
+    got = folded(spark, list(paths), paths, files if listed else None, plan)
+    assert got[2] == want[2] and got[1] == want[1] and got[0] == want[0]
+
+
+@pytest.mark.parametrize("first", ["r0.png", ""])
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch, first):
+    """1,000 rows without a path, each copied from the one before; the first has a path, or hasn't."""
+    rounds, real = [], repair.kept
+
+    @contextmanager
+    def counted(spark):
+        with real(spark) as keep:
+            yield lambda df: rounds.append(1) or keep(df)
+
+    monkeypatch.setattr(repair, "kept", counted)
+    n = 1000
+    names = [f"r{k}" for k in range(n + 1)]
+    paths = dict.fromkeys(names, "") | {"r0": first}
+    plan = [(k, names[k + 1], "copy", names[k]) for k in range(n)]
+    path, origin, log = folded(spark, names, paths, None, plan)
+    assert {s for _, s, _ in log} == {"ok" if first else "fail"}
+    assert origin == ({x: ("r0", "r0.png") for x in names[1:]} if first else {})
+    assert len(rounds) < 30
+
+
+def test_a_candidate_that_many_steps_name(spark, monkeypatch):
+    """One row is the candidate of all steps but a few that replace it; look-ups go stretch by stretch of steps."""
+    look = repair.last_before
+    monkeypatch.setattr(repair, "last_before", lambda asked, events: look(asked, events, stretch=64))
+    names = ["hot", "p", "q", *(f"n{k}" for k in range(300))]
+    paths = {n: f"{n}.png" for n in names}
+    plan = [(k, "hot", "copy", "pq"[k // 97 % 2]) if k % 97 == 50 else (k, f"n{k % 300}", "copy", "hot") for k in range(900)]
+    assert folded(spark, names, paths, None, plan) == whole_fold(names, paths, None, plan)
