@@ -37,6 +37,8 @@ SPAN = "struct<kind:string,start:long,end:long>"
 ORDER = ("assign", "access", "hex", "random")
 
 
+#: Code points of a piece that a text is cut into before its secrets are taken out.
+CHUNK = 4096
 #: Matches whose places are summed in one fold; a text with more takes a fold for each so many.
 FOLD = 256
 
@@ -49,8 +51,16 @@ def _before(sizes: str) -> str:
     return f"transform(array({parts}), c -> flatten(zip_with(c, slice({heads}, 1, size(c)), (x, h) -> transform(slice(x, 1, size(x) - 1), v -> v + h))))[0]"
 
 
-def _spans(kind: str, pattern: str, group: int, least: int, text: str = "text") -> F.Column:
-    """Spans of the leftmost non-overlapping matches of pattern whose group has `least` characters.
+def _furthest(values: str) -> str:
+    """SQL: for an array of longs, the greatest up to each; folds of FOLD, as in _before."""
+    grow = "(a, v) -> concat(a, array(greatest(element_at(a, -1), v)))"
+    parts = f"transform(sequence(0L, (size({values}) - 1) div {FOLD}), b -> aggregate(slice({values}, CAST(b * {FOLD} AS INT) + 1, {FOLD}), array(-1L), {grow}))"
+    heads = "aggregate(c, array(-1L), (a, v) -> concat(a, array(greatest(element_at(a, -1), element_at(v, -1)))))"
+    return f"transform(array({parts}), c -> flatten(zip_with(c, slice({heads}, 1, size(c)), (x, h) -> transform(slice(x, 2, size(x) - 1), v -> greatest(v, h)))))[0]"
+
+
+def _spans(kind: str, pattern: str, group: int, least: int, text: str = "text", found: bool = False) -> F.Column:
+    """Spans of the leftmost non-overlapping matches of pattern whose group has `least` characters; found: with what they match.
 
     What split() leaves between the matches tells where they start, in code points.
     """
@@ -60,12 +70,12 @@ def _spans(kind: str, pattern: str, group: int, least: int, text: str = "text")
     gaps = f"transform(split({text}, {longer}, -1), x -> CAST(length(x) AS BIGINT))"
     whole = f"transform(regexp_extract_all({text}, {longer}, 0), x -> CAST(length(x) AS BIGINT))"
     own = f"transform(regexp_extract_all({text}, {longer}, {group}), x -> length(x))"
-    fields = f"'gaps', {gaps}, 'whole', {whole}, 'own', {own}" if group else f"'gaps', {gaps}, 'whole', {whole}"
+    fields = f"'gaps', {gaps}, 'whole', {whole}" + (f", 'own', {own}" if group else "") + (f", 'found', regexp_extract_all({text}, {longer}, 0)" if found else "")
     steps = "zip_with(slice(p.gaps, 1, size(p.whole)), p.whole, (g, w) -> g + w)"
-    item = f"named_struct('kind', '{kind}', 'start', before[i] + p.gaps[i], 'end', before[i] + p.gaps[i] + p.whole[i])"
+    item = f"named_struct('kind', '{kind}', 'start', before[i] + p.gaps[i], 'end', before[i] + p.gaps[i] + p.whole[i]{", 'token', p.found[i]" if found else ""})"
     kept = f"filter(sequence(0, size(p.whole) - 1), i -> p.{'own' if group else 'whole'}[i] >= {least})"
     made = f"transform(array(named_struct({fields})), p -> transform(array(transform(array({steps}), s -> {_before('s')})[0]), before -> transform({kept}, i -> {item}))[0])[0]"
-    return F.expr(f"IF({text} RLIKE {longer}, {made}, CAST(array() AS array<{SPAN}>))")
+    return F.expr(f"IF({text} RLIKE {longer}, {made}, CAST(array() AS array<{SPAN[:-1]}{",token:string" if found else ""}>>))")
 
 
 def base_spans() -> dict[str, F.Column]:
@@ -157,13 +167,21 @@ def scan(docs: DataFrame, model: list[float] | None = None, margin: float = MARG
     model = train(samples(docs)) if model is None else model
     text = "coalesce(text, '')"
     given = docs.withColumns({f"__{kind}": _spans(kind, *rest, text=text) for kind, *rest in BASE})
-    given = given.withColumn("__tokens", _spans("random", f"(){TOKEN}", 0, LEAST, text=text))
+    given = given.withColumn("__tokens", _spans("random", f"(){TOKEN}", 0, LEAST, text=text, found=True))
     base = F.concat(*[F.col(f"__{kind}") for kind, *_ in BASE])
-    free = F.filter("__tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    token = lambda t: F.substring(F.coalesce("text", F.lit("")), t["start"] + 1, t["end"] - t["start"])
-    random = F.filter(free, lambda t: (F.size(F.array_distinct(F.split(token(t), ""))) >= DIFFERENT) & (ratio(token(t), model) > margin))
+    # A base span touches a token if, of those that start before the token's end, one ends after its start: in the order of
+    # starts and ends, the furthest end so far says so. Time grows with the text, however many of both it has.
+    starts = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("to"), F.lit(0).cast("long").alias("start"), F.lit("").alias("token")))
+    ends = F.transform("__tokens", lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("base"), F.lit(-1).cast("long").alias("to"), t["start"].alias("start"), t["token"].alias("token")))
+    given = given.withColumn("__marks", F.when(F.size("__tokens") > 0, F.array_sort(F.concat(starts, ends))).otherwise(F.slice(starts, 1, 0)))
+    given = given.withColumn("__reach", F.expr(f"IF(size(__marks) = 0, CAST(array() AS array<bigint>), {_furthest('transform(__marks, m -> m.to)')})"))
+    # Side by side, as an array looked up inside a lambda may be computed for each element.
+    marked = F.zip_with("__marks", "__reach", lambda m, r: F.struct(m["at"].alias("at"), m["base"].alias("base"), m["start"].alias("start"), m["token"].alias("token"), r.alias("reach")))
+    free = F.filter(marked, lambda m: (m["base"] == 0) & (m["reach"] <= m["start"]))
+    random = F.filter(free, lambda t: (F.size(F.array_distinct(F.split(t["token"], ""))) >= DIFFERENT) & (ratio(t["token"], model) > margin))
+    random = F.transform(random, lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["at"].alias("end")))
     out = given.withColumns({names[0]: _ordered(base), names[1]: _ordered(F.concat(base, random))})
-    return out.drop("__tokens", *[f"__{kind}" for kind, *_ in BASE])
+    return out.drop("__tokens", "__marks", "__reach", *[f"__{kind}" for kind, *_ in BASE])
 
 
 def _ordered(spans: F.Column) -> F.Column:
@@ -181,11 +199,15 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", **how) -> DataFrame:
     """docs with every run of text that spans cover replaced by the mark; other columns as they are."""
     found = scan(docs, names=("__base", "__spans"), **how)
     text = "coalesce(text, '')"
-    # Runs that spans cover, then the text between them, joined by the mark.
-    step = "IF(s.start >= element_at(a, -1).end, concat(a, array(named_struct('start', s.start, 'end', s.end))), IF(s.end <= element_at(a, -1).end, a, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', s.end)))))"
-    runs = f"aggregate(__spans, array(named_struct('start', 0L, 'end', 0L)), (a, s) -> {step})"
-    between = f"transform(r, (x, i) -> substring({text}, CAST(x.end AS INT) + 1, CAST(coalesce(get(r, i + 1).start - x.end, 2147483647L) AS INT)))"
-    clean = f"transform(array({runs}), r -> array_join({between}, '{mark}'))[0]"
+    # A span that starts where or after the furthest end so far begins a run; what is kept of the text stands before such spans
+    # and after the last end. The text is cut into chunks once, so that no piece is sought from its beginning.
+    found = found.withColumn("__to", F.expr(f"IF(size(__spans) = 0, CAST(array() AS array<bigint>), {_furthest('transform(__spans, s -> s.end)')})"))
+    found = found.withColumn("__chunks", F.expr(f"IF(size(__spans) = 0, CAST(array() AS array<string>), regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0))"))
+    heads = "filter(zip_with(__spans, slice(concat(array(0L), __to), 1, size(__spans)), (s, f) -> named_struct('from', f, 'to', s.start)), h -> h.to >= h.from)"
+    last = f"named_struct('from', element_at(__to, -1), 'to', CAST(length({text}) AS BIGINT))"
+    size = f"CAST((k.to - 1) div {CHUNK} - k.from div {CHUNK} AS INT) + 1"
+    piece = f"IF(k.to > k.from, substring(array_join(slice(c, CAST(k.from div {CHUNK} AS INT) + 1, {size}), ''), CAST(k.from % {CHUNK} AS INT) + 1, CAST(k.to - k.from AS INT)), '')"
+    clean = f"transform(array(__chunks), c -> array_join(transform(concat({heads}, array({last})), k -> {piece}), '{mark}'))[0]"
     cleaned = found.withColumn("text", F.expr(f"IF(size(__spans) = 0, text, {clean})"))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
