@@ -23,8 +23,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Words of more bytes than this are hashed by themselves.
-LONG_WORD = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD], np.uint64)
 #: Masks that keep the first 0 .. 8 bytes of a little-endian number.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -87,8 +85,9 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE)
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes; lower maps A-Z to a-z first, and lanes 0 and 1 are independent.
 
-    Eight bytes after another go through a bijective mix, so words of up to eight bytes and one length
-    never collide, and no algebra makes longer ones collide. Very long words get a digest's first bytes.
+    Words of up to eight bytes and one length never collide: their bytes go through bijections. Longer words get a digest's
+    bytes, once for each that differs, so that nobody can write words that collide (a state that eight known bytes can
+    be cancelled from would let them).
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -96,15 +95,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     size = ends - starts
     eights = np.lib.stride_tricks.as_strided(data.view(np.uint8), (len(data) - 7, 8), (1, 1))
     out = mix(size.astype(np.uint64) * _ODD[lane] + _ODD[2 + lane])
-    live, at = np.arange(len(starts)), 0
-    while len(live):
-        left = size[live] - at
-        part = eights[starts[live] + at].view("<u8").ravel() & _FIRST[np.minimum(left, 8)]
-        out[live] = mix((out[live] ^ part) * _ODD[lane] + _ODD[2 + lane])
-        live, at = live[(left > 8) & (size[live] <= LONG_WORD)], at + 8
-    for k in np.flatnonzero(size > LONG_WORD):
-        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
-        out[k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    part = eights[starts].view("<u8").ravel() & _FIRST[np.minimum(size, 8)]
+    out = mix((out ^ part) * _ODD[lane] + _ODD[2 + lane])
+    seen: dict[bytes, int] = {}
+    raw = data.tobytes()
+    long = np.flatnonzero(size > 8)
+    for k, i, j in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        word = raw[i:j]
+        if (h := seen.get(word)) is None:
+            h = seen[word] = int.from_bytes(hashlib.blake2b(word, digest_size=16).digest()[8 * lane : 8 * lane + 8], "little")
+        out[k] = h
     return out
 
 

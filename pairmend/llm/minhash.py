@@ -61,10 +61,14 @@ def _sign(about: pa.RecordBatch, words: list[np.ndarray], words_at: np.ndarray,
     sets, keys = [], []
     for a, b in zip(words_at[:-1], words_at[1:], strict=True):
         runs = [K.window_hashes(w[a:b], min(size, int(b - a))) for w in words]
-        own, first = np.unique(runs[0], return_index=True)
+        own, first, which = np.unique(runs[0], return_index=True, return_inverse=True)
+        second = runs[1][first]
+        if (second[which] != runs[1]).any():  # different shingles with one hash: both hashes tell them apart
+            own, second = np.unique(np.stack(runs, 1), axis=0).T
+            own, second = np.ascontiguousarray(own), np.ascontiguousarray(second)
         sets.append(own)
         # Equal sets only: a digest of both 64-bit hashes of every shingle.
-        keys.append(hashlib.blake2b(own.tobytes() + runs[1][first].tobytes(), digest_size=24).digest() if len(own) else None)
+        keys.append(hashlib.blake2b(own.tobytes() + second.tobytes(), digest_size=24).digest() if len(own) else None)
     counts = np.array([len(x) for x in sets], np.int64)
     full = np.flatnonzero(counts)
     sigs = np.zeros((len(full), HASHES), np.uint32)
