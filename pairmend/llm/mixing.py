@@ -106,6 +106,15 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     return leaves.select("rank", "shard", "quota")
 
 
+def _primes() -> tuple[int, ...]:
+    """Sixteen primes from 1.2 to 2.1 thousand million, each the first from an even step on: more than any source has blocks."""
+    small_ones = [p for p in range(3, 46_341, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2))]
+    return tuple(next(n for n in range(1_200_000_001 + k * 56_000_000, 1 << 31, 2) if all(n % q for q in small_ones)) for k in range(16))
+
+
+PRIMES = _primes()
+
+
 def levels_for(words: int) -> int:
     """Levels of the tree for so many words."""
     return min(MOST_LEVELS, max(LEAST_LEVELS, (words // SHARD_WORDS).bit_length()))
@@ -153,8 +162,10 @@ def plan_mix(docs: DataFrame, levels: int | None = None, seed: int = 0, **mix) -
     quotas = settle(quotas.join(tree, "rank"))
 
     # Block b of n stands at place (b * stride + shift) mod n of its source's permutation, another for each
-    # epoch; the first `quota` places, in epoch order, are drawn, and each shard takes a run of them.
-    stride = "IF(n_blocks % 2147483647 = 0, 1000000007L, 2147483647L)"
+    # epoch; the first `quota` places, in epoch order, are drawn, and each shard takes a run of them. The stride is a prime above n, so
+    # coprime to it, and the first from the source's and epoch's own place in the list that keeps neighbours a quarter of n apart.
+    primes = f"transform(sequence(0, {len(PRIMES) - 1}), k -> array({', '.join(f'{p}L' for p in PRIMES)})[CAST((rank * 5 + e * 3 + {seed} + k) % {len(PRIMES)} AS INT)])"
+    stride = f"coalesce(get(filter({primes}, p -> p % n_blocks BETWEEN n_blocks div 4 AND n_blocks - n_blocks div 4), 0), {PRIMES[0]}L)"
     place = f"e * n_blocks + pmod((b % n_blocks) * ({stride} % n_blocks) + (rank * 7919 + e * 104729 + {seed} * 1299709) % n_blocks, n_blocks)"
     fields = "'epoch', e, 'block', b, 'first', greatest(0L, (b - first_block) * block - at), 'last', least(size, (b - first_block + 1) * block - at), 'place', d.place"
     drawn = _let("d", {"place": place}, f"named_struct('shard', size(filter(ends, x -> x <= d.place)), {fields})")

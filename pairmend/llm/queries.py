@@ -126,7 +126,8 @@ blocks AS (
   FROM quotas WHERE size > 0),
 draws AS (
   SELECT doc_id, rank, least(size, (b - first_block + 1) * block - beg) - greatest(0, (b - first_block) * block - beg) AS part,
-         e * n_blocks + ((b % n_blocks) * (2147483647 % n_blocks) + (rank * 7919 + e * 104729) % n_blocks) % n_blocks AS place, quota
+         e * n_blocks + ((b % n_blocks) * (coalesce(list_filter(list_transform(range({len(mixing.PRIMES)}), lambda k: {list(mixing.PRIMES)}[1 + (rank * 5 + e * 3 + k) % {len(mixing.PRIMES)}]),
+           lambda p: p % n_blocks BETWEEN n_blocks // 4 AND n_blocks - n_blocks // 4)[1], {mixing.PRIMES[0]}) % n_blocks) + (rank * 7919 + e * 104729) % n_blocks) % n_blocks AS place, quota
   FROM blocks, (VALUES (0), (1)) AS epochs(e)),
 deal AS (
   SELECT 0 AS level, 1 AS node, 1 AS i, CAST(list_sum(q) AS BIGINT) AS total, CAST(list_sum(q) // 2 AS BIGINT) AS goes, q, CAST([] AS BIGINT[]) AS l
