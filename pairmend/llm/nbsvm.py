@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     """A model from the texts of about `most` labelled documents, fitted in one task.
 
     labels needs doc_id and the label (1 or 0; other rows are left out). Only labelled ids chosen by
-    hash are broadcast, and only the model (2 * WIDTH numbers) comes back to the driver.
+    hash are broadcast, and only the model (2 * WIDTH numbers) comes back to the driver. Of rows that repeat a labelled doc_id
+    one is fitted on, the one of the least features, so the task gets no more rows than ids.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     n = known.count()
@@ -183,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         model, shift = fit([np.frombuffer(x, np.uint16) for x in every["x"]], every["label"].to_numpy(np.int64))
         yield pd.DataFrame({"model": [model.astype(np.float32).tobytes()], "shift": [shift]})
 
-    sample = rows.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(found, "doc_id long, label int, x binary")
+    sample = rows.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(found, "doc_id long, label int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.label", "r.x")
     model = sample.repartition(1).mapInPandas(fitted, "model binary, shift double").first()
     if model is None:
         return np.zeros((2, WIDTH), np.float32), 0.0
