@@ -230,7 +230,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, digest: bool = Fals
     bundles = max(1, ceil(chars / BUNDLE_CHARS))
     parts = max(1, ceil(chars / 5 / KEYS_IN_PART))
     parts = max(parts, min(bundles, 16))
-    held = rows.withColumn("bundle", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(bundles)).cast("int"))
+    held = rows.withColumn("bundle", F.pmod(F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id()), F.lit(bundles)).cast("int"))  # copies part too
     dealt = held.repartitionById(bundles, "bundle")  # shuffled once: later uses in the plan read the same files
     sent = dealt.groupBy("bundle").applyInArrow(_send_probes(parts, window), SENT)
     probes = sent.repartitionById(parts, "part").groupBy("part").applyInArrow(_answer(5, True), REPLY)
