@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmend.sources.shared import set_shared_folder, settle  # noqa: F401  settle is for this package's operators
+from pairmend.sources.shared import delete, set_shared_folder, settle  # noqa: F401  delete and settle are for this package's operators
 
 #: A word is a maximal run of bytes other than space and tab..carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,14 +29,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same with the path, for who deletes it when nothing reads it any more."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+#: Bytes of an element of an array that may be broadcast.
+_ELEMENTS = {"bigint": 8, "double": 8, "int": 4, "float": 4}
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a settled df for broadcast if it has few enough rows and bytes; else leave the join to a shuffle."""
-    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    """Mark a settled df for broadcast if it has few enough rows and bytes of strings, binaries and arrays of numbers; else leave the join to a shuffle."""
+    wide = []
+    for c, kind in df.dtypes:
+        element = kind.removeprefix("array<").removesuffix(">")
+        if kind in ("string", "binary"):
+            wide.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
+        elif element != kind and element in _ELEMENTS:
+            wide.append(F.coalesce(F.size(c).cast("long") * _ELEMENTS[element], F.lit(0)))
+        elif "<" in kind:
+            return df
     if not wide:
         return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
     n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(sum(wide[1:], wide[0])), F.lit(0))).first()

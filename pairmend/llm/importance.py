@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmend.llm import kernels as K
-from pairmend.llm.common import settle, written
+from pairmend.llm.common import delete, settle, written_at
 from pairmend.llm.order import placed
 from pairmend.llm.prefixcrc import word_runs
 
@@ -103,9 +103,10 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     a doc_id are judged by their own texts, and rows alike in score and id are ranked in any order among them; columns other than doc_id
     and text aren't read; without rows in target all its counts are 0; no documents give no rows.
     """
-    own = written(counted(docs, buckets, longest), "bucket-counts")
+    own, path = written_at(counted(docs, buckets, longest), "bucket-counts")
     gain = gains(totals(counted(target.select(F.lit(None).alias("doc_id"), "text"), buckets, longest), buckets), totals(own, buckets))
     scored = settle(weighed(own, gain).withColumn("score", F.col("weight") + gumbel("doc_id", seed)))
+    delete(docs.sparkSession, path)
     able = scored.filter(F.col("n_words") >= least_words).withColumn("__row", F.monotonically_increasing_id())
     drawn = able.count() * percent // 100
     ranked = placed(able, F.desc("score"), F.asc("doc_id"), F.asc("__row"), into="rank").drop("__row")

@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairmend.llm import importance, merkle, prefixcrc, urlcascade
+from pairmend.llm import anchors, importance, merkle, minhash, mixing, nbsvm, prefixcrc, secrets, urlcascade
+from pairmend.llm import kernels as K
+from pairmend.llm.common import small
 from pairmend.llm.order import placed
 from pairmend.llm.queries import URL_RULES
 
@@ -216,3 +218,83 @@ def test_a_cascade_is_exact_over_its_corpus(spark):
     assert len(made.levels) > 2
     assert corpus.filter(made.holds(F.col("key")) != (F.expr("pmod(hash(key), 9) = 0"))).isEmpty()
     assert corpus.filter(urlcascade.cascade(listed.limit(0), corpus).holds(F.col("key"))).isEmpty()
+
+
+# Two words that a hash which cancels eight bytes by eight others takes for one.
+ALIKE = ("rs18bf38tailtail", "a04z92z4ze,kol<q")
+
+
+def test_words_that_were_made_to_collide(spark):
+    data = np.frombuffer(" ".join(ALIKE).encode(), np.uint8)
+    starts, ends, _ = K.word_bounds(data, np.array([0, len(data)]))
+    for lane in (0, 1):
+        assert len(set(K.word_hashes(data, starts, ends, lane=lane).tolist())) == 2
+    a, b = ALIKE
+    got = minhash.near_duplicates(frame(spark, [(1, f"{a} w {b} w", "en", "s", 1)]), shingle_words=2).first()
+    assert got["n_shingles"] == 3
+    passage = [f"w{k}" for k in range(40)]
+    texts_ = [" ".join([*passage[:20], x, *passage[20:]]) for x in ALIKE]
+    got = anchors.repeated_passages(frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts_)])).collect()
+    assert all(r["n_removed"] == 0 for r in got)
+
+
+def test_many_secrets_in_one_text(spark):
+    """A megabyte with thousands of secrets and tokens takes seconds, and every span is the definition's."""
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789+/") for _ in range(n))
+    parts = []
+    for k in range(20_000):
+        parts += [f"password = {word(rng.randrange(4, 12))}", word(24), "plain words", f"token:{word(30)}" if k % 3 else f"x{word(25)}AKIA{'B' * 20}"]
+    text, model = " ".join(parts), [rng.random() for _ in range(secrets.CLASSES**2)]
+    docs = frame(spark, [(1, text, "en", "s", 1), (2, None, "en", "s", 1), (3, "token = abcdef9 token = abcdef9", "en", "s", 1)])
+    got = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    base = secrets.brute_force(text)
+    assert [tuple(s) for s in got[1]["base"]] == base and [tuple(s) for s in got[2]["spans"]] == []
+    covered = np.zeros(len(text) + 1, np.int32)
+    for _, a, b in base:
+        covered[a:b] = 1
+    free = []
+    for m in re.finditer(secrets.TOKEN, text):
+        codes = [0, *[secrets.ALPHABET.index(c) + 1 for c in m[0]], 0]
+        nats = sum(float(f"{model[x * secrets.CLASSES + y]:.6f}") for x, y in zip(codes, codes[1:], strict=False)) / len(m[0])
+        if not covered[m.start() : m.end()].any() and len(set(m[0])) >= secrets.DIFFERENT and nats > secrets.MARGIN:
+            free.append(("random", *m.span()))
+    want = sorted(base + free, key=lambda s: (s[1], secrets.ORDER.index(s[0])))
+    assert [tuple(s) for s in got[1]["spans"]] == want and free
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model=model).collect()}
+    runs = []
+    for _, a, b in want:
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    cuts = [0, *[x for r in runs for x in r], len(text)]
+    assert clean[1] == "<SECRET>".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+    assert clean[2] is None and clean[3] == "<SECRET> <SECRET>"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 682, 1023, 1024, 1_048_576])
+def test_neighbouring_blocks_part(n):
+    strides = set()
+    for rank in range(20):
+        for e in (0, 1):
+            turned = [mixing.PRIMES[(rank * 5 + e * 3 + k) % 16] for k in range(16)]
+            stride = next((p for p in turned if n // 4 <= p % n <= n - n // 4), mixing.PRIMES[0])
+            assert math.gcd(stride, n) == 1 and n // 4 <= stride % n <= n - n // 4
+            strides.add(stride % n)
+    assert n < 600 or len(strides) > 3
+
+
+def test_bounds_hold_with_a_repeated_id(spark, monkeypatch):
+    rows = [(7 if k % 2 else None, f"good words {k % 3}", "en", "s", 1) for k in range(400)] + [(8, "bad x", "en", "s", 1)]
+    fitted = []
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, y, real=nbsvm.fit: (_ for _ in ()).throw(ValueError(f"{len(rows)} rows")) if len(rows) > 2 else real(rows, y))
+    nbsvm.train(frame(spark, rows), labels)
+    copies = [(None, " ".join(f"w{k}" for k in range(50)), "en", "s", 1)] * 300
+    monkeypatch.setattr(anchors, "BUNDLE_CHARS", 2_000)
+    got = anchors.repeated_passages(frame(spark, copies)).collect()
+    assert len(got) == 300 and all(r["n_removed"] == 50 for r in got)
+    wide = spark.range(4).selectExpr("id", "array_repeat(id, 2000000) AS many")
+    assert "Broadcast" not in spark.range(4).join(small(wide), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert fitted == []
