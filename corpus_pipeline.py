@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmend.llm import minhash, mixing, nbsvm, secrets, spm
-from pairmend.llm.common import table, written
+from pairmend.llm.common import delete, table, written_at
 from pairmend.llm.queries import TOKENIZER
 
 
@@ -79,11 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's result is written and read again, and the session's settings stay as they were."""
-    docs, given = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
+    """All stages; each one's result is written and read again, and deleted when the next one's is there; the session's settings stay as they were."""
+    docs, given, last = table(spark, sf_dir, "documents"), spark.conf.get(BATCH), None
     try:
         for name, stage in STAGES:
-            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            docs, path = written_at(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            if last:
+                delete(spark, last)
+            last = path
     finally:
         spark.conf.set(BATCH, given)
     return docs
