@@ -3,14 +3,34 @@
 from __future__ import annotations
 
 import argparse
+import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmend import config
+from pairmend.functions.text import resolve_path
 from pairmend.operators import arbitrate, build, diagnose, repair, sieve, simulate
 from pairmend.sources import files
-from pairmend.sources.images import images_of
+from pairmend.sources.embedding import embedded, factory_of
+from pairmend.sources.images import copy_jobs, images_of, listing, read_images
+from pairmend.sources.transfer import copy_files, fetch_all, write_files
+
+
+def placed(spark: SparkSession, rows: DataFrame, folder: str | None, root: str, images_dir: str, fetch: bool) -> DataFrame:
+    """row_id and ok for rows whose image was copied or fetched to its place under root and can be decoded there."""
+    rows = build.image_source(rows)
+    target = F.concat(F.lit(f"{root}/{images_dir}/"), "row_id", F.lit(".jpg"))
+    if folder:
+        local = rows.filter("image_source = 'local'").select(resolve_path(folder, F.col("image_path")).alias("source"), target.alias("target"))
+        copy_files(local)
+    if fetch:
+        asked = rows.filter("image_source = 'url'")
+        got = fetch_all(asked).filter("content is not null").select(F.col("url").alias("__url"), "content")
+        write_files(asked.join(got, F.trim("image_url") == F.col("__url")), target, F.col("content"))
+    os.makedirs(f"{root}/{images_dir}", exist_ok=True)
+    seen = read_images(spark, f"{root}/{images_dir}").select("origin", "ok")
+    return rows.select("row_id", target.alias("__t")).join(seen, F.col("__t") == F.col("origin")).select("row_id", "ok")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -25,6 +45,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             stage.add_argument("--config", default=None)
         if name in ("build", "diagnose"):
             stage.add_argument("--images", default=None, help="the folder that image paths are relative to; without it every named image counts as there")
+        if name in ("build", "sieve", "repair"):
+            stage.add_argument("--root", default=None, help="where rows' image paths start from; build puts images there, sieve reads them, repair lists and copies them")
+        if name == "build":
+            stage.add_argument("--fetch", action="store_true", help="fetch the images of rows that name a URL and no file; needs --root")
+        if name == "sieve":
+            stage.add_argument("--model", default=None, help="module:function that makes a model of texts and images; needs --root")
+        if name in ("diagnose", "repair"):
+            stage.add_argument("--position", default=None, help="a column that orders rows of one id; the last one counts")
         if name in ("sieve", "diagnose"):
             stage.add_argument("--embeddings", default=None, help="a table of row_id, text_emb, image_emb; without it the rows carry their vectors")
         if name == "simulate":
@@ -39,6 +67,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.stage == "build":
         raw = files.read_raw(spark, a.raw)
         images = a.images and images_of(spark, build.normalize(raw), a.images)
+        if a.root:
+            images = placed(spark, build.normalize(raw), a.images, a.root.rstrip("/"), f"{settings[0].processed_dir}/images", a.fetch)
         files.write_parquet(build.build(raw, images or None, f"{settings[0].processed_dir}/images"), a.out)
         for told in (build.counters, build.downloads):
             told(spark.read.parquet(a.out)).show()
@@ -49,6 +79,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         rows = spark.read.parquet(a.rows)
         if a.embeddings:
             rows = rows.drop("text_emb", "image_emb").join(spark.read.parquet(a.embeddings).select("row_id", "text_emb", "image_emb"), "row_id", "left")
+        if a.model:
+            rows = embedded(spark, rows, a.root, factory_of(a.model), settings[1].batch_size)
         found = sieve.sieve(rows, settings[1])
         files.write_parquet(found, files.artifact("embeddings", a.out, a.rows))
         flat = spark.read.parquet(files.artifact("embeddings", a.out, a.rows)).drop("text_emb", "image_emb")
@@ -56,7 +88,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         files.write_csv(flat.filter("flagged"), files.artifact("flagged", a.out, a.rows))
     elif a.stage == "diagnose":
         sieved = spark.read.parquet(a.sieved)
-        found = diagnose.evidence(sieved, a.embeddings and spark.read.parquet(a.embeddings) or None)
+        found = diagnose.evidence(sieved, a.embeddings and spark.read.parquet(a.embeddings) or None, a.position)
         if a.images:
             seen = images_of(spark, found, a.images, "source_image_path" if "source_image_path" in found.columns else "image_path")
             found = found.join(seen, "row_id", "left").withColumn("image_exists", F.coalesce("ok", F.lit(False))).drop("ok")
@@ -67,7 +99,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         files.write_csv(arbitrate.arbitrate(files.read_queue(spark, a.queue)), a.out)
         files.read_plan(spark, a.out).orderBy("step").show(20)
     else:
-        fixed, log = repair.repair(spark.read.parquet(a.rows), files.read_plan(spark, a.plan), semantics=a.semantics)
+        rows, root = spark.read.parquet(a.rows), a.root and a.root.rstrip("/")
+        there = listing(spark, root, root) if root else None
+        fixed, log = repair.repair(rows, files.read_plan(spark, a.plan), there, a.semantics, position=a.position, root=root)
+        if root:
+            jobs = copy_jobs(fixed).select(*[resolve_path(root, F.col(c)).alias(c) for c in ("source", "target")])
+            copy_files(jobs).groupBy("ok").count().show()
         files.write_parquet(fixed, files.artifact("repaired", a.out, a.rows))
         files.write_csv(log.orderBy(F.col("step")), files.artifact("log", a.out, a.rows))
         repair.status_counts(log).show()

@@ -1,46 +1,151 @@
 """Top-1 retrieval: for each query vector the most similar vector of another row, exactly.
 
-Queries and candidates are dealt into blocks; each pair of blocks is one matrix product in one task, and the
-best of a query's blocks is an aggregate. No task holds more than two blocks, however large the tables.
+Candidates are dealt into blocks around sampled centres, each with the least and greatest angle of its members to its centre. The
+angle between a query and a centre then bounds how similar any member can be, so a query visits its most promising block, then
+some more, and at last those that can still win; the rest are never compared. Without clusters in the data all blocks may have to be
+visited, which is what an exhaustive search costs. A visit is a matrix product of bounded blocks in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmend.functions.vectors import normalize
+from pairmend.sources.shared import settle
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 2_000, 20_000
+#: Candidates around a centre, as aimed at, and the most centres (the driver and every task hold them).
+CELL, MOST_CENTRES = 5_000, 1_024
+#: Rings of different angles that a centre's candidates are parted into, at most.
+RINGS = 16
+#: Blocks that a query visits before the best found so far decides about all others.
+EARLY = 8
+#: Bounds are loosened by this angle, and by this cosine, for rounding.
+SLACK, LOOSE = 1e-6, 1e-9
+
+FOUND = "row_id string, best string, sim double, pairs long"
 
 
-def best_other(queries: DataFrame, candidates: DataFrame, vector: str = "image_emb", other: str = "text_emb") -> DataFrame:
+def best_other(queries: DataFrame, candidates: DataFrame, vector: str = "image_emb", other: str = "text_emb", block: int = CANDIDATE_BLOCK, cell: int = CELL) -> DataFrame:
     """row_id, best_other_row, best_other_sim for each query that has a vector and a rival.
 
     A row is no rival of its own (by row_id). Of equal similarities the smallest row_id wins. Rows
     without a vector take no part.
     """
+    return searched(queries, candidates, vector, other, block, cell).drop("pairs")
+
+
+def searched(queries: DataFrame, candidates: DataFrame, vector: str = "image_emb", other: str = "text_emb", block: int = CANDIDATE_BLOCK, cell: int = CELL) -> DataFrame:
+    """best_other()'s rows with pairs, how many candidates the query was compared with."""
     q = queries.select(F.col("row_id").cast("string").alias("row_id"), normalize(F.col(vector)).alias("v")).filter("v is not null").dropDuplicates(["row_id"])
     c = candidates.select(F.col("row_id").cast("string").alias("row_id"), normalize(F.col(other)).alias("v")).filter("v is not null")
-    n_q, n_c = 1 + q.count() // QUERY_BLOCK, 1 + c.count() // CANDIDATE_BLOCK
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
-    left = q.select(own(n_q).alias("i"), each(n_c).alias("j"), F.lit(True).alias("query"), "row_id", "v")
-    right = c.select(each(n_q).alias("i"), own(n_c).alias("j"), F.lit(False).alias("query"), "row_id", "v")
-
-    def top(block: pd.DataFrame) -> pd.DataFrame:
-        a, b = block[block["query"]], block[~block["query"]].sort_values("row_id")
+    n = c.count()
+    if n <= block:  # one block that all queries visit
+        found = _visited(q.withColumn("block", F.lit(0)), c.withColumn("block", F.lit(0)))
+    else:
+        found = _pruned(settle(q), settle(c), n, block, cell)
+    first = F.min_by(F.struct("best", "sim"), F.struct(-F.col("sim"), F.col("best")))
+    best = found.groupBy("row_id").agg(first.alias("b"), F.sum("pairs").alias("pairs")).filter("b.best is not null")
+    return best.select("row_id", F.col("b.best").alias("best_other_row"), F.col("b.sim").alias("best_other_sim"), "pairs")
+
+
+def _visited(visits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """FOUND for visits (row_id, v, block) to blocks' rows (row_id, v, block): the best of the block, which may be null."""
+    asked = visits.groupBy("block").agg(F.count("*").alias("n")).select("block", F.expr(f"1 + n div {QUERY_BLOCK}").alias("parts"))
+    left = visits.join(asked, "block").select("block", F.pmod(F.xxhash64("row_id"), "parts").cast("int").alias("part"), F.lit(True).alias("query"), "row_id", "v")
+    right = blocks.join(asked, "block").select("block", F.explode(F.expr("sequence(0, CAST(parts AS INT) - 1)")).alias("part"), F.lit(False).alias("query"), "row_id", "v")
+
+    def top(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["query"]], group[~group["query"]].sort_values("row_id")
         if not len(a) or not len(b):
-            return pd.DataFrame({"row_id": [], "best": [], "sim": []}).astype({"row_id": str, "best": str, "sim": float})
+            return pd.DataFrame({"row_id": [], "best": [], "sim": [], "pairs": []}).astype({"row_id": str, "best": str, "sim": float, "pairs": int})
         sims = np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T
         names = b["row_id"].to_numpy()
         sims[a["row_id"].to_numpy()[:, None] == names[None, :]] = -np.inf
         at = sims.argmax(1)
-        out = pd.DataFrame({"row_id": a["row_id"].to_numpy(), "best": names[at], "sim": sims[np.arange(len(a)), at]})
-        return out[out["sim"] > -np.inf]
+        best = sims[np.arange(len(a)), at]
+        there = best > -np.inf
+        return pd.DataFrame({"row_id": a["row_id"].to_numpy(), "best": np.where(there, names[at], None), "sim": np.where(there, best, -np.inf), "pairs": len(b)})
 
-    found = left.union(right).groupBy("i", "j").applyInPandas(top, "row_id string, best string, sim double")
-    first = F.min_by(F.struct("best", "sim"), F.struct(-F.col("sim"), F.col("best")))
-    return found.groupBy("row_id").agg(first.alias("b")).select("row_id", F.col("b.best").alias("best_other_row"), F.col("b.sim").alias("best_other_sim"))
+    return left.union(right).groupBy("block", "part").applyInPandas(top, FOUND)
+
+
+def _odd(v: np.ndarray) -> np.ndarray:
+    """-1 for vectors of zeros, which are similar to nothing (0), and -2 for those so short that they didn't get length 1: angles don't bound them."""
+    size = (v * v).sum(1)
+    return np.where(size == 0, -1, np.where(size < 0.999, -2, 0))
+
+
+def _pruned(q: DataFrame, c: DataFrame, n: int, block: int, cell: int) -> DataFrame:
+    """FOUND of three rounds of visits over n candidates."""
+    wanted = min(MOST_CENTRES, -(-n // cell))
+    centres = c.filter(F.pmod(F.xxhash64("row_id"), F.lit(n)) < 2 * wanted).limit(wanted).select("v").collect()
+    middle = np.stack([r["v"] for r in centres]) if centres else np.stack([c.first()["v"]])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                v = np.stack(rows["v"].to_list())
+                cos = v @ middle.T
+                own = np.where(_odd(v) == 0, cos.argmax(1), _odd(v))
+                yield rows.assign(cell=own, angle=np.arccos(np.clip(cos.max(1), -1, 1)))
+
+    dealt = settle(c.mapInPandas(near, "row_id string, v array<double>, cell int, angle double"))
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    sizes = sizes.withColumn("rings", F.least(F.lit(RINGS), F.ceil(F.col("n") / cell)).cast("int"))
+    ring = F.when(F.col("high") > F.col("low"), F.least(F.col("rings") - 1, F.floor((F.col("angle") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("rings")))).otherwise(0).cast("int")
+    ringed = dealt.join(F.broadcast(sizes.drop("n")), "cell").withColumn("ring", ring)  # a row a centre
+    shapes = ringed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    shapes = shapes.orderBy("cell", "ring").collect()  # MOST_CENTRES * RINGS rows at most
+    names = q.sparkSession.createDataFrame([(r["cell"], r["ring"], k, -(-r["n"] // block)) for k, r in enumerate(shapes)], "cell int, ring int, shape int, parts int")
+    # A ring of more than a block is several blocks, all of which its visitors see.
+    part = F.pmod(F.xxhash64("row_id", F.lit(1)), "parts").cast("int")
+    members = settle(ringed.join(F.broadcast(names), ["cell", "ring"]).select("shape", part.alias("part"), "row_id", "v"))
+    members = members.select(F.concat_ws(":", "shape", "part").alias("block"), "row_id", "v")
+    of, low, high = (np.array([r[x] for r in shapes]) for x in ("cell", "low", "high"))
+
+    def bounds(v: np.ndarray) -> np.ndarray:
+        """How similar to each query a member of each shape can be."""
+        angle = np.arccos(np.clip(v @ middle.T, -1, 1))[:, np.maximum(of, 0)]
+        gap = np.maximum(0, np.maximum(angle - high, low - angle) - SLACK)
+        most = np.cos(np.minimum(gap, np.pi)) + LOOSE
+        most[:, of == -1] = LOOSE
+        most[_odd(v) == -1] = LOOSE
+        most[:, of == -2] = 1 + LOOSE
+        most[_odd(v) == -2] = 1 + LOOSE
+        return most
+
+    def chosen(first: int, last: int | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = max(1, 2_000_000 // len(of))
+            for rows in batches:
+                for at in range(0, len(rows), step):
+                    some = rows.iloc[at : at + step]
+                    most = bounds(np.stack(some["v"].to_list()))
+                    order = np.argsort(-most, 1, kind="stable")[:, first:last]
+                    fine = np.take_along_axis(most, order, 1) >= some["least"].to_numpy()[:, None]
+                    k, j = np.nonzero(fine)
+                    if len(k):
+                        yield pd.DataFrame({"row_id": some["row_id"].to_numpy()[k], "v": some["v"].to_numpy()[k], "shape": order[k, j]})
+
+        return run
+
+    parts = F.broadcast(names.select("shape", "parts"))
+    found = None
+    for first, last in ((0, 1), (1, 1 + EARLY), (1 + EARLY, None)):
+        if first >= len(of):
+            break
+        least = q.withColumn("least", F.lit(-2.0))
+        if found is not None:
+            best = found.groupBy("row_id").agg(F.max("sim").alias("least"))
+            least = q.join(best, "row_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+        visits = least.mapInPandas(chosen(first, last), "row_id string, v array<double>, shape int").join(parts, "shape")
+        visits = visits.select("row_id", "v", "shape", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).select("row_id", "v", F.concat_ws(":", "shape", "part").alias("block"))
+        now = settle(_visited(settle(visits), members))
+        found = now if found is None else found.union(now)
+    return found

@@ -164,6 +164,9 @@ round(list_sum([CAST(CAST(x AS FLOAT) AS DOUBLE) for x in t[1:48]]), 4) AS text_
 CASE WHEN no_image THEN 0.0::DOUBLE ELSE round(list_sum([CAST(CAST(x AS FLOAT) AS DOUBLE) for x in im[1:48]]), 4) END AS image_sum,
 round(CAST(CAST(coalesce(sim, -1) AS FLOAT) AS DOUBLE), 4) AS sim_score, CAST(reason <> 'ok' AS BIGINT) AS flagged FROM reasons""",
     "retrieve_top1": f"WITH {_BEST} SELECT row_id, other AS best_other_row, round(own, 6) AS own_sim, round(s, 6) AS best_other_sim FROM best",
+    "retrieve_every_image": f"""WITH {_PAIRS},
+met AS (SELECT q.row_id, c.row_id AS other, list_cosine_similarity(q.im, c.t) AS s FROM pairs q JOIN pairs c ON q.row_id <> c.row_id WHERE NOT q.no_image)
+SELECT row_id, arg_max(other, s) AS best_other_row, round(max(s), 6) AS best_other_sim FROM met GROUP BY row_id""",
     "diagnose_reports": f"""WITH {_REPORTS} SELECT row_id, error_type, mismatch_aspects, suggested_direction, image_trust, text_trust, candidate,
 CASE reason WHEN 'missing_text' THEN 'NEEDS_CAPTION' END AS new_title,
 CASE reason WHEN 'missing_image' THEN 'Image is missing.' WHEN 'missing_text' THEN 'Text is missing; likely generate/fill text from image.' END AS notes,

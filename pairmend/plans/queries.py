@@ -14,6 +14,7 @@ from pairmend.functions.text import canonical_text, first_color, json_map
 from pairmend.operators import arbitrate, build, diagnose, repair, simulate
 from pairmend.operators import sieve as S
 from pairmend.operators.quantiles import exact_quantiles
+from pairmend.operators.retrieval import best_other
 from pairmend.plans.fixtures import catalog, pairs, plain_catalog, table
 from pairmend.plans.oracles import ORACLES
 from pairmend.sources.images import pixel_colors
@@ -87,6 +88,13 @@ def retrieve_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir).filter("best_other_row is not null").select("row_id", "best_other_row", _r6("own_sim"), _r6("best_other_sim"))
 
 
+def retrieve_every_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best other text of every row's image, by blocks that bounds leave over."""
+    rows = settle(pairs(spark, sf_dir))
+    found = best_other(rows, rows, block=200, cell=50)
+    return found.select("row_id", "best_other_row", _r6("best_other_sim"))
+
+
 def diagnose_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = diagnose.diagnose(_evidence(spark, sf_dir))
     return r.select(
@@ -324,7 +332,7 @@ def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         pair_cosine, sieve_iqr, sieve_quantile, sieve_global_iqr, sieve_global_fallback, sieve_flags, flag_reason_counts, threshold_table, embedding_export,
-        retrieve_top1, diagnose_reports, arbiter_queue, arbiter_plan, plan_cost_by_action, repair_images_sequential, repair_images_snapshot, repair_log_status,
+        retrieve_top1, retrieve_every_image, diagnose_reports, arbiter_queue, arbiter_plan, plan_cost_by_action, repair_images_sequential, repair_images_snapshot, repair_log_status,
         text_patch_apply, canonical_text_of_part, json_attributes, missing_flags, build_counters, build_downloads, image_source_resolution, image_listing_join, text_color,
         nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, noise_invariants, diagnose_catalog, queue_fixes, arbiter_actions,
         repair_status_counts, repair_changing_paths_log, repair_changing_paths_rows, dedup_last_wins,

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from pairmend.functions.colors import DARK, LIGHT, MANY, SIDE, is_kept, nearest_color
 from pairmend.functions.text import resolve_path
+from pairmend.operators.repair import IMAGES
 
 
 def listing(spark: SparkSession, folder: str, root: str = "") -> DataFrame:
@@ -97,17 +98,15 @@ def _try(fetcher: Callable[[str], bytes | None], url: str | None) -> bytes | Non
         return None
 
 
-def http_get(url: str, timeout: float = 30.0) -> bytes:
-    from urllib.request import urlopen
+def copy_jobs(repaired: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """source and target paths of the copies that a repair asks for, each target once.
 
-    with urlopen(url, timeout=timeout) as answer:
-        return answer.read()
-
-
-def copy_jobs(repaired: DataFrame, rows: DataFrame) -> DataFrame:
-    """source and target paths of the copies that a repair asks for, each target once."""
+    A repair says itself which file an image comes from; rows, the table before it, is only asked where it doesn't.
+    """
+    moved = repaired.filter("image_origin_row_id is not null").withColumn("target", F.concat(F.lit(IMAGES + "/"), F.col("row_id").cast("string"), F.lit(".jpg")))
+    if "image_origin_path" in repaired.columns:
+        return moved.select(F.col("image_origin_path").alias("source"), "target").filter("source <> target").distinct()
     origin = rows.select(F.col("row_id").alias("image_origin_row_id"), F.col("image_path").alias("source")).dropDuplicates(["image_origin_row_id"])
-    moved = repaired.filter("image_origin_row_id is not null").select("image_origin_row_id", F.col("image_path").alias("target"))
     return moved.join(origin, "image_origin_row_id").select("source", "target").filter("source <> target").distinct()
 
 
