@@ -28,7 +28,7 @@ BOILERPLATE = frozenset("nav header footer aside form script style noscript temp
 NOISE = frozenset(
     "ad ads adbox adbanner adsense adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup sidebar aside menu nav navbar navigation topnav breadcrumb breadcrumbs footer header masthead topbar comment comments "
-    "commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets pagination pager toolbar skip login search contentinfo complementary".split()
+    "commentlist disqus respond reply replies reviews kommentare commentaires comentarios share sharing social related recommended recommendations widget widgets pagination pager toolbar skip login search contentinfo complementary".split()
 )
 
 #: Words that say nothing beside those: a class or id is noise if it has words of NOISE and else only these.
@@ -37,6 +37,9 @@ NEUTRAL = frozenset(
     "panel post primary reader readers right rail row secondary section site small slot space sticky strip text thread top unit user users wrap wrapper zone".split()
 )
 
+#: An article with less of a page's prose than this is not what the page is about.
+LITTLE = 0.05
+
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
@@ -117,6 +120,8 @@ class _Page:
         self.tag, self.parent, self.path, self.noise, self.link = ["#root"], [-1], [0], [False], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.label = [""]
+        self.hard = [False]  # noise, were forms containers
+        self.form = [0]  # the outermost form around
         self.text: list[tuple[int, str] | None] = []  # None: a block ends
         self.stack: list[int] = [0]
         self.open: dict[str, list[int]] = {}  # for each tag where it stands in the stack
@@ -136,6 +141,20 @@ class _Page:
             bare = raw.rstrip().endswith("/")
             if what in RAW and not bare or what in VOID or bare and what not in CONTAINERS and what != "p":
                 self._cut(len(self.stack) - 1)
+        self._spare_form()
+
+    def _spare_form(self) -> None:
+        """A form with more prose than all the rest of the page is what the page is wrapped in, and no noise."""
+        inside: dict[int, int] = {}
+        for piece in self.text:
+            if piece and not self.hard[piece[0]]:
+                k = self.form[piece[0]]
+                inside[k] = inside.get(k, 0) + len(piece[1].strip())
+        most = max((k for k in inside if k), key=inside.get, default=0)
+        if most and inside[most] > inside.get(0, 0):
+            for k, form in enumerate(self.form):
+                if form == most:
+                    self.noise[k] = self.hard[k]
 
     def _cut(self, at: int) -> None:
         """Close the elements of the stack from there on."""
@@ -166,7 +185,10 @@ class _Page:
         self.parent.append(up)
         self.label.append(label)
         self.path.append(self.paths.setdefault((self.path[up], label), len(self.paths) + 1))
-        self.noise.append(self.noise[up] or self._is_noise(tag, given))
+        noisy = self._is_noise(tag, given)
+        self.noise.append(self.noise[up] or noisy)
+        self.hard.append(self.hard[up] or noisy and tag != "form")
+        self.form.append(self.form[up] or (len(self.tag) - 1) * (tag == "form"))
         self.link.append(self.link[up] or tag == "a")
         self.open.setdefault(tag, []).append(len(self.stack))
         if tag in CONTAINERS:
@@ -184,9 +206,10 @@ class _Page:
             return False
         if "hidden" in given or given.get("aria-hidden") == "true" or "style" in given and _UNSEEN.search(given["style"]):
             return True
-        for name in " ".join([given[a] for a in ("class", "id", "role") if a in given]).split():
+        own = bool(self._last(("article",)))  # inside an article a header is its own, and a section's id is where links to it go
+        for name in " ".join([given[a] for a in ("class", "id", "role") if a in given and not (own and tag == "section" and a == "id")]).split():
             words = {w.lower() for w in _WORDS.findall(name)}
-            told = words & {"comment", "comments", "reply"} if tag == "article" else words & NOISE
+            told = words & {"comment", "comments", "reply", "reviews"} if tag == "article" else words & NOISE - ({"header"} if own else set())
             if told and words <= NOISE | NEUTRAL:
                 return True
         return False
@@ -201,21 +224,38 @@ class _Page:
             self._cut(at[-1])
 
     def best(self) -> tuple[int, float]:
-        """The container with the highest score, the first of equals (the root if there is none), and its part of
-        all scores. A container scores the prose under it, less links, halved by each container between; an
-        article or main part around the best stands for it."""
+        """The container of the page's article, and its part of all scores.
+
+        A page that marks its article says where it is: the outermost article with most prose, if it has half of what all articles have
+        (else they are a list), or without articles the main part with most; it wins unless it holds next to nothing of the page. On
+        other pages a container scores the prose under it, less links, halved by each container between; the highest
+        score wins, the first of equals (the root if there is none), and an article or main part around it stands for it."""
         mass = [0.0] * len(self.tag)
         for piece in self.text:
             if piece and not self.noise[piece[0]] and not self.link[piece[0]]:
                 mass[piece[0]] += len(piece[1].strip())
+        prose = list(mass)
         top, total = 0, 0.0
         for k in range(len(mass) - 1, 0, -1):  # what is inside comes after what is around
             box = self.tag[k] in CONTAINERS
+            prose[self.parent[k]] += prose[k]
             mass[self.parent[k]] += mass[k] / 2 if box else mass[k]
             if box and mass[k]:
                 total += mass[k]
                 if not top or mass[k] >= mass[top]:
                     top = k
+        inside = [False] * len(self.tag)  # an article
+        outer: dict[str, list[int]] = {"article": [], "main": []}
+        for k in range(1, len(self.tag)):
+            inside[k] = inside[self.parent[k]]
+            if self.tag[k] in outer and not inside[k] and not self.noise[k] and prose[k]:
+                outer[self.tag[k]].append(k)
+                inside[k] = self.tag[k] == "article"
+        for tag in ("article", "main"):
+            if outer[tag]:
+                k = max(outer[tag], key=lambda k: (prose[k], -k))
+                if prose[k] * 2 >= sum(prose[x] for x in outer[tag]) and prose[k] >= LITTLE * prose[0]:
+                    return k, prose[k] / prose[0]
         part, k = mass[top] / total if top else 0.0, top
         around = {self.tag[top]: top}
         while k > 0:

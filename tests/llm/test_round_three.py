@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairmend.llm import anchors, importance, merkle, minhash, mixing, nbsvm, prefixcrc, secrets, urlcascade
+from pairmend.llm import anchors, hostpaths, importance, merkle, minhash, mixing, nbsvm, prefixcrc, secrets, urlcascade
 from pairmend.llm import kernels as K
 from pairmend.llm.common import small
 from pairmend.llm.order import placed
@@ -298,3 +298,24 @@ def test_bounds_hold_with_a_repeated_id(spark, monkeypatch):
     wide = spark.range(4).selectExpr("id", "array_repeat(id, 2000000) AS many")
     assert "Broadcast" not in spark.range(4).join(small(wide), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert fitted == []
+
+
+def test_the_article_wins_over_what_readers_wrote(spark):
+    para = lambda x, n=1: "".join(f"<p>{x}{k} {'words of prose ' * 12}</p>" for k in range(n))
+    whole = f'<body><article>{para("own", 2)}</article><div class="user-reviews">{para("review", 9)}</div></body>'
+    other = f'<body><article>{para("more", 6)}</article><div class="user-reviews">{para("review", 1)}</div></body>'
+    strange = f'<body><main><article>{para("own", 2)}</article><div class="stimmen">{para("review", 9)}</div></main></body>'
+    pages_ = spark.createDataFrame([(k, "http://h/", p) for k, p in enumerate([whole, whole, other, strange])], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in hostpaths.main_text(pages_).collect()}
+    assert all("review" not in t for t in got.values()) and got[2].count("more") == 6 and got[0].count("own") == got[3].count("own") == 2
+    listing = "<body><main>" + "".join(f"<article>{para(f'a{k}-')}</article>" for k in range(5)) + "</main></body>"
+    assert all(f"a{k}-0" in hostpaths.extract(listing, None) for k in range(5))
+
+
+def test_a_page_inside_a_form_and_an_article_s_own_parts():
+    prose = "words of prose " * 20
+    page = f'<body><form runat="server"><div class="menu">no</div><div class="text"><p>{prose}</p></div><button>no</button></form><form><label>no</label></form></body>'
+    assert hostpaths.extract(page, None) == prose.strip()
+    assert hostpaths.extract(f"<body><div><p>{prose}</p></div><form><p>Your name</p></form></body>", None) == prose.strip()
+    page = f'<article><div class="post-header"><h1>Head</h1></div><p>{prose}</p><section id="social"><h2>Social life</h2><p>{prose}</p></section><div class="social">no</div><ul class="share">no</ul></article>'
+    assert hostpaths.extract(f"<body>{page}</body>", None) == "\n\n".join(["Head", prose.strip(), "Social life", prose.strip()])
