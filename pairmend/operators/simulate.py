@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmend.functions.text import canonical_text, dump, json_map, merge
+from pairmend.operators.arbitrate import number
+from pairmend.operators.asof import last_before
+from pairmend.sources.shared import kept, settle
 
 # The colours that noise picks from.
 NOISE_COLORS = ("red", "blue", "black", "white", "green", "yellow", "pink", "gray")
@@ -31,14 +34,50 @@ def mutate_color(attributes: Column, pick: Column) -> Column:
     return merge(attributes, F.create_map(F.lit("color"), new))
 
 
-def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool = True) -> DataFrame:
+def exchanged(swaps: DataFrame) -> DataFrame:
+    """position, origin: whose thing lies where after all swaps (step, a, b) were made in order, for every position that one names.
+
+    What a step puts at one of its positions is what lay at the other before it: the work of the last earlier step there, which
+    an as-of look-up finds, or what was there at first. Such pointers are doubled, so rounds grow with the logarithm of the
+    longest row of exchanges. A swap of a position with itself changes nothing; steps are told apart by their numbers.
+    """
+    real = settle(swaps.filter("a <> b").select(F.col("step").cast("long").alias("step"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    ends = real.select("step", "a", "b").union(real.select("step", "b", "a")).toDF("step", "position", "other")
+    events = ends.select(F.col("position").alias("key"), F.col("step").alias("at"))
+    before = last_before(ends.select(F.col("other").alias("key"), F.col("step").alias("at"), "position"), events)
+    with kept(swaps.sparkSession) as keep:
+        # A node is a step and one of its positions; up is the node whose thing it holds, or null with the origin known.
+        links = keep(before.select(F.col("at").alias("step"), "position", F.col("key").alias("origin"), F.col("found.at").alias("up")))
+        while not links.filter("up is not null").isEmpty():
+            above = links.select(F.col("step").alias("up"), F.col("position").alias("origin"), F.col("origin").alias("next_origin"), F.col("up").alias("next"))
+            links = keep(links.join(above, ["up", "origin"], "left").select("step", "position", F.coalesce("next_origin", "origin").alias("origin"), F.col("next").alias("up")))
+        return settle(links.groupBy("position").agg(F.max_by("origin", "step").alias("origin")))
+
+
+def _with_free_partners(drawn: DataFrame, seed: int) -> DataFrame:
+    """drawn with __image, for the rows whose image changed: swap rows, in a random order, exchange images with any row of the table."""
+    rows = settle(number(drawn, "__u", "__place"))
+    swaps = rows.filter("__kind = 'swap_image'").select("row_id", F.col("__place").alias("a"), chance("row_id", "__place", seed=seed + 4).alias("__o"))
+    partner = F.floor(chance("row_id", "a", seed=seed + 5) * F.lit(rows.count())).alias("b")
+    moved = exchanged(number(swaps, "__o").select("step", "a", partner))
+    images = rows.select(F.col("__place").alias("origin"), F.col("image_path").alias("__image"))
+    given = moved.join(images, "origin").select(F.col("position").alias("__place"), "__image")
+    return rows.join(given, "__place", "left").drop("__place")
+
+
+def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool = True, partners: str = "paired") -> DataFrame:
     """rows (row_id, title, category, attributes, canonical_text, image_path, noise_label) with noise.
 
     A part `rate` of them, half each way: swap_image rows exchange images in disjoint pairs (an odd one
     out keeps its own but is labelled), mutate_text rows get another colour in attributes and text.
     exact takes the floor(n * rate) rows of lowest hash, found by a quantile of the hashes, so no task
     orders all rows; otherwise each row is taken by its own hash alone. Reruns agree.
+
+    With partners="free" a swap row exchanges its image with any row, itself and clean ones included (those keep
+    their label), one swap after the other; what the exchanges come to is found without making them in turn.
     """
+    if partners not in ("paired", "free"):
+        raise ValueError("partners are paired or free")
     drawn = rows.withColumn("__u", chance("row_id", seed=seed))
     if exact:
         n = rows.count()
@@ -59,14 +98,10 @@ def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool =
     swap = F.col("__noisy") & (chance("row_id", seed=seed + 1) < 0.5)
     drawn = drawn.withColumn("__kind", F.when(swap, "swap_image").when(F.col("__noisy"), "mutate_text").otherwise(F.col("noise_label")))
 
-    # Pairs are made within buckets of the hash, so the pairing spreads over tasks.
-    bucket = F.pmod(F.xxhash64("row_id", F.lit(seed + 2)), F.lit(1024))
-    order = Window.partitionBy("__b").orderBy("__u", "row_id")
-    swaps = drawn.filter("__kind = 'swap_image'").select("row_id", "image_path", "__u", bucket.alias("__b")).withColumn("__n", F.row_number().over(order) - 1)
-    pair = Window.partitionBy("__b", F.expr("__n div 2")).orderBy("__n")
-    other = F.coalesce(F.lead("image_path").over(pair), F.lag("image_path").over(pair), F.col("image_path"))
-    swaps = swaps.select(F.col("row_id").alias("__id"), other.alias("__image"))
-    out = drawn.join(swaps, (F.col("row_id") == F.col("__id")) & (F.col("__kind") == "swap_image"), "left")
+    if partners == "free":
+        out = _with_free_partners(drawn, seed)
+    else:
+        out = _with_paired_partners(drawn, seed)
     mutated = F.col("__kind") == "mutate_text"
     attributes = mutate_color(json_map("attributes"), chance("row_id", seed=seed + 3))
     out = out.withColumn("__attributes", F.when(mutated, attributes))
@@ -79,6 +114,19 @@ def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool =
     return out.select(rows.columns)
 
 
+
+def _with_paired_partners(drawn: DataFrame, seed: int) -> DataFrame:
+    """drawn with __image, for swap rows: that of the other one of their pair."""
+    # Pairs are made within buckets of the hash, so the pairing spreads over tasks.
+    bucket = F.pmod(F.xxhash64("row_id", F.lit(seed + 2)), F.lit(1024))
+    order = Window.partitionBy("__b").orderBy("__u", "row_id")
+    swaps = drawn.filter("__kind = 'swap_image'").select("row_id", "image_path", "__u", bucket.alias("__b")).withColumn("__n", F.row_number().over(order) - 1)
+    pair = Window.partitionBy("__b", F.expr("__n div 2")).orderBy("__n")
+    other = F.coalesce(F.lead("image_path").over(pair), F.lag("image_path").over(pair), F.col("image_path"))
+    swaps = swaps.select(F.col("row_id").alias("__id"), other.alias("__image"))
+    return drawn.join(swaps, (F.col("row_id") == F.col("__id")) & (F.col("__kind") == "swap_image"), "left")
+
+
 def noise_counts(rows: DataFrame) -> DataFrame:
     """One row: rows, and noisy ones."""
     return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("noise_label") != "clean").alias("noisy"))

@@ -215,6 +215,13 @@ SELECT l_suppkey, red, green, blue, name AS img_color FROM d WHERE n = 1""",
     "replicate_rows": "SELECT p_partkey || '_' || k AS row_id, p_name AS title, 'clean' AS noise_label FROM part, (SELECT unnest(range(15)) AS k)",
     "noise_sample": """WITH n AS (SELECT 15 * count(*) AS n, CAST(floor(15 * count(*) * 0.30::DOUBLE) AS BIGINT) AS m FROM part)
 SELECT true AS noisy, m AS n FROM n UNION ALL SELECT false, n - m FROM n""",
+    "noise_free_partners": """WITH RECURSIVE total AS (SELECT count(*) AS n FROM part),
+state AS (
+  SELECT 0 AS k, n, range(n) AS lies FROM total
+  UNION ALL
+  SELECT k + 1, n, list_transform(lies, lambda x, i: CASE WHEN i - 1 = a THEN lies[b + 1] WHEN i - 1 = b THEN lies[a + 1] ELSE x END)
+  FROM (SELECT *, (k * 7919 + 5) % n AS a, (CAST(k AS BIGINT) * k * 31 + k * 104729 + 13) % n AS b FROM state WHERE k < n * 3 // 10))
+SELECT unnest(range(n)) AS p_partkey, unnest(lies) AS origin FROM state WHERE k = n * 3 // 10""",
     "noise_invariants": """SELECT 15 * count(*) AS rows, CAST(floor(15 * count(*) * 0.30::DOUBLE) AS BIGINT) AS noisy, CAST(0 AS BIGINT) AS colors_kept,
 CAST(0 AS BIGINT) AS texts_wrong, CAST(0 AS BIGINT) AS others_touched, CAST(0 AS BIGINT) AS images_lost FROM part""",
     "diagnose_catalog": f"{_CATALOG_REPORTS} SELECT * FROM reports",

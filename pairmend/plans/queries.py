@@ -220,6 +220,15 @@ def noise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.add_noise(settle(simulate.replicate(plain_catalog(spark, sf_dir), 15)))
 
 
+def noise_free_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose image each part has after three of ten parts exchanged theirs with any other, in turn."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    n, k = parts.count(), F.col("p_partkey")
+    swaps = parts.filter(k < n * 3 // 10).select(k.alias("step"), ((k * 7919 + 5) % n).alias("a"), ((k * k * 31 + k * 104729 + 13) % n).alias("b"))
+    moved = simulate.exchanged(swaps)
+    return parts.join(moved, k == F.col("position"), "left").select("p_partkey", F.coalesce("origin", k).alias("origin"))
+
+
 def noise_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for noisy rows whatever is drawn: no image lost or doubled, no colour kept, no clean row touched."""
     rows = settle(simulate.replicate(plain_catalog(spark, sf_dir), 15))
@@ -334,7 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         pair_cosine, sieve_iqr, sieve_quantile, sieve_global_iqr, sieve_global_fallback, sieve_flags, flag_reason_counts, threshold_table, embedding_export,
         retrieve_top1, retrieve_every_image, diagnose_reports, arbiter_queue, arbiter_plan, plan_cost_by_action, repair_images_sequential, repair_images_snapshot, repair_log_status,
         text_patch_apply, canonical_text_of_part, json_attributes, missing_flags, build_counters, build_downloads, image_source_resolution, image_listing_join, text_color,
-        nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, noise_invariants, diagnose_catalog, queue_fixes, arbiter_actions,
+        nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, noise_free_partners, noise_invariants, diagnose_catalog, queue_fixes, arbiter_actions,
         repair_status_counts, repair_changing_paths_log, repair_changing_paths_rows, dedup_last_wins,
     )
     return {f.__name__: f for f in own}

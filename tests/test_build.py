@@ -47,6 +47,31 @@ def test_noise(spark):
     assert simulate.replicate(rows, 0).count() == 0
 
 
+def test_exchanges_come_to_what_making_them_in_turn_does(spark):
+    import random
+
+    rng, lies = random.Random(3), {k: k for k in range(40)}
+    swaps = [(t, rng.choice([0, rng.randrange(40)]), rng.randrange(40)) for t in range(300)]  # position 0 is in every other one
+    for _, a, b in swaps:
+        lies[a], lies[b] = lies[b], lies[a]
+    got = simulate.exchanged(spark.createDataFrame(swaps, "step long, a long, b long")).collect()
+    assert {r["position"]: r["origin"] for r in got} == {k: lies[k] for k in {x for _, a, b in swaps if a != b for x in (a, b)}}
+    assert simulate.exchanged(spark.createDataFrame([(1, 2, 2)], "step long, a long, b long")).collect() == []
+
+
+def test_noise_with_free_partners(spark):
+    rows = spark.createDataFrame([(str(i), f"t{i}", "c", '{"color": "red"}', "old", f"{i}.png") for i in range(60)], "row_id string, title string, category string, attributes string, canonical_text string, image_path string")
+    many = simulate.replicate(rows, 5)
+    noisy = simulate.add_noise(many, partners="free").cache()
+    before = {r["row_id"]: r["image_path"] for r in many.collect()}
+    got = noisy.collect()
+    assert len(got) == 300 and sorted(r["image_path"] for r in got) == sorted(before.values())
+    assert sum(r["noise_label"] != "clean" for r in got) == 90
+    touched = [r for r in got if r["image_path"] != before[r["row_id"]]]
+    assert {"clean", "swap_image"} <= {r["noise_label"] for r in touched}
+    assert simulate.add_noise(many, partners="free").exceptAll(noisy).isEmpty()
+
+
 def png(color, side=70):
     raw = b"".join(b"\0" + bytes(color) * side for _ in range(side))
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
