@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 BASIC_COLORS = ("black", "white", "gray", "red", "green", "blue", "yellow", "orange", "pink", "purple", "brown")
 
 ATTRIBUTES = "map<string,string>"
+TYPED = "map<string,variant>"
 
 
 def strip(c: Column | str) -> Column:
@@ -29,6 +30,11 @@ def json_map(c: Column | str) -> Column:
     return F.coalesce(once(F.from_json(strip(c), ATTRIBUTES), lambda m: _merged(m, m)), empty_map())
 
 
+def json_values(c: Column | str) -> Column:
+    """The same with each value as it is in JSON: numbers, booleans, nulls, lists and objects, whose own keys are in order of name."""
+    return F.coalesce(once(F.from_json(strip(c), TYPED), lambda m: _merged(m, m)), F.from_json(F.lit("{}"), TYPED))
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), where the value is computed once however often use() names it."""
     return F.transform(F.array(value), use)[0]

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmend.functions.text import canonical_text, clean, dump, is_text_missing, json_map
+from pairmend.functions.text import canonical_text, clean, dump, is_text_missing, json_map, json_values
 from pairmend.schema import ensure_columns
 
 RAW_COLUMNS = ("row_id", "title", "category", "attributes_json", "image_path", "image_url")
 
 
 def normalize(raw: DataFrame) -> DataFrame:
-    """raw's six columns, absent ones added, stripped, never null; attributes as a map; extra columns go."""
+    """raw's six columns, absent ones added, stripped, never null, and attributes as a map; extra columns go."""
     rows = ensure_columns(raw, dict.fromkeys(RAW_COLUMNS, ""))
-    text = [clean(c).alias(c) for c in RAW_COLUMNS if c != "attributes_json"]
+    text = [clean(c).alias(c) for c in RAW_COLUMNS]
     return rows.select(*text, json_map(F.col("attributes_json").cast("string")).alias("attributes"))
 
 
@@ -41,7 +41,7 @@ def build(raw: DataFrame, images: DataFrame | None = None, images_dir: str = "da
         "row_id",
         "title",
         "category",
-        dump(F.col("attributes")).alias("attributes"),
+        dump(json_values("attributes_json")).alias("attributes"),
         canonical_text(F.col("title"), F.col("category"), F.col("attributes")).alias("canonical_text"),
         F.when(there, F.concat(F.lit(images_dir.rstrip("/") + "/"), "row_id", F.lit(".jpg"))).otherwise("").alias("image_path"),
         (~there).alias("is_image_missing"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmend.functions.text import canonical_text, dump, json_map, merge
+from pairmend.functions.text import canonical_text, dump, json_map, json_values, merge
 from pairmend.operators.arbitrate import candidate, text_patch
 from pairmend.operators.asof import last_before
 from pairmend.operators.diagnose import last_of_each
@@ -160,7 +160,7 @@ def log_of(rows: DataFrame, plan: DataFrame, existing: DataFrame | None = None,
     known = settle(_known(rows, existing))
     steps = plan.select(
         "step", F.coalesce(F.trim(F.col("row_id").cast("string")), F.lit("")).alias("row_id"), F.coalesce(F.trim("action"), F.lit("")).alias("action"),
-        candidate("proposed_fix").alias("cand"), text_patch("proposed_fix").alias("patch"), F.coalesce("notes", F.lit("")).alias("notes"),
+        candidate("proposed_fix").alias("cand"), text_patch("proposed_fix").alias("patch"), F.get_json_object("proposed_fix", "$.text_patch").alias("patch_json"), F.coalesce("notes", F.lit("")).alias("notes"),
     )
     steps = steps.join(known.select(F.col("id").alias("row_id"), F.lit(True).alias("found")), "row_id", "left")
     steps = settle(steps.join(known.select(F.col("id").alias("cand"), F.col("path").alias("cand_path"), "there"), "cand", "left"))
@@ -205,18 +205,20 @@ def _text_fold(columns: list[str]) -> Column:
     sub = lambda m: F.map_filter(m, lambda k, v: F.startswith(k, F.lit("attributes.")))
     other = lambda m: F.map_filter(m, lambda k, v: k.isin([c for c in columns if c not in keys]))
 
-    def step(a: Column, p: Column) -> Column:
+    own = lambda m: F.map_from_entries(F.transform(F.map_entries(sub(m)), lambda e: F.struct(F.substring(e["key"], 12, 1 << 30).alias("key"), e["value"].alias("value"))))
+
+    def step(a: Column, patch: Column) -> Column:
+        p = patch["p"]
         title = F.when(F.map_contains_key(p, "title"), F.coalesce(p["title"], F.lit("None"))).otherwise(a["title"])
-        inner = F.map_from_entries(F.transform(F.map_entries(sub(p)), lambda e: F.struct(F.substring(e["key"], 12, 1 << 30).alias("key"), e["value"].alias("value"))))
-        attributes = merge(a["attributes"], inner)
+        attributes = merge(a["attributes"], own(p))
         return F.struct(
-            title.alias("title"), F.coalesce(p["category"], a["category"]).alias("category"), attributes.alias("attributes"),
+            title.alias("title"), F.coalesce(p["category"], a["category"]).alias("category"), attributes.alias("attributes"), merge(a["typed"], own(json_values(patch["json"]))).alias("typed"),
             canonical_text(title, a["category"], attributes).alias("canonical"), merge(a["other"], other(p)).alias("other"),
         )
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     start = F.struct(
-        text("title").alias("title"), text("category").alias("category"), json_map("attributes").alias("attributes"),
+        text("title").alias("title"), text("category").alias("category"), json_map("attributes").alias("attributes"), json_values("attributes").alias("typed"),
         text("canonical_text").alias("canonical"), json_map(F.lit("{}")).alias("other"),
     )
     return F.aggregate("__patches", start, step)
@@ -237,18 +239,18 @@ def apply(rows: DataFrame, steps: DataFrame, images_dir: str = IMAGES, recompute
         F.max_by(sourced, F.when(sourced.isNotNull(), F.col("step"))).alias("__source"),
         F.max_by(F.struct("source", "source_path", "step"), F.when(is_image, F.col("step"))).alias("__image"),
         F.max(F.when(is_text & F.map_contains_key("patch", "image_path"), F.col("step"))).alias("__pathed"),
-        F.transform(F.array_sort(F.collect_list(F.when(is_text, F.struct("step", F.map_entries("patch").alias("p"))))), lambda s: F.map_from_entries(s["p"])).alias("__patches"),
+        F.transform(F.array_sort(F.collect_list(F.when(is_text, F.struct("step", F.map_entries("patch").alias("p"), "patch_json")))), lambda s: F.struct(F.map_from_entries(s["p"]).alias("p"), s["patch_json"].alias("json"))).alias("__patches"),
     )
     latest = F.row_number().over(Window.partitionBy("row_id").orderBy(F.col("__pos").desc())) == 1
     out = with_metadata(rows).withColumn("__latest", latest)
     out = out.join(of, (F.col("row_id").cast("string") == F.col("__id")) & F.col("__latest"), "left")
     names = [c for c, kind in rows.dtypes if c != "__pos" and not kind.startswith(("array", "map", "struct", "binary"))]  # what text can set
-    patched = F.size(F.coalesce("__patches", F.array().cast("array<map<string,string>>"))) > 0
+    patched = F.size(F.coalesce("__patches", F.array().cast("array<struct<p:map<string,string>,json:string>>"))) > 0
     out = out.withColumn("__t", F.when(patched, _text_fold(names)))
     new = {c: F.coalesce(F.col("__t.other")[c].cast(rows.schema[c].dataType), F.col(c)) for c in names if c not in ("row_id", "title", "attributes", "canonical_text")}
     new |= {
         "title": F.when(patched, F.col("__t.title")).otherwise(F.col("title")),
-        "attributes": F.when(patched, dump(F.col("__t.attributes"))).otherwise(F.col("attributes")),
+        "attributes": F.when(patched, dump(F.col("__t.typed"))).otherwise(F.col("attributes")),
         "canonical_text": F.when(patched, F.col("__t.canonical")).otherwise(F.col("canonical_text")),
         "image_path": F.when(F.col("__image.step") > F.coalesce("__pathed", F.lit(-1)), _target(F.col("row_id").cast("string"), images_dir)).otherwise(new["image_path"]),
         "repaired": F.coalesce("__last.repaired", "repaired"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairmend.functions.text import canonical_text, dump, json_map, merge
+from pairmend.functions.text import TYPED, canonical_text, dump, json_map, json_values, merge
 from pairmend.operators.arbitrate import number
 from pairmend.operators.asof import last_before
 from pairmend.sources.shared import kept, settle
@@ -25,13 +25,12 @@ def chance(*keys: Column | str, seed: int) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def mutate_color(attributes: Column, pick: Column) -> Column:
-    """Attributes with another colour of the palette; pick, in [0, 1), decides which."""
+def other_color(attributes: Column, pick: Column) -> Column:
+    """Another colour of the palette than the attributes'; pick, in [0, 1), decides which."""
     palette = F.array(*map(F.lit, NOISE_COLORS))
     own = F.coalesce(attributes["color"], F.lit(""))
     other = F.array_except(palette, F.array(own))
-    new = F.element_at(other, (F.floor(pick * F.size(other)) + 1).cast("int"))
-    return merge(attributes, F.create_map(F.lit("color"), new))
+    return F.element_at(other, (F.floor(pick * F.size(other)) + 1).cast("int"))
 
 
 def exchanged(swaps: DataFrame) -> DataFrame:
@@ -103,11 +102,12 @@ def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool =
     else:
         out = _with_paired_partners(drawn, seed)
     mutated = F.col("__kind") == "mutate_text"
-    attributes = mutate_color(json_map("attributes"), chance("row_id", seed=seed + 3))
-    out = out.withColumn("__attributes", F.when(mutated, attributes))
+    color = F.create_map(F.lit("color"), other_color(json_map("attributes"), chance("row_id", seed=seed + 3)))
+    out = out.withColumn("__attributes", F.when(mutated, merge(json_map("attributes"), color)))
+    out = out.withColumn("__typed", F.when(mutated, dump(merge(json_values("attributes"), F.from_json(F.to_json(color), TYPED)))))
     out = out.withColumns({
         "image_path": F.coalesce("__image", "image_path"),
-        "attributes": F.when(mutated, dump(F.col("__attributes"))).otherwise(F.col("attributes")),
+        "attributes": F.when(mutated, F.col("__typed")).otherwise(F.col("attributes")),
         "canonical_text": F.when(mutated, canonical_text(F.col("title"), F.col("category"), F.col("__attributes"))).otherwise(F.col("canonical_text")),
         "noise_label": F.col("__kind"),
     })

@@ -189,6 +189,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS row_id, CASE WHEN hit THEN 'patched' ELSE p
 CASE WHEN hit THEN 'patched. Category: NEW' || a || ', color=blue, a.b=1.' ELSE p_name || '. Category: ' || p_type || a || CASE WHEN p_partkey % 4 = 0 THEN ', color=red' ELSE '' END || '.' END AS canonical_text,
 hit AS repaired, CASE WHEN hit THEN 'apply_text_patch' ELSE '' END AS repair_action, CASE WHEN hit THEN 'p' ELSE '' END AS repair_notes FROM p""",
     "canonical_text_of_part": f"""WITH {_CATALOG} SELECT row_id, title || '. Category: ' || category || '. Attributes: ' || CASE WHEN good THEN 'brand=' || p_brand || ', size=' || p_size ELSE '' END || '.' AS canonical_text FROM catalog""",
+    "typed_attributes": f"""WITH {_CATALOG} SELECT row_id, CASE WHEN good THEN '{{"brand":"' || p_brand || '","size":' || p_size || '}}' ELSE '{{}}' END AS attributes FROM catalog""",
     "json_attributes": "SELECT event_id, event_type || '. Category: event. Attributes: k=' || json_extract_string(props, '$.k') || '.' AS canonical_text FROM events",
     "missing_flags": f"""WITH {_CATALOG} SELECT row_id, title, CASE source WHEN 'none' THEN '' ELSE 'data/processed/images/' || row_id || '.jpg' END AS image_path,
 source = 'none' AS is_image_missing, title = '' AND NOT good AS is_text_missing FROM catalog""",

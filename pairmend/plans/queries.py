@@ -161,6 +161,10 @@ def canonical_text_of_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.build(catalog(spark, sf_dir)).select("row_id", "canonical_text")
 
 
+def typed_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.build(catalog(spark, sf_dir)).select("row_id", "attributes")
+
+
 def json_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select("event_id", canonical_text(F.col("event_type"), F.lit("event"), json_map("props")).alias("canonical_text"))
@@ -342,7 +346,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         pair_cosine, sieve_iqr, sieve_quantile, sieve_global_iqr, sieve_global_fallback, sieve_flags, flag_reason_counts, threshold_table, embedding_export,
         retrieve_top1, retrieve_every_image, diagnose_reports, arbiter_queue, arbiter_plan, plan_cost_by_action, repair_images_sequential, repair_images_snapshot, repair_log_status,
-        text_patch_apply, canonical_text_of_part, json_attributes, missing_flags, build_counters, build_downloads, image_source_resolution, image_listing_join, text_color,
+        text_patch_apply, canonical_text_of_part, typed_attributes, json_attributes, missing_flags, build_counters, build_downloads, image_source_resolution, image_listing_join, text_color,
         nearest_color_of_part, dominant_pixel_colors, replicate_rows, noise_sample, noise_rows, noise_free_partners, noise_invariants, diagnose_catalog, queue_fixes, arbiter_actions,
         repair_status_counts, repair_changing_paths_log, repair_changing_paths_rows, dedup_last_wins,
     )

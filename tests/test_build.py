@@ -16,7 +16,7 @@ def test_build(spark):
     listed = spark.createDataFrame([("001", True), ("2", False), ("3", True)], "row_id string, ok boolean")
     got = {r["row_id"]: r for r in build.build(spark.createDataFrame(raw, RAW), listed).collect()}
     a = got["001"]
-    assert (a["title"], a["attributes"], a["image_path"], a["is_image_missing"], a["is_text_missing"]) == ("Red shoe", '{"size":"3"}', "data/processed/images/001.jpg", False, False)
+    assert (a["title"], a["attributes"], a["image_path"], a["is_image_missing"], a["is_text_missing"]) == ("Red shoe", '{"size":3}', "data/processed/images/001.jpg", False, False)
     assert a["canonical_text"] == "Red shoe. Category: c. Attributes: size=3." and a["source_image_path"] == "a.png"
     assert got["2"]["is_image_missing"] and got["2"]["image_path"] == "" and got["2"]["is_text_missing"]
     assert got["3"]["is_image_missing"] and got["4"]["is_image_missing"] and not got["4"]["is_text_missing"]
@@ -72,6 +72,17 @@ def test_noise_with_free_partners(spark):
     assert simulate.add_noise(many, partners="free").exceptAll(noisy).isEmpty()
 
 
+def test_attributes_keep_their_types(spark):
+    given = '{"b": true, "size": 3, "part": 2.5, "none": null, "list": [1, "x"], "in": {"k": 1}, "text": "3", "size": 4}'
+    rows = build.build(spark.createDataFrame([("1", "t", "c", given)], "row_id string, title string, category string, attributes_json string"))
+    one = rows.first()
+    assert one["attributes"] == '{"b":true,"size":4,"part":2.5,"none":null,"list":[1,"x"],"in":{"k":1},"text":"3"}'
+    assert one["canonical_text"] == 't. Category: c. Attributes: b=true, size=4, part=2.5, none=None, list=[1,"x"], in={"k":1}, text=3.'
+    noisy = simulate.add_noise(simulate.replicate(rows, 4), rate=1.0)
+    mutated = noisy.filter("noise_label = 'mutate_text'").collect()
+    assert mutated and all(r["attributes"].startswith(one["attributes"][:-1] + ',"color":"') for r in mutated)
+
+
 def png(color, side=70):
     raw = b"".join(b"\0" + bytes(color) * side for _ in range(side))
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))

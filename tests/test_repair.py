@@ -128,13 +128,22 @@ def test_text_patches(spark):
     got = {r["row_id"]: r for r in repair.repair(rows, plan)[0].collect()}
     a = got["A"]
     assert (a["title"], a["category"], a["repaired"], a["repair_notes"], a["repair_source_row_id"]) == ("X", "NEW", True, "n1", "")
-    assert json.loads(a["attributes"]) == {"color": "blue", "z": "1", "a.b": "1"} and list(json.loads(a["attributes"])) == ["color", "z", "a.b"]
+    assert json.loads(a["attributes"]) == {"color": "blue", "z": 1, "a.b": "1"} and list(json.loads(a["attributes"])) == ["color", "z", "a.b"]
     assert a["canonical_text"] == "X. Category: NEW. Attributes: color=blue, z=1, a.b=1."
     first = repair.repair(rows, plan.filter("step = 0"))[0].filter("row_id = 'A'").first()
     assert first["category"] == "NEW" and first["canonical_text"].startswith("T. Category: C.")
     assert got["B"]["canonical_text"] == "old" and got["B"]["repaired"] is False
 
 
+def test_patched_attributes_keep_their_types(spark):
+    fix = json.dumps({"text_patch": {"attributes.n": 5, "attributes.ok": False, "attributes.none": None, "title": 7}})
+    plan = spark.createDataFrame([(0, "A", "apply_text_patch", fix, "n")], PLAN)
+    rows = spark.createDataFrame([("A", "T", "C", '{"z": 1.5, "n": "x"}', "old", "p")], ROW)
+    a = repair.repair(rows, plan)[0].first()
+    assert a["attributes"] == '{"z":1.5,"n":5,"ok":false,"none":null}' and a["title"] == "7"
+    assert a["canonical_text"] == "7. Category: C. Attributes: z=1.5, n=5, ok=false, none=None."
+
+
 def test_log_reasons_and_reviews(spark):
     steps = [("?", "human_review", "{}"), ("A", "apply_text_patch", "{}"), ("A", "apply_text_patch", '{"text_patch": 3}'), ("A", "what", "{}"), ("A", "replace_image_from_row", swap("gone")), ("A", "replace_image_from_row", swap("B")), ("A", "replace_image_from_row", swap("C")), ("A", "apply_text_patch", patch(title="x")), ("A", "human_review", "{}")]
     plan = spark.createDataFrame([(k, *s, "n") for k, s in enumerate(steps)], PLAN)
