@@ -58,12 +58,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         if name == "simulate":
             stage.add_argument("--copies-per-row", type=int, default=15)
             stage.add_argument("--noise-rate", type=float, default=0.30)
+            stage.add_argument("--partners", choices=("paired", "free"), default="free", help="whom a row swaps its image with: the other of a pair, or any row")
             stage.add_argument("--seed", type=int, default=7)
         if name == "repair":
             stage.add_argument("--semantics", choices=("sequential", "snapshot"), default="sequential")
     a = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("pairmend").getOrCreate()
-    settings = config.load(a.config) if getattr(a, "config", None) else (config.BuildConfig(), config.SieveConfig())
+    settings = config.load(a.config, strict=a.stage == "sieve") if getattr(a, "config", None) else (config.BuildConfig(), config.SieveConfig())
     if a.stage == "build":
         raw = files.read_raw(spark, a.raw)
         images = a.images and images_of(spark, build.normalize(raw), a.images)
@@ -72,9 +73,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         files.write_parquet(build.build(raw, images or None, f"{settings[0].processed_dir}/images"), a.out)
         for told in (build.counters, build.downloads):
             told(spark.read.parquet(a.out)).show()
+        spark.read.parquet(a.out).show(1, truncate=False, vertical=True)
     elif a.stage == "simulate":
-        noisy = simulate.add_noise(simulate.replicate(spark.read.parquet(a.rows), a.copies_per_row), a.noise_rate, a.seed)
+        noisy = simulate.add_noise(simulate.replicate(spark.read.parquet(a.rows), a.copies_per_row), a.noise_rate, a.seed, partners=a.partners)
         files.write_parquet(noisy, a.out)
+        made = spark.read.parquet(a.out)
+        simulate.noise_counts(made).show()
+        made.select("row_id", "category", "noise_label", "image_path").show(5, truncate=False)
     elif a.stage == "sieve":
         rows = spark.read.parquet(a.rows)
         if a.embeddings:
@@ -86,6 +91,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         flat = spark.read.parquet(files.artifact("embeddings", a.out, a.rows)).drop("text_emb", "image_emb")
         files.write_csv(flat, files.artifact("sieve", a.out, a.rows))
         files.write_csv(flat.filter("flagged"), files.artifact("flagged", a.out, a.rows))
+        flat.groupBy("flag_reason").count().orderBy("flag_reason").show()
+        flat.select("row_id", "category", "sim_score", "sieve_threshold", "threshold_source", "flagged", "flag_reason").show(20, truncate=False)
     elif a.stage == "diagnose":
         sieved = spark.read.parquet(a.sieved)
         found = diagnose.evidence(sieved, a.embeddings and spark.read.parquet(a.embeddings) or None, a.position)
@@ -95,6 +102,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         reports = diagnose.diagnose(found)
         files.write_jsonl(reports, files.artifact("reports", a.out, a.sieved))
         files.write_csv(diagnose.queue(reports), files.artifact("queue", a.out, a.sieved))
+        queued = files.read_queue(spark, files.artifact("queue", a.out, a.sieved))
+        print(f"Flagged rows analyzed: {queued.count()}")
+        queued.show(10, truncate=False)
     elif a.stage == "arbitrate":
         files.write_csv(arbitrate.arbitrate(files.read_queue(spark, a.queue)), a.out)
         files.read_plan(spark, a.out).orderBy("step").show(20)

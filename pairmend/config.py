@@ -25,13 +25,36 @@ class SieveConfig:
     global_threshold_method: str = "quantile"
     global_quantile_q: float = 0.10
     batch_size: int = 16
+    device: str = "cpu"
 
 
-def load(path: str | Path) -> tuple[BuildConfig, SieveConfig]:
-    """The sections data and sieve of a YAML file; unknown keys are left alone, absent ones take the defaults."""
+#: What the sieve can't do without, by section.
+MANDATORY = {"data": ("processed_dir", "outputs_dir", "cache_dir"), "models": ("clip_model_name",)}
+
+
+def _read(path: str | Path) -> dict:
     import yaml
 
-    given = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    return yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+
+
+def missing(path: str | Path) -> list[str]:
+    """Mandatory keys that a YAML file lacks, as section.key."""
+    given = _read(path)
+    return [f"{section}.{key}" for section, keys in MANDATORY.items() for key in keys if (given.get(section) or {}).get(key) is None]
+
+
+def model_name(path: str | Path) -> str | None:
+    """The model that a YAML file names, for whoever makes it (see sources.embedding)."""
+    return (_read(path).get("models") or {}).get("clip_model_name")
+
+
+def load(path: str | Path, strict: bool = False) -> tuple[BuildConfig, SieveConfig]:
+    """The sections data and sieve of a YAML file; unknown keys are left alone, absent ones take the defaults, or with
+    strict are an error where they are mandatory."""
+    given = _read(path)
+    if strict and (gone := missing(path)):
+        raise ValueError(f"{path} lacks {', '.join(gone)}")
 
     def section(kind, name):
         own = given.get(name) or {}

@@ -1,6 +1,8 @@
 import struct
 import zlib
 
+import pytest
+
 from pairmend import config
 from pairmend.__main__ import main
 from pairmend.operators import build, simulate
@@ -141,6 +143,22 @@ def test_config(tmp_path):
     assert data.raw_csv == "r.csv" and data.processed_dir == "data/processed" and sieve.iqr_k == 2.0 and sieve.min_category_samples == 8
 
 
+def test_mandatory_settings(tmp_path):
+    (tmp_path / "c.yaml").write_text("data:\n  processed_dir: p\nmodels:\n  clip_model_name: m\nsieve:\n  device: gpu\n")
+    assert config.missing(tmp_path / "c.yaml") == ["data.outputs_dir", "data.cache_dir"] and config.model_name(tmp_path / "c.yaml") == "m"
+    assert config.load(tmp_path / "c.yaml")[1].device == "gpu"
+    with pytest.raises(ValueError, match="data.cache_dir"):
+        config.load(tmp_path / "c.yaml", strict=True)
+
+
+def test_stages_tell_what_they_made(spark, tmp_path, capfd):
+    (tmp_path / "raw.csv").write_text("row_id,title,category,attributes_json,image_path\n" + "".join(f'{i},t{i},c,{{}},{i}.png\n' for i in range(10)))
+    main(["build", str(tmp_path / "raw.csv"), str(tmp_path / "rows.parquet")], spark)
+    main(["simulate", str(tmp_path / "rows.parquet"), str(tmp_path / "toy.parquet"), "--copies-per-row", "3"], spark)
+    said = capfd.readouterr().out
+    assert "normalized_images" in said and "RECORD 0" in said and "noise_label" in said and "30" in said
+
+
 def test_stages_from_files(spark, tmp_path):
     (tmp_path / "raw.csv").write_text("row_id,title,category,attributes_json,image_path\n" + "".join(f'{i},t{i},c,"{{""k"": {i}}}",{i}.png\n' for i in range(20)))
     main(["build", str(tmp_path / "raw.csv"), str(tmp_path / "rows.parquet")], spark)
