@@ -46,8 +46,8 @@ class _Bundle:
         for i, j in K.slices(self.at):
             part = self.data[self.at[i] : self.at[j]]
             starts, ends, words_at = K.word_bounds(part, self.at[i : j + 1] - self.at[i])
-            words.append(K.word_hashes(part, starts, ends))
-            second.append(K.word_hashes(part, starts, ends, lane=1))
+            for into, hashes in zip((words, second), K.word_lanes(part, starts, ends), strict=True):
+                into.append(hashes)
             self.starts.append(starts + self.at[i])
             self.ends.append(ends + self.at[i])
             first.append(words_at[1:] + total)

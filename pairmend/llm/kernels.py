@@ -24,6 +24,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD], np.uint64)
+#: Words of more bytes than this are digested each by itself.
+LONG_WORD = 64
 #: Masks that keep the first 0 .. 8 bytes of a little-endian number.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -89,22 +91,49 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     bytes, once for each that differs, so that nobody can write words that collide (a state that eight known bytes can
     be cancelled from would let them).
     """
+    return word_lanes(data, starts, ends, lower, (lane,))[0]
+
+
+def word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lanes: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
+    """word_hashes() of several lanes, with the long words' digests taken once."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in lanes]
     data = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
     size = ends - starts
     eights = np.lib.stride_tricks.as_strided(data.view(np.uint8), (len(data) - 7, 8), (1, 1))
-    out = mix(size.astype(np.uint64) * _ODD[lane] + _ODD[2 + lane])
     part = eights[starts].view("<u8").ravel() & _FIRST[np.minimum(size, 8)]
-    out = mix((out ^ part) * _ODD[lane] + _ODD[2 + lane])
-    seen: dict[bytes, int] = {}
-    raw = data.tobytes()
     long = np.flatnonzero(size > 8)
-    for k, i, j in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
-        word = raw[i:j]
-        if (h := seen.get(word)) is None:
-            h = seen[word] = int.from_bytes(hashlib.blake2b(word, digest_size=16).digest()[8 * lane : 8 * lane + 8], "little")
-        out[k] = h
+    digests = _digests(data, eights, starts[long], size[long])
+    out = []
+    for lane in lanes:
+        h = mix((mix(size.astype(np.uint64) * _ODD[lane] + _ODD[2 + lane]) ^ part) * _ODD[lane] + _ODD[2 + lane])
+        h[long] = digests[:, lane]
+        out.append(h)
+    return out
+
+
+def _digests(data: np.ndarray, eights: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers of a digest of each word: taken of one word of each kind, by a quick hash whose equals are compared byte by byte."""
+    state, live, at = size.astype(np.uint64), np.arange(len(starts)), 0
+    while len(live):
+        block = eights[starts[live] + at].view("<u8").ravel() & _FIRST[np.minimum(size[live] - at, 8)]
+        state[live] = mix((state[live] ^ block) * _ODD[0] + _ODD[2])
+        at += 8
+        live = live[(size[live] > at) & (size[live] <= LONG_WORD)]
+    _, first, kind = np.unique(state, return_index=True, return_inverse=True)
+    like = first[kind]
+    alone = (size != size[like]) | (size > LONG_WORD)
+    live, at = np.flatnonzero(~alone & (like != np.arange(len(like)))), 0
+    while len(live):
+        keep = _FIRST[np.minimum(size[live] - at, 8)]
+        alone[live] |= (eights[starts[live] + at].view("<u8").ravel() & keep) != (eights[starts[like[live]] + at].view("<u8").ravel() & keep)
+        at += 8
+        live = live[size[live] > at]
+    raw = data.tobytes()
+    one = lambda k: hashlib.blake2b(raw[starts[k] : starts[k] + size[k]], digest_size=16).digest()
+    out = np.frombuffer(b"".join(map(one, first.tolist())), "<u8").reshape(-1, 2)[kind]
+    for k in np.flatnonzero(alone).tolist():
+        out[k] = np.frombuffer(one(k), "<u8")
     return out
 
 

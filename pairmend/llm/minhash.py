@@ -51,7 +51,7 @@ def _bounds(shingles: int):
             for i, j in K.slices(at):
                 part = data[at[i] : at[j]]
                 starts, ends, words_at = K.word_bounds(part, at[i : j + 1] - at[i])
-                words = [K.word_hashes(part, starts, ends, lower=True, lane=k) for k in (0, 1)]
+                words = K.word_lanes(part, starts, ends, lower=True)
                 yield _sign(about.slice(i, j - i), words, words_at, shingles)
 
     return run
