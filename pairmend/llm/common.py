@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmend.sources.shared import delete, set_shared_folder, settle  # noqa: F401  delete and settle are for this package's operators
+from pairmend.sources.shared import delete, kept, set_shared_folder, settle  # noqa: F401  delete, kept and settle are for this package's operators
 
 #: A word is a maximal run of bytes other than space and tab..carriage return.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmend.llm.common import settle, small
+from pairmend.llm.common import kept, settle, small
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,23 +21,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     are harmless; rows with a null end are ignored; no edges give no rows.
     """
     ends = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    now = _packed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = small(settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lower = small(settle(large.groupBy("u").agg(F.min("v").alias("m"))))
-        met = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _packed(met.union(lower.select("u", F.col("m").alias("v"))).distinct())
-        if _flat(now):
-            break
-    roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots)
-
-
-def _packed(edges: DataFrame, rows: int = 200_000) -> DataFrame:
+    with kept(edges.sparkSession) as keep:
+        now = _packed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), keep)
+        while True:
+            both = now.union(now.select("v", "u"))
+            least = small(keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+            large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            lower = small(keep(large.groupBy("u").agg(F.min("v").alias("m"))))
+            met = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            now = _packed(met.union(lower.select("u", F.col("m").alias("v"))).distinct(), keep)
+            if _flat(now):
+                break
+        roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
+        return settle(now.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots))
+
+
+def _packed(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rows: int = 200_000) -> DataFrame:
     """The edges, computed, in partitions of about as many rows."""
-    done = settle(edges)
+    done = keep(edges)
     return done.coalesce(1 + done.count() // rows)
 
 
