@@ -88,3 +88,33 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     query.awaitTermination()
     got = {r["row_id"]: r["flag_reason"] for r in spark.table("flags").collect()}
     assert len(got) == 22 and got["low"] == "low_similarity" and got["x"] == "missing_text" and got["3"] == "ok"
+
+
+def test_thresholds_keep_up_with_a_stream(spark, tmp_path):
+    """After each batch within the stated rank error of all scores so far, one category being hot; a restarted query goes on."""
+    import numpy as np
+
+    from pairmend.config import SieveConfig
+    from pairmend.streaming import thresholds as T
+
+    rng, every = np.random.default_rng(1), []
+    for part in range(3):
+        rows = [(str(k), "hot" if rng.random() < 0.8 else rng.choice(["a", "b"]), float(rng.normal()), False, False) for k in range(3000)]
+        rows += [("x", "few", 0.5, False, False), ("y", None, float(part), False, False), ("z", "a", None, False, False)]
+        every += rows
+        scored(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(scored(spark, []).schema).parquet(str(tmp_path / "in"))
+        query = T.keeping_up(stream, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()  # started again for each part
+        query.awaitTermination()
+        made = T.latest(spark, str(tmp_path / "out"))
+        counts = {(r["category"], r["overall"]): r["n"] for r in made.collect()}
+        assert counts[(None, True)] == sum(r[2] is not None for r in every) and counts[("few", False)] == part + 1
+        own, overall = T.thresholds(made, SieveConfig(threshold_method="quantile"))
+        got = {r["category"]: r for r in own.collect()}
+        for c in ("hot", "a", "b"):
+            values = np.sort([r[2] for r in every if r[1] == c and r[2] is not None])
+            assert abs(np.searchsorted(values, got[c]["sieve_threshold"]) / len(values) - 0.05) < 0.01
+        assert got["few"]["threshold_source"] == "global" and got["few"]["sieve_threshold"] == overall.first()["global_threshold"]
+    exact = {r["category"]: r["sieve_threshold"] for r in S.category_thresholds(scored(spark, every)).collect()}
+    close = {r["category"]: r["sieve_threshold"] for r in T.thresholds(made)[0].collect()}
+    assert set(exact) == set(close) and all(abs(exact[c] - close[c]) < 0.1 for c in ("hot", "a", "b"))
