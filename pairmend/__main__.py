@@ -45,8 +45,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             stage.add_argument("--config", default=None)
         if name in ("build", "diagnose"):
             stage.add_argument("--images", default=None, help="the folder that image paths are relative to; without it every named image counts as there")
-        if name in ("build", "sieve", "repair"):
-            stage.add_argument("--root", default=None, help="where rows' image paths start from; build puts images there, sieve reads them, repair lists and copies them")
+        if name in ("build", "sieve", "diagnose", "repair"):
+            stage.add_argument("--root", default=None, help="where rows' image paths start from; build puts images there, sieve and diagnose read them, repair lists and copies them")
         if name == "build":
             stage.add_argument("--fetch", action="store_true", help="fetch the images of rows that name a URL and no file; needs --root")
         if name == "sieve":
@@ -96,8 +96,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.stage == "diagnose":
         sieved = spark.read.parquet(a.sieved)
         found = diagnose.evidence(sieved, a.embeddings and spark.read.parquet(a.embeddings) or None, a.position)
-        if a.images:
-            seen = images_of(spark, found, a.images, "source_image_path" if "source_image_path" in found.columns else "image_path")
+        if a.images or a.root:
+            given = "source_image_path" if a.images and "source_image_path" in found.columns else "image_path"
+            seen = images_of(spark, found, a.images or a.root, given)
             found = found.join(seen, "row_id", "left").withColumn("image_exists", F.coalesce("ok", F.lit(False))).drop("ok")
         reports = diagnose.diagnose(found)
         files.write_jsonl(reports, files.artifact("reports", a.out, a.sieved))

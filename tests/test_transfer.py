@@ -170,7 +170,7 @@ def test_stages_from_raw_rows_to_repaired_files(spark, server, tmp_path):
     main(["sieve", str(tmp_path / "rows.parquet"), str(tmp_path), "--root", str(root), "--model", "deterministic_model:make"], spark)
     sieved = {r["row_id"]: r for r in spark.read.parquet(str(tmp_path / "clip_embeddings_rows.parquet")).collect()}
     assert sieved["22"]["flag_reason"] == "low_similarity" and sieved["4"]["flag_reason"] == "missing_image" and sieved["20"]["flag_reason"] == "ok"
-    main(["diagnose", str(tmp_path / "clip_embeddings_rows.parquet"), str(tmp_path)], spark)
+    main(["diagnose", str(tmp_path / "clip_embeddings_rows.parquet"), str(tmp_path), "--root", str(root)], spark)
     main(["arbitrate", str(tmp_path / "arbiter_queue_rows.csv"), str(tmp_path / "arbiter_plan_rows.csv")], spark)
     plan = {r["row_id"]: r for r in files.read_plan(spark, str(tmp_path / "arbiter_plan_rows.csv")).collect()}
     assert plan["22"]["action"] == "replace_image_from_row"
