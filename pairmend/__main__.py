@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +12,22 @@ from pyspark.sql import functions as F
 from pairmend import config
 from pairmend.functions.text import resolve_path
 from pairmend.operators import arbitrate, build, diagnose, repair, sieve, simulate
-from pairmend.sources import files
+from pairmend.sources import files, jpeg
 from pairmend.sources.embedding import embedded, factory_of
 from pairmend.sources.images import copy_jobs, images_of, listing, read_images
+from pairmend.sources.shared import delete
 from pairmend.sources.transfer import copy_files, fetch_all, write_files
 
 
-def placed(spark: SparkSession, rows: DataFrame, folder: str | None, root: str, images_dir: str, fetch: bool) -> DataFrame:
-    """row_id and ok for rows whose image was copied or fetched to its place under root and can be decoded there."""
+def placed(spark: SparkSession, rows: DataFrame, folder: str | None, root: str, images_dir: str, fetch: bool, as_jpeg: bool = False) -> DataFrame:
+    """row_id and ok for rows whose image was copied or fetched to its place under root and can be decoded there.
+
+    With as_jpeg what came is kept aside only until RGB JPEG files of it are in their places; what can't be decoded leaves none.
+    """
     rows = build.image_source(rows)
-    target = F.concat(F.lit(f"{root}/{images_dir}/"), "row_id", F.lit(".jpg"))
+    name = os.path.basename(images_dir) + (f"-given-{uuid.uuid4().hex}" if as_jpeg else "")
+    final, given = f"{root}/{images_dir}", f"{root}/{os.path.join(os.path.dirname(images_dir), name)}"
+    target = F.concat(F.lit(f"{given}/"), "row_id", F.lit(".jpg"))
     if folder:
         local = rows.filter("image_source = 'local'").select(resolve_path(folder, F.col("image_path")).alias("source"), target.alias("target"))
         copy_files(local)
@@ -28,9 +35,15 @@ def placed(spark: SparkSession, rows: DataFrame, folder: str | None, root: str,
         asked = rows.filter("image_source = 'url'")
         got = fetch_all(asked).filter("content is not null").select(F.col("url").alias("__url"), "content")
         write_files(asked.join(got, F.trim("image_url") == F.col("__url")), target, F.col("content"))
-    os.makedirs(f"{root}/{images_dir}", exist_ok=True)
-    seen = read_images(spark, f"{root}/{images_dir}").select("origin", "ok")
-    return rows.select("row_id", target.alias("__t")).join(seen, F.col("__t") == F.col("origin")).select("row_id", "ok")
+    os.makedirs(given, exist_ok=True)
+    seen = read_images(spark, given)
+    if as_jpeg:
+        place = F.concat(F.lit(f"{final}/"), F.substring_index("origin", f"{name}/", -1))
+        seen = write_files(jpeg.normalized(seen), place, F.col("content")).withColumnRenamed("target", "origin")
+        delete(spark, given)
+    seen = seen.select("origin", "ok")
+    there = rows.select("row_id", F.concat(F.lit(f"{final}/"), "row_id", F.lit(".jpg")).alias("__t"))
+    return there.join(seen, F.col("__t") == F.col("origin")).select("row_id", "ok")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -49,6 +62,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             stage.add_argument("--root", default=None, help="where rows' image paths start from; build puts images there, sieve and diagnose read them, repair lists and copies them")
         if name == "build":
             stage.add_argument("--fetch", action="store_true", help="fetch the images of rows that name a URL and no file; needs --root")
+            stage.add_argument("--jpeg", action="store_true", help="write the images as RGB JPEG of quality 92, whatever they were; needs --root")
         if name == "sieve":
             stage.add_argument("--model", default=None, help="module:function that makes a model of texts and images; needs --root")
         if name in ("diagnose", "repair"):
@@ -69,7 +83,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         raw = files.read_raw(spark, a.raw)
         images = a.images and images_of(spark, build.normalize(raw), a.images)
         if a.root:
-            images = placed(spark, build.normalize(raw), a.images, a.root.rstrip("/"), f"{settings[0].processed_dir}/images", a.fetch)
+            images = placed(spark, build.normalize(raw), a.images, a.root.rstrip("/"), f"{settings[0].processed_dir}/images", a.fetch, a.jpeg)
         files.write_parquet(build.build(raw, images or None, f"{settings[0].processed_dir}/images"), a.out)
         for told in (build.counters, build.downloads):
             told(spark.read.parquet(a.out)).show()
