@@ -81,6 +81,24 @@ def test_recall_with_the_most_pivots(spark, monkeypatch, kind):
     assert 0.97 * 4000 <= found <= 4000
 
 
+def test_recall_at_the_threshold_itself(spark, monkeypatch):
+    """Pairs at cosine 0.9005 with the most pivots, on the setting that the query has."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n = rng.normal(size=a.shape)
+    n -= (n * a).sum(1, keepdims=True) * a
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    both = np.concatenate([a, 0.9005 * a + np.sqrt(1 - 0.9005**2) * n])
+    others = rng.normal(size=(2048, 64))
+    others /= np.linalg.norm(others, axis=1, keepdims=True)
+    monkeypatch.setattr(pivots, "choose_pivots", lambda *_: others)
+    rows = spark.createDataFrame([(i, v, 0, "") for i, v in enumerate(both.tolist())], VECTORS)
+    found = pivots.near_duplicates(rows).agg(F.sum("n_links")).first()[0]
+    print("recall at 0.9005", found / 8000)
+    assert 0.95 * 8000 <= found <= 8000
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 100), (7, 7), (None, 3), (200, 100)] + [(300, k) for k in range(301, 350)]
     got = {r["id"]: r["component_id"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -40,3 +40,43 @@ def test_the_last_stage_decodes(spark):
     want = {r["doc_id"]: r for r in spm.round_trips(docs, TOKENIZER).collect()}
     assert all(got[k][c] == want[k][c] for k in want for c in ("n_tokens", "decoded_sha256", "round_trip")) and len(got) == len(texts)
     assert got[0]["round_trip"] and not got[2]["round_trip"]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = "kept boolean, component_id long, score double, size string, shard string, place_key string, tokens string, set_key string"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, texts and sources, repeated rows, a long text, and columns with names that stages use themselves."""
+    rng = np.random.default_rng(1)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdehinorst"), 5)) for _ in range(n))
+    good, bad, long = [prose(120) for _ in range(40)], [(prose(50) + "!!").upper() for _ in range(20)], prose(60_000)
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(good + bad)]
+    rows += [(None, prose(90), None, None, None), (None, prose(80), "en", "s", 0), (0, good[0], "en", "s", 600), (0, good[0], "en", "s", 600), (1, prose(70), "en", None, 5), (99, long, "en", "t", 1)]
+    rows += [(200, None, None, None, None), (201, "", "en", "s", 0), (202, " \n\t ", "en", "s", 4)]
+    docs = spark.createDataFrame([(*r, True, 7, 0.5, "x", "x", "x", "x", "x") for r in rows], f"{DOCUMENTS}, {CLASHING}")
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in [*range(60), 5, 5]] + [(None, 1), (3, None)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now, seen = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path)).cache()
+        seen[name] = now.collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert now.columns == docs.columns, name
+    texts = lambda name: [r["text"] for r in seen[name]]
+    accepted, one = texts("quality classifier"), texts("MinHash near-dedup")
+    assert not set(accepted) & set(bad) and set(good) | {long} <= set(accepted) and accepted.count(good[0]) == 3
+    assert one.count(good[0]) == 1 and set(filter(None, accepted)) - {" \n\t "} <= set(one) and len(one) >= 44
+    assert len(texts("secret scans")) == len(one)
+    words = lambda name: sum(len((t or "").split()) for t in texts(name))
+    assert words("secret scans") < words("mixing sources to target weights") <= 2 * words("secret scans")
+    assert len(seen["SentencePiece encoding"]) == len(seen["mixing sources to target weights"])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["SentencePiece encoding"])
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == [] and spark.conf.get(corpus_pipeline.BATCH) == before
