@@ -15,8 +15,13 @@ NOISE_COLORS = ("red", "blue", "black", "white", "green", "yellow", "pink", "gra
 
 
 def replicate(rows: DataFrame, copies: int = 15) -> DataFrame:
-    """Each row `copies` times, as row_id_0, row_id_1, ..., labelled clean."""
-    many = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)) if copies > 0 else F.array().cast("array<int>")))
+    """Each row `copies` times, as row_id_0, row_id_1, ..., labelled clean.
+
+    Rows are dealt out first: a small file is read by a few tasks, which then would make all copies. The number of parts is given,
+    three a core, as it would be cut down to what the rows need before they are copied.
+    """
+    parts = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    many = rows.repartition(parts, "row_id").withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)) if copies > 0 else F.array().cast("array<int>")))
     return many.withColumns({"row_id": F.concat_ws("_", F.col("row_id").cast("string"), F.col("__k").cast("string")), "noise_label": F.lit("clean")}).drop("__k")
 
 
@@ -69,8 +74,8 @@ def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool =
 
     A part `rate` of them, half each way: swap_image rows exchange images in disjoint pairs (an odd one
     out keeps its own but is labelled), mutate_text rows get another colour in attributes and text.
-    exact takes the floor(n * rate) rows of lowest hash, found by a quantile of the hashes, so no task
-    orders all rows; otherwise each row is taken by its own hash alone. Reruns agree.
+    exact takes the floor(n * rate) rows of lowest hash: counts of 4,096 ranges of hashes name the range where they end, and only
+    that one is ordered, up to the last row taken; otherwise each row is taken by its own hash alone. Reruns agree.
 
     With partners="free" a swap row exchanges its image with any row, itself and clean ones included (those keep
     their label), one swap after the other; what the exchanges come to is found without making them in turn.
@@ -79,19 +84,21 @@ def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool =
         raise ValueError("partners are paired or free")
     drawn = rows.withColumn("__u", chance("row_id", seed=seed))
     if exact:
-        n = rows.count()
-        cut = drawn.groupBy(F.floor(F.col("__u") * 4096).alias("b")).count().orderBy("b").collect()
-        left, edge = int(n * rate), 0
+        slot = F.floor(F.col("__u") * 4096)
+        cut = drawn.groupBy(slot.alias("b")).count().orderBy("b").collect()
+        left, edge = int(sum(row["count"] for row in cut) * rate), 0
         for row in cut:
             if row["count"] > left:
                 edge = row["b"]
                 break
             left, edge = left - row["count"], row["b"] + 1
-        border = drawn.filter(F.floor(F.col("__u") * 4096) == edge)
-        last = border.select("row_id", "__u").orderBy("__u", "row_id").limit(left).select(F.col("row_id").alias("__last"))
-        drawn = drawn.join(last.distinct(), F.col("row_id") == F.col("__last"), "left")
-        noisy = (F.floor(F.col("__u") * 4096) < edge) | F.col("__last").isNotNull()
-        drawn = drawn.withColumn("__noisy", noisy).drop("__last")
+        noisy = slot < edge
+        if left:
+            taken = drawn.filter(slot == edge).select("__u", "row_id").orderBy("__u", "row_id").limit(left)
+            last = taken.orderBy(F.desc("__u"), F.desc("row_id")).first()
+            at, u = F.lit(last["row_id"]), F.lit(last["__u"])
+            noisy = noisy | (F.col("__u") < u) | ((F.col("__u") == u) & F.coalesce(F.col("row_id") <= at, F.col("row_id").isNull()))
+        drawn = drawn.withColumn("__noisy", noisy)
     else:
         drawn = drawn.withColumn("__noisy", F.col("__u") < rate)
     swap = F.col("__noisy") & (chance("row_id", seed=seed + 1) < 0.5)
@@ -114,17 +121,15 @@ def add_noise(rows: DataFrame, rate: float = 0.30, seed: int = 7, exact: bool =
     return out.select(rows.columns)
 
 
-
 def _with_paired_partners(drawn: DataFrame, seed: int) -> DataFrame:
-    """drawn with __image, for swap rows: that of the other one of their pair."""
+    """drawn with __image, for swap rows: that of the other one of their pair. Other rows stay where they are."""
     # Pairs are made within buckets of the hash, so the pairing spreads over tasks.
     bucket = F.pmod(F.xxhash64("row_id", F.lit(seed + 2)), F.lit(1024))
     order = Window.partitionBy("__b").orderBy("__u", "row_id")
-    swaps = drawn.filter("__kind = 'swap_image'").select("row_id", "image_path", "__u", bucket.alias("__b")).withColumn("__n", F.row_number().over(order) - 1)
-    pair = Window.partitionBy("__b", F.expr("__n div 2")).orderBy("__n")
-    other = F.coalesce(F.lead("image_path").over(pair), F.lag("image_path").over(pair), F.col("image_path"))
-    swaps = swaps.select(F.col("row_id").alias("__id"), other.alias("__image"))
-    return drawn.join(swaps, (F.col("row_id") == F.col("__id")) & (F.col("__kind") == "swap_image"), "left")
+    swaps = F.coalesce(F.col("__kind") == "swap_image", F.lit(False))
+    other = F.when(F.row_number().over(order) % 2 == 1, F.lead("image_path").over(order)).otherwise(F.lag("image_path").over(order))
+    swapped = drawn.filter(swaps).withColumn("__b", bucket).withColumn("__image", F.coalesce(other, "image_path")).drop("__b")
+    return drawn.filter(~swaps).withColumn("__image", F.lit(None).cast("string")).unionByName(swapped)
 
 
 def noise_counts(rows: DataFrame) -> DataFrame:

@@ -216,12 +216,12 @@ def replicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of each kind the simulator makes, and that all images are still there."""
-    noisy = simulate.add_noise(settle(simulate.replicate(plain_catalog(spark, sf_dir), 15)))
+    noisy = simulate.add_noise(simulate.replicate(plain_catalog(spark, sf_dir), 15))
     return noisy.groupBy((F.col("noise_label") != "clean").alias("noisy")).agg(F.count("*").alias("n"))
 
 
 def noise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.add_noise(settle(simulate.replicate(plain_catalog(spark, sf_dir), 15)))
+    return simulate.add_noise(simulate.replicate(plain_catalog(spark, sf_dir), 15))
 
 
 def noise_free_partners(spark: SparkSession, sf_dir: str) -> DataFrame:

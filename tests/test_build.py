@@ -195,3 +195,13 @@ def test_stages_read_images(spark, tmp_path):
     got = {r["row_id"]: r for r in files.read_queue(spark, str(tmp_path / "arbiter_queue_toy.csv")).collect()}
     assert got["1"]["error_type"] == "Unknown" and got["3"]["mismatch_aspects"] == "missing_image_file"
     assert got["2"]["mismatch_aspects"] == "color" and '"attributes.color":"blue"' in got["2"]["proposed_fix"]
+
+
+def test_copies_are_made_and_noised_where_they_lie(spark):
+    """Rows of one partition are dealt out before they are copied, and noise joins nothing: what is swapped alone is shuffled."""
+    rows = spark.createDataFrame([(k, f"t{k}", "c", "{}", "x", f"{k}.jpg") for k in range(40)], "row_id long, title string, category string, attributes string, canonical_text string, image_path string")
+    many = simulate.replicate(rows.coalesce(1), 5)
+    assert many.rdd.getNumPartitions() == 12
+    noisy = simulate.add_noise(many)
+    assert "Join" not in noisy._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["image_path"] for r in noisy.collect()) == sorted(r["image_path"] for r in many.collect())
