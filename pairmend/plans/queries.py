@@ -235,22 +235,26 @@ def noise_free_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for noisy rows whatever is drawn: no image lost or doubled, no colour kept, no clean row touched."""
-    rows = settle(simulate.replicate(plain_catalog(spark, sf_dir), 15))
-    noisy = settle(simulate.add_noise(rows))
-    before = rows.select("row_id", F.col("image_path").alias("i"), F.col("attributes").alias("a"), F.col("canonical_text").alias("t"))
-    both = noisy.join(before, "row_id")
+    rows = simulate.replicate(plain_catalog(spark, sf_dir), 15)
+    noisy = simulate.add_noise(rows).withColumn("noisy_there", F.lit(True))
+    before = rows.select("row_id", F.col("image_path").alias("i"), F.col("attributes").alias("a"), F.col("canonical_text").alias("t"), F.lit(True).alias("there"))
+    # Sizes are estimated by part's file, which says nothing about copies: without the hint they may be broadcast.
+    both = noisy.join(before.hint("merge"), "row_id", "full")
     color = lambda c: F.get_json_object(c, "$.color")
     swapped, mutated = F.col("noise_label") == "swap_image", F.col("noise_label") == "mutate_text"
     text = canonical_text(F.col("title"), F.col("category"), json_map("attributes"))
-    images = noisy.groupBy("image_path").agg(F.count("*").alias("n")).join(rows.groupBy("image_path").agg(F.count("*").alias("m")), "image_path", "full")
-    lost = images.agg(F.count_if(~F.col("n").eqNullSafe(F.col("m"))).alias("images_lost"))
-    told = both.agg(
-        F.count("*").alias("rows"), F.count_if(swapped | mutated).alias("noisy"),
-        F.count_if(mutated & (color("attributes").eqNullSafe(color("a")) | ~color("attributes").isin(*simulate.NOISE_COLORS))).alias("colors_kept"),
-        F.count_if(mutated & (F.col("canonical_text") != text)).alias("texts_wrong"),
-        F.count_if((~mutated & ((F.col("attributes") != F.col("a")) | (F.col("canonical_text") != F.col("t")))) | (~swapped & (F.col("image_path") != F.col("i")))).alias("others_touched"),
-    )
-    return told.crossJoin(lost)  # one row each
+    met = F.col("there") & F.col("noisy_there")
+    facts = {
+        "rows": met, "noisy": met & (swapped | mutated),
+        "colors_kept": met & mutated & (color("attributes").eqNullSafe(color("a")) | ~color("attributes").isin(*simulate.NOISE_COLORS)),
+        "texts_wrong": met & mutated & (F.col("canonical_text") != text),
+        "others_touched": met & ((~mutated & ((F.col("attributes") != F.col("a")) | (F.col("canonical_text") != F.col("t")))) | (~swapped & (F.col("image_path") != F.col("i")))),
+    }
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    after = F.struct(F.col("image_path").alias("image"), one(F.col("noisy_there")).alias("n"), *[one(c).alias(name) for name, c in facts.items()])
+    given = F.struct(F.col("i").alias("image"), (-one(F.col("there"))).alias("n"), *[F.lit(0).cast("long").alias(name) for name in facts])
+    images = both.select(F.inline(F.array(after, given))).groupBy("image").agg(F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in facts])
+    return images.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in facts], F.count_if(F.col("n") != 0).alias("images_lost"))
 
 
 def _catalog_reports(spark: SparkSession, sf_dir: str) -> DataFrame:

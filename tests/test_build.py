@@ -205,3 +205,11 @@ def test_copies_are_made_and_noised_where_they_lie(spark):
     noisy = simulate.add_noise(many)
     assert "Join" not in noisy._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["image_path"] for r in noisy.collect()) == sorted(r["image_path"] for r in many.collect())
+
+
+def test_no_table_of_copies_is_broadcast(spark):
+    from pairmend.plans import queries
+
+    found = queries.noise_invariants(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first().asDict() == {"rows": 3000, "noisy": 900, "colors_kept": 0, "texts_wrong": 0, "others_touched": 0, "images_lost": 0}
