@@ -302,7 +302,7 @@ def repair_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit(repair.IMAGES + "/"), "row_id", F.lit(".jpg"))).otherwise(F.col("image_path"))
     rows = rows.withColumn("image_path", path).withColumn("__pos", F.lit(0))
     listed = rows.filter(k % 5 != 2).select(F.col("image_path").alias("path")).filter("path <> ''")
-    fix = F.concat(F.lit('{"image_replacement_candidate_row_id": "'), F.when(k % 5 < 3, k).otherwise(k + 1000000).cast("string"), F.lit('"}'))
+    fix = F.concat(F.lit('{"image_replacement_candidate_row_id": "'), F.when(k % 5 < 3, F.col("row_id")).otherwise(F.concat(F.lit("no-"), "row_id")), F.lit('"}'))
     action = F.when(k % 5 == 4, "human_review").otherwise("replace_image_from_row")
     plan = rows.select("row_id", action.alias("action"), fix.alias("proposed_fix"), F.lit("").alias("notes"), k.alias("step"))
     logged = repair.log(repair.log_of(rows, plan, listed))

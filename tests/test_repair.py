@@ -283,3 +283,13 @@ def test_a_candidate_that_many_steps_name(spark, monkeypatch):
     paths = {n: f"{n}.png" for n in names}
     plan = [(k, "hot", "copy", "pq"[k // 97 % 2]) if k % 97 == 50 else (k, f"n{k % 300}", "copy", "hot") for k in range(900)]
     assert folded(spark, names, paths, None, plan) == whole_fold(names, paths, None, plan)
+
+
+def test_candidates_that_no_table_has(spark, tmp_path):
+    """Rows a million apart: the query's missing candidates are missing however many parts there are."""
+    from pairmend.plans import queries
+
+    parts = [(k, f"n{k}", "b", "t", 1) for k in (3, 1_000_003, 4, 10)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["status"], r["reason"]): r["n"] for r in queries.repair_status_counts(spark, str(tmp_path)).collect()}
+    assert got == {("fail", "candidate_missing_or_not_found"): 2, ("ok", ""): 1, ("fail", "candidate_has_no_image_path"): 1, ("fail", "all"): 3, ("ok", "all"): 1}
