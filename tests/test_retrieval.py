@@ -47,3 +47,16 @@ def test_small_and_empty_tables(spark):
     assert retrieval.best_other(rows.limit(0), rows).collect() == [] == retrieval.best_other(rows, rows.limit(0)).collect()
     alone = rows.filter("row_id = 'a'")
     assert retrieval.best_other(alone, alone).collect() == []
+
+
+def test_products_are_held_in_slices(monkeypatch):
+    """A task holds SLICE products at once; the answers are those of the whole product, own rows and ties included."""
+    rng = np.random.default_rng(2)
+    v, w = rng.normal(size=(50, 4)), rng.normal(size=(40, 4))
+    w[7] = w[3]
+    names, others = np.array([f"r{k:02d}" for k in range(50)], object), np.array([f"r{k:02d}" for k in range(40)], object)
+    sims = v @ w.T
+    sims[np.arange(40), np.arange(40)] = -np.inf
+    monkeypatch.setattr(retrieval, "SLICE", 120)
+    best, sim = retrieval._best(v, others, w, retrieval._own(names, others))
+    assert sim == pytest.approx(sims.max(1)) and list(best) == list(others[sims.argmax(1)])
