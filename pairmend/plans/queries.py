@@ -322,7 +322,9 @@ def _changing_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     listed = rows.filter((slot < 2) | ((slot == 2) & (F.col("g") % 3 != 0))).select(F.col("image_path").alias("path"))
     groups = rows.filter("slot = 0").select("g")
     n, many = F.col("n"), groups.count()
-    steps = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n"))
+    # A group gives ten steps with JSON to write and read, so few tasks over a small file would take long.
+    spread = groups.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
+    steps = spread.select("g", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("n"))
     row, cand = (F.col("g") * 7 + n * 3 + F.floor(n / 4)) % 4, (F.col("g") * 5 + n * n + F.floor(n / 3)) % 4
     to = F.when((F.col("g") + n) % 12 == 5, put(F.lit(1))).otherwise("images/gone.jpg")
     patches = (F.col("g") + n) % 6 == 5

@@ -293,3 +293,17 @@ def test_candidates_that_no_table_has(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {(r["status"], r["reason"]): r["n"] for r in queries.repair_status_counts(spark, str(tmp_path)).collect()}
     assert got == {("fail", "candidate_missing_or_not_found"): 2, ("ok", ""): 1, ("fail", "candidate_has_no_image_path"): 1, ("fail", "all"): 3, ("ok", "all"): 1}
+
+
+def test_steps_are_dealt_out_before_their_json_is_read(spark):
+    """A small file of parts gives many steps; they don't all go through the task that reads it."""
+    from pairmend.plans import queries
+
+    plan = queries._changing_paths(spark, "/root/testdata/sf0.01")[1]
+    assert plan.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_no_candidate_is_missing_even_if_a_row_has_no_id(spark):
+    rows = spark.createDataFrame([("", "T", "C", "{}", "old", "p.png"), ("A", "T", "C", "{}", "old", "A.png")], ROW)
+    plan = spark.createDataFrame([(0, "A", "replace_image_from_row", swap(""), "")], PLAN)
+    assert [(r["status"], r["reason"]) for r in repair.repair(rows, plan)[1].collect()] == [("fail", "candidate_missing_or_not_found")]
